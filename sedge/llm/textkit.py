@@ -139,8 +139,10 @@ def shingle_hashes(h: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray
     for d in range(k):
         step = mix(h[np.minimum(at + d, n - 1)] + value * _BASE + _U(d + 1))
         value = np.where(d < left, step, value)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    edge = np.cumsum(made).tolist()
+    for lo, hi in zip([0, *edge[:-1]], edge, strict=True):
+        if hi - lo > 1:
+            value[lo:hi].sort()
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[keep], value[keep]
