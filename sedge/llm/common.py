@@ -57,3 +57,14 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(w.lower())
         made.append(w)
     return made
+
+
+#: Rows of ids up to which a table of ids is broadcast (16 bytes each); beyond it the join shuffles.
+BROADCAST_IDS = 1 << 20
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``gone[key]``; a null id is an id like others."""
+    gone = stage(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(side, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti")

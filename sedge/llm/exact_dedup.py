@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm import common
@@ -108,22 +108,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Rows are matched by (id, digest of the normalised text); where a row is repeated outright, one of
-    the repetitions stays.
+    Rows are matched by id; where ids repeat, by id and digest of the normalised text, and of a row that is
+    repeated outright one stays.
     """
-    stay = exact_dedup(df, id_col, text_col).where("kept").select("doc_id", "text_sha256")
-    key, sha, n = common.fresh(df, "keep_key", "keep_sha", "keep_n")
-    stay = stay.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
+    found = exact_dedup(df, id_col, text_col)
+    key, sha, chars, rank = common.fresh(df, "keep_key", "keep_sha", "keep_chars", "keep_rank")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
+        return common.without(df, id_col, found.where(~F.col("kept")).select(F.col("doc_id").alias(key)), key)
     own = F.sha2(F.regexp_replace(common.text_or_empty(text_col), common.BLANK, ""), 256)
+    stay = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     kept = df.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (own == F.col(sha)), "left_semi")
-    repeated = df.groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).limit(1)
-    return kept if repeated.isEmpty() else _one_of_repeats(kept, own, id_col, text_col)
-
-
-def _one_of_repeats(df: DataFrame, own, id_col: str, text_col: str) -> DataFrame:
-    sha, chars = common.fresh(df, "keep_sha", "keep_chars")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(id_col, sha).orderBy(F.desc(chars))
-    rank = common.fresh(df, "keep_rank")[0]
-    return df.withColumns({sha: own, chars: F.char_length(common.text_or_empty(text_col))}).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(sha, chars, rank)
+    first = Window.partitionBy(id_col, sha).orderBy(F.desc(chars))
+    return kept.withColumns({sha: own, chars: F.char_length(common.text_or_empty(text_col))}).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(sha, chars, rank)

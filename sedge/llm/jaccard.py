@@ -383,7 +383,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` with the smallest id of their component, all columns kept (of rows that repeat an
     id, all that are alike stay; exact duplicate removal is another operator's work)."""
-    key, comp = common.fresh(df, "near_key", "near_component")
+    key = common.fresh(df, "near_key")[0]
     found = jaccard_components(df, id_col, text_col, **options)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    return common.without(df, id_col, gone, key)

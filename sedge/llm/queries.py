@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm import ann, common, exact_dedup, jaccard, lm, mixing, packing, pii, sharding, tokencount
+from sedge.llm import ann, common, exact_dedup, jaccard, lm, mixing, packing, pii, quality, sharding, tokencount
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -46,5 +50,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_packing, op4_lm_scores, op5_sharding, op7_nearest_neighbours, op8_token_counts, op9_jaccard_join, op10_pii_surrogates)
+    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_packing, op4_lm_scores, op5_sharding, op6_quality, op7_nearest_neighbours, op8_token_counts, op9_jaccard_join, op10_pii_surrogates)
 }
