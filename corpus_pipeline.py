@@ -1,6 +1,52 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: filter, deduplicate, mix and pack the table ``documents``.
+
+Each stage gets what its predecessor kept, read back from Parquet.  All but the last return the columns
+of ``documents``: the classifier drops junk, exact dedup keeps one of equal texts, the Jaccard join
+(five words, similarity 0.8) keeps one document of each group of near copies, mixing repeats or leaves
+out documents to meet the sources' targets, and packing returns the pieces of the training sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sedge.llm import common, exact_dedup, jaccard, mixing, packing, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_representatives(docs, k=5, num=80, den=100)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_rows(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL cannot train the classifier; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
