@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # The three definitions of a valid content id.
 STORED_CID = "^[0-9a-f]{2,}$"
@@ -18,7 +19,7 @@ def content_id(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def blake3_id(content: pd.Series) -> pd.Series:
     """The same shape of id by BLAKE3, where ids must match stores that were filled with it."""
     from sedge.functions.blake3 import blake3

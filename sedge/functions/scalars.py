@@ -16,7 +16,7 @@ MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg
 
 
 def expand_csv(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def blank_to_null(c: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Patterns of the clean-up steps and counters.
@@ -18,7 +19,7 @@ STATUTE_CUE = r"(?i)(art\.|ust\.|§|dz\.?\s*u\.)"
 NOISE = r"(?U)^[0-9\s.,\-_:;]+$"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
@@ -78,7 +79,7 @@ def normalize_query(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
-@pandas_udf("array<struct<ord: int, text: string>>")
+@pandas_udf(T.ArrayType(T.StructType().add("ord", T.IntegerType()).add("text", T.StringType())))
 def sentences(text: pd.Series) -> pd.Series:
     from sedge.functions.segmenter import split
 

@@ -43,6 +43,14 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
+def _begins(term: str):
+    return lambda x: x.startswith(term)
+
+
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", prefix_last: bool = False) -> DataFrame:
     """(key, score) of the documents that match; with ``prefix_last`` the last term matches as a prefix.
 
@@ -50,7 +58,7 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", p
     """
     terms = query_terms(query)
     whole, prefix = (terms[:-1], terms[-1:]) if prefix_last else (terms, [])
-    hits = [lambda x, t=t: x == t for t in whole] + [lambda x, t=t: x.startswith(t) for t in prefix]
+    hits = [_equals(t) for t in whole] + [_begins(t) for t in prefix]
     if not hits:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
     base = docs.select(F.col(key), search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
