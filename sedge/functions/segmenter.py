@@ -26,7 +26,7 @@ _LOWER_NEXT = regex.compile(r"[^\p{SB=LE}\p{SB=UP}\p{SB=LO}\p{SB=SE}\r\n\p{SB=AT
 _NUMBER = regex.compile(r"[\p{SB=NU}]")
 _LETTER = regex.compile(r"[\p{SB=UP}\p{SB=LO}]")
 _UPPER = regex.compile(r"[\p{SB=UP}]")
-_MARKER = regex.compile(r"(?<!\w)(?:(?P<number>\d{1,3})|(?P<letter>[A-Z])(?![a-z]))\x20*[.)](?=\s)")
+_MARKER = regex.compile(r"(?:[0-9]{1,3}|[A-Z])\s*[.)](?=\s)")
 _SPACES = " \t\n\r\x0b\x0c\x85\xa0                　"
 _ORDINAL = regex.compile(r"\d+|[ivxlcdm]{1,8}", regex.IGNORECASE)
 
@@ -84,18 +84,22 @@ def _goes_on(left: str, right: str, table: frozenset[str]) -> bool:
 
 
 def _enumeration(text: str) -> list[str]:
-    """Parts of one sentence, cut before the markers of an enumeration."""
-    cuts, follow = [], False
-    at = 0
+    """Parts of one sentence, cut before the markers of an enumeration.
+
+    A marker is one to three digits or a capital, then a full stop or bracket and white space; the first one
+    needs the sentence's start, a colon, semicolon, bracket or dash before it, later ones follow freely (even
+    from within a longer number).
+    """
+    cuts, follow, at = [], False, 0
     while m := _MARKER.search(text, at):
-        before = text[: m.start()].rstrip(" \t")
-        opens = not before or before[-1] in ":;()[]-–—\n"
-        if not before:
+        before = text[: m.start()].rstrip()
+        if follow or not before or before[-1] in ":;()[]-–—":
             follow = True
-        elif opens or follow:
-            cuts.append(m.start())
-            follow = True
-        at = m.end()
+            at = m.end()
+            if before:
+                cuts.append(m.start())
+        else:
+            at = m.start() + 1
     edges = [0, *cuts, len(text)]
     return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
