@@ -1,0 +1,430 @@
+"""Operators on small tables: nulls, blanks, ties, repeats, clashing names, and brute-force results."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sedge.llm import ann, exact_dedup, jaccard, lm, mixing, packing, pii, quality, sharding, tokencount
+from sedge.llm.components import components
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def table(spark, texts, sources=None):
+    """Documents 0, 1, ... of texts, plus a null id and columns whose names clash with helper columns."""
+    rows = [(i, t, "en", (sources or ["s"])[i % len(sources or ["s"])], 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DDL)
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    for base in (5, 6):
+        for _ in range(12):  # near copies
+            w = texts[base].split() or ["x"]
+            w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    return [*texts, texts[0], texts[0].upper(), f" {texts[1]}\n", None, "", " \t\n", "one two", "one two", "word " * 30_000, "Zażółć 漢字 emoji 😀"]
+
+
+EMPTY = [
+    (exact_dedup.exact_dedup, "doc_id keep_id group_size kept text_sha256"),
+    (mixing.mix, "doc_id size source_size target taken"),
+    (packing.pack, "doc_id start length ids_crc32 doc_tokens sequence_id offset"),
+    (lm.score, "doc_id held_out n_tokens n_known train_tokens base_score score"),
+    (sharding.shard, "doc_id size text_crc32 law shard slot grown_shard"),
+    (quality.classify, "doc_id score kept label_probability"),
+    (tokencount.count_tokens, "doc_id n_words n_tokens"),
+    (lambda d: jaccard.jaccard_components(d, k=4, num=85), "doc_id n_shingles component_id n_links"),
+    (pii.replace_entities, "doc_id n_entities n_email n_phone n_ip n_card n_ssn n_secret n_name clean_text"),
+]
+
+
+@pytest.mark.parametrize(("call", "columns"), EMPTY, ids=lambda x: getattr(x, "__name__", None))
+def test_empty_table(spark, call, columns):
+    out = call(spark.createDataFrame([], DDL))
+    assert out.columns == columns.split() and out.count() == 0
+
+
+@pytest.mark.parametrize(("call", "columns"), EMPTY, ids=lambda x: getattr(x, "__name__", None))
+def test_nulls_repeats_and_clashing_names(spark, call, columns):
+    rows = [(1, "a b c d e", "s", "x"), (1, "a b c d e", "s", "x"), (None, None, None, None), (None, "z", None, "y"), (2, None, "s", None)]
+    names = "doc_id long, text string, source string, {} string"
+    clash = {"mix": "shard", "shard": "bucket", "pack": "curve", "exact_dedup": "norm", "classify": "pattern"}.get(getattr(call, "__name__", ""), "key")
+    out = call(spark.createDataFrame(rows, names.format(clash))).collect()
+    assert {r.doc_id for r in out} == {1, 2, None} and len(out) == 5
+
+
+def brute_dedup(texts):
+    groups = {}
+    for i, t in enumerate(texts):
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        groups.setdefault(norm, []).append((-len(t or ""), i))
+    return {i: (min(g)[1], len(g), hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g}
+
+
+def test_exact_dedup(spark, corpus):
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(table(spark, corpus).repartition(7)).collect()}
+    for i, (keep, size, sha) in brute_dedup(corpus).items():
+        assert (got[i].keep_id, got[i].group_size, got[i].text_sha256, got[i].kept) == (keep, size, sha, keep == i)
+
+
+def test_hot_group_spans_partitions(spark):
+    df = table(spark, ["same text"] * 500 + [f"t{i}" for i in range(50)])
+    got = exact_dedup.exact_dedup(df).collect()
+    assert sum(r.kept for r in got) == 51 and {r.group_size for r in got} == {1, 500}
+    assert exact_dedup.keep_one(df).count() == 51
+
+
+def test_keep_one_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 2), (2, " a ", 3)], "doc_id long, text string, KEEP_KEY int")
+    got = exact_dedup.keep_one(df)
+    assert got.columns == df.columns and sorted(r.text for r in got.collect()) == [" a ", "b"]
+
+
+def water(sizes):
+    """Targets by the plain procedure: share, cap, reshare."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, left, open_ = dict.fromkeys(names, 0.0), float(sum(sizes.values())), set(names)
+    while open_ and left > 1e-9:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if target[s] + unit * weight[s] >= 3 * sizes[s] - 1e-9}
+        for s in full or open_:
+            new = 3 * sizes[s] if full else target[s] + unit * weight[s]
+            left -= new - target[s]
+            target[s] = new
+        if not full:
+            break
+        open_ -= full
+        if open_:  # start again from nothing for those still open
+            left = float(sum(sizes.values())) - sum(target[s] for s in names if s not in open_)
+            for s in open_:
+                target[s] = 0.0
+    return target
+
+
+@pytest.mark.parametrize("names", [["b", "a", None, "c", "é"], ["only"], ["a", "b"]])
+def test_mixing(spark, names):
+    rng = random.Random(5)
+    texts = ["w " * rng.randint(0, 400) for _ in range(300)]
+    sources = [names[0] if rng.random() < 0.7 else rng.choice(names) for _ in texts]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, sources, strict=True))], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df, block=16, shard_words=2000).collect()}
+    sizes = Counter()
+    for t, s in zip(texts, sources, strict=True):
+        sizes[s] += len(WORD.findall(t))
+    want = water(dict(sizes))
+    taken = Counter()
+    for i, s in enumerate(sources):
+        r = got[i]
+        assert (r.size, r.source_size) == (len(WORD.findall(texts[i])), sizes[s]) and r.target == pytest.approx(want[s])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 16 * 3
+    assert {i: r.taken for i, r in got.items()} == {r.doc_id: r.taken for r in mixing.mix(df.repartition(5), block=16, shard_words=2000).collect()}
+
+
+def test_apportionment_is_sainte_lague(spark):
+    rng = random.Random(9)
+    votes = [rng.random() ** 3 * 100 for _ in range(9)]
+    seats = 37
+    won = Counter()
+    for _ in range(seats):
+        best = max(range(9), key=lambda i: votes[i] / (2 * won[i] + 1))
+        won[best] += 1
+    df = spark.createDataFrame([(0, i, v, sum(votes), seats) for i, v in enumerate(votes)], "one int, rank int, votes double, all_votes double, seats long")
+    assert {r["rank"]: r.quota for r in mixing._apportion(df, "rank", ["one"], "seats").collect()} == {i: won[i] for i in range(9)}
+
+
+def test_packing_round_trip(spark, corpus):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    texts = [*corpus, "a\x1cb <|endoftext|> c", "İstanbul ΣΑΣ ﬁ x"]
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    got = packing.pack(table(spark, texts), length=256).collect()
+    seen, sequences = Counter(), {}
+    for r in got:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        seen[r.doc_id] += r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for pieces in sequences.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end == 256 or end & (end - 1) == 0
+
+
+def test_hilbert_visits_neighbours():
+    side = 8
+    points = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
+    key = packing.hilbert(points, 3)
+    assert sorted(key) == list(range(side**3))
+    assert (np.abs(np.diff(points[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_language_model(spark, corpus):
+    texts = corpus * 2
+    got = {r.doc_id: r for r in lm.score(table(spark, texts)).collect()}
+    tokens = {i: [*words(t), None] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    count = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    n, v = sum(count.values()), len(count)
+    for i, t in tokens.items():
+        r = got[i]
+        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(count[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(base) and r.score < 0
+    out = [i for i in tokens if held[i]]
+    assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out)
+
+
+def test_model_is_a_distribution():
+    """Class and word probabilities, and the shares of rest, each sum to 1."""
+    h = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    n = np.maximum(5, 40_000 // np.arange(1, 4001))
+    low = np.bincount(np.minimum(n, 1000), minlength=1001)
+    low[1:5] = [900, 400, 200, 100]
+    lex = lm._lexicon(h, n, int(n.sum()) + 900 + 800 + 600 + 400, 5600, 5, low)
+    model = lm.Model(lex, np.random.default_rng(1).normal(size=(int(lm._OFFSETS[-1]), lm.WIDTH)).astype(np.float32))
+    rows = tuple(np.array([3, 4]) + lm._OFFSETS[i] for i in range(3))
+    assert model.first_level(rows).sum(axis=1) == pytest.approx([1, 1], abs=1e-5)
+    assert model.second_level(np.array([0, 5]), (np.array([1, 2]), np.array([lm.SIZES[3], lm.SIZES[3] + 1]))).sum(axis=1) == pytest.approx([1, 1], abs=1e-5)
+    bands = np.bincount(lex.group[lex.place < 0], weights=10 ** lex.share[lex.place < 0])
+    assert bands[bands > 0] == pytest.approx(1)
+    assert sum(10 ** lex.rest_log[c] * (1 if c == 0 else low[c]) for c in range(5)) == pytest.approx(1)
+
+
+def test_sharding(spark, corpus):
+    texts = [*[t for t in corpus if len(t or "") < 9000], *["hot copy of some length"] * 400]
+    got = {r.doc_id: r for r in sharding.shard(table(spark, texts)).collect()}
+    total, share, where, slots = Counter(), 0, {}, {}
+    for i, t in enumerate(texts):
+        r = got[i]
+        raw = (t or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        total[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        where.setdefault(t or "", set()).add(r.shard)
+    share = sum(total.values()) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for t, s in where.items() if (len(t.encode()) + 1) * texts.count(t) <= share)
+    assert max(total.values()) <= min(total.values()) * 1.3
+
+
+def test_differencing_is_tight():
+    rng = np.random.default_rng(4)
+    vectors = np.zeros((600, 16), np.int64)
+    vectors[:, 0] = rng.integers(1, 100_000, 600)
+    label = sharding.difference(vectors)[:, 0]
+    sums = np.bincount(label, weights=vectors[:, 0], minlength=16)
+    assert sums.max() - sums.min() < 200
+    again = sharding.difference(rng.integers(0, 1000, (50, 4)))
+    assert all(sorted(row) == [0, 1, 2, 3] for row in again.tolist())
+
+
+def test_tree_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP", 8)
+    texts = [f"text {i} " * (1 + i % 13) for i in range(700)]
+    got = sharding.shard(table(spark, texts)).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(got) == 16 and max(r.s for r in got) - min(r.s for r in got) < 0.02 * max(r.s for r in got)
+
+
+def test_quality(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs).join(labels, "doc_id").groupBy("kept", "quality").count().collect()
+    right = sum(r["count"] for r in got if r.kept == (r.quality == 1))
+    assert right / sum(r["count"] for r in got) > 0.98
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == quality.classify(docs).where("kept").count()
+
+
+def test_em_recovers_accuracies():
+    rng = np.random.default_rng(8)
+    good = rng.random(20_000) < 0.8
+    votes = np.full((20_000, 5), 2)
+    for j, a in enumerate((0.95, 0.9, 0.85, 0.8, 0.75)):
+        cast = rng.random(20_000) < 0.7
+        votes[cast, j] = np.where(rng.random(cast.sum()) < a, good[cast], ~good[cast])
+    pattern, back, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p = quality.expectation_maximisation(pattern, n.astype(float))[back.ravel()]
+    assert ((p > 0.5) == good).mean() > 0.93
+
+
+def brute_nearest(vectors, k=20):
+    usable = {i: v for i, v in vectors.items() if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in (i for i in usable if i % 20 == 0):
+        scored = sorted((-float((np.array(usable[q]) * np.array(v)).sum()), i) for i, v in usable.items() if i != q)
+        out[q] = [(i, -s) for s, i in scored[:k]]
+    return out
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8))
+    vectors = {i: (centres[i % 6] * rng.uniform(0.5, 2) + rng.normal(size=8) * 0.4).tolist() for i in range(1500)}
+    for i in range(300, 380):  # a hot vector, queries among its copies
+        vectors[i] = vectors[300]
+    vectors |= {1500: None, 1501: [0.0] * 8, 1502: [math.nan] + [1.0] * 7, 1503: [None] + [1.0] * 7, 1504: [1.0], 1520: [math.inf] * 8, 1540: []}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, cell=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute_nearest(vectors)
+    assert got.keys() == want.keys()
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.97 * 20 * len(want)
+    assert [i for i, _ in got[300]] == [i for i, _ in want[300]]  # ties among copies go to the smaller id
+    for q, found in got.items():
+        assert len(found) == 20 and found == sorted(found, key=lambda x: (-x[1], x[0]))
+        assert all(s == pytest.approx(float(np.dot(vectors[q], vectors[i])), abs=1e-12) for i, s in found)
+
+
+def test_nearest_few_and_none(spark):
+    ddl = "vec_id long, embedding array<float>"
+    few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], ddl)).collect()
+    assert [(r["rank"], r.vec_id) for r in few] == [(1, 1), (2, 2)]
+    assert ann.nearest(spark.createDataFrame([], ddl)).count() == 0
+    assert ann.nearest(spark.createDataFrame([(0, [0.0])], ddl)).count() == 0
+
+
+def test_chi_square_quantile():
+    assert ann.chi_square_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05))
+    assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
+
+
+def test_token_counts(spark, corpus):
+    path = tokencount.default_vocabulary()
+    texts = [*corpus, "x" * 500, "▁ ▁▁", "Σ" * 3]
+    got = {r.doc_id: r for r in tokencount.count_tokens(table(spark, texts)).collect()}
+    known = {}
+    for i, t in enumerate(texts):
+        own = WORD.findall(t or "")
+        for w in own:
+            known.setdefault(w, tokencount._one_word(w, path))
+        assert (got[i].n_words, got[i].n_tokens) == (len(own), sum(known[w] for w in own)), t
+
+
+def brute_components(texts, k, num, den):
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 50)])
+@pytest.mark.parametrize("chunk", [96, 3])
+def test_jaccard_components(spark, corpus, k, num, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, corpus), k=k, num=num).collect()}
+    assert got == brute_components(corpus, k, num, 100)
+
+
+def test_t_occurrence_against_brute_force():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 80).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        s[rng.random(80) < rng.uniform(0, 0.25)] = rng.integers(0, 1 << 62)
+        sets.append(np.unique(np.append(s, rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64))))
+    for num in (50, 80, 95):
+        want = {(i, j) for i, j in combinations(range(60), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))}
+        assert set(jaccard.t_occurrence(sets, None, num, 100)) == want
+        cross = jaccard.t_occurrence(sets[:20], sets[20:], num, 100)
+        assert {(i, j + 20) for i, j in cross} == {(i, j) for i, j in want if i < 20 <= j}
+
+
+def test_representatives(spark, corpus):
+    df = table(spark, corpus).withColumn("near_key", F.lit(1))
+    kept = jaccard.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in brute_components(corpus, 5, 80, 100).items() if i == c)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 600)] + [(700, x) for x in range(701, 760)] + [(900, 900)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+PII = "Mail hein.19@mail5.example.com or hein.19@mail5.example.com, call +1 (521) 555-6210, host 172.242.194.228, card 4539578763621486, ssn 078-05-1120, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" by Mr. Peter Novak and Maria Kowalska, Version 2.0, page 12."
+
+
+def test_surrogates_keep_format(spark):
+    out, kinds = pii.replace(PII, "key")
+    assert Counter(kinds) == {"email": 2, "phone": 1, "ip": 1, "card": 1, "ssn": 1, "secret": 1, "name": 2}
+    spans = pii.find(PII)
+    for a, b, kind in spans:
+        old, new = PII[a:b], pii.surrogate(kind, PII[a:b], "key")
+        assert old != new and old not in out
+        if kind != "ip":
+            assert len(old) == len(new) or kind == "name"
+            assert all(x.isdigit() == y.isdigit() for x, y in zip(old, new, strict=False)) or kind in ("name", "secret")
+        if kind == "name":
+            given = next(w for w in old.split() if w in pii._GENDER)
+            assert pii._GENDER[given] == pii._GENDER[next(w for w in new.split() if w in pii._GENDER)]
+    assert pii._luhn(pii.surrogate("card", "4539578763621486", "key")) and "Version 2.0, page 12" in out
+    assert re.findall(r"\S+@\S+", out.replace(",", ""))[0] == re.findall(r"\S+@\S+", out.replace(",", ""))[1]
+    assert pii.replace(PII, "other")[0] != out and pii.replace(None or "", "key") == ("", [])
+    df = table(spark, [PII, "plain text.", None])
+    got = {r.doc_id: r for r in pii.replace_entities(df, key="key").collect()}
+    assert (got[0].clean_text, got[1].clean_text, got[2].clean_text, got[0].n_entities) == (out, "plain text.", "", 9)
+
+
+def test_permutations_are_bijections():
+    for space in (2, 7, 100, 12_345):
+        image = {pii.permute(x, space, "k", "t") for x in range(space)}
+        assert image == set(range(space))
+    assert all(pii.permute(x, 100, "k", "t") != x for x in range(100))
+
+
+def test_distinctness(spark):
+    texts = [f"call +1 (521) 555-{i:04d} or 10.0.{i // 250}.{i % 250} mail u{i}@mail.example.com" for i in range(1500)]
+    assert pii.collisions(table(spark, texts)).count() == 0
