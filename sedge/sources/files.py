@@ -78,4 +78,4 @@ def extract(df: DataFrame, call: Callable[[bytes], str], out: str = "text") -> D
 def count_pages(df: DataFrame, pages: Callable[[bytes], int]) -> DataFrame:
     """files, failed, pages over a tree."""
     counted = extract(df, lambda c: str(pages(c)), "n")
-    return counted.agg(F.count(F.lit(1)).alias("files"), F.count_if("error is not null").alias("failed"), F.sum(F.col("n").cast("long")).alias("pages"))
+    return counted.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum(F.col("n").cast("long")).alias("pages"))
