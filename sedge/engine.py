@@ -49,10 +49,6 @@ class Engine:
 
     # Search
 
-    def _allowed(self, names: Sequence[str]) -> list[str]:
-        own = self.records().columns
-        return [n for n in names if n.split(".")[0] in own] + [c for c in own if c in names]
-
     def keyword(self, q: str, *, filter: str | None = None, sort: Sequence[str] = (), fields: Sequence[str] = (), limit: int = 20, offset: int = 0) -> DataFrame:
         filters.ensure_range("limit", limit, 1, 100)
         q = filters.ensure_text("q", q, 1)
