@@ -332,7 +332,7 @@ def _rest(least: int, rest_log: np.ndarray):
             at = np.minimum(np.searchsorted(own, h), len(own) - 1)
             count = np.where(own[at] == h, n[at], 0)
         key, back = np.unique(docs, return_inverse=True)
-        add = lambda x: np.bincount(back, weights=x, minlength=len(key))
+        add = lambda x: np.bincount(back, weights=x, minlength=len(key)).astype(float)
         more = np.log10(count + 0.1)
         return pa.table({"key": pa.array(key), "more_known": pa.array(add(count > 0).astype(np.int64)), "more_base": pa.array(add(more)), "more_score": pa.array(add(rest_log[np.minimum(count, least - 1)]))})
 
