@@ -6,10 +6,10 @@
    bound costs speed at most.
 2. Prefixes.  Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles in any fixed
    order.  Equal sets fold into one class with their smallest doc_id.
-3. Blocks.  Shingles in the prefixes of at least two classes form inverted lists.  A class keeps its
-   place only if enough of its prefix shingles are shared (with fewer, no partner can reach the
-   overlap).  Within a list, sorted by set size, neighbours are chained unless their sizes rule a link
-   out, so every linked pair lies in one connected block and no pairs are written out.
+3. Blocks.  Shingles in the prefixes of at least two classes form inverted lists, sorted by set size.
+   In a short list two classes are joined unless their sizes, or the numbers of prefix shingles they
+   share with anyone, rule a link out; in a long one neighbours by size are chained unless the sizes
+   rule it out.  So every linked pair lies in one connected block, and no pairs are written out.
 4. Search.  A block is cut into chunks of about ``CHUNK`` classes; each pair of chunks is one group,
    so a block of any size is dealt over many tasks.  In a group every class looks up its whole set:
    short inverted lists are merged by counting occurrences, the longest lists are probed by binary
@@ -41,6 +41,8 @@ LEAST_COUNT = 3
 PART_BITS = 10
 FLUSH = 1 << 22
 CHUNK = 96
+#: In inverted lists up to this length every pair is weighed in place; in longer ones neighbours by size are chained.
+SHORT_LIST = 16
 #: Classes in blocks up to which their table is broadcast to find their texts; beyond it, a shuffle join.
 BROADCAST_CLASSES = 1 << 20
 
@@ -185,8 +187,8 @@ def _runs(b: pa.RecordBatch, carry: pa.RecordBatch | None) -> pa.Table:
     return pa.Table.from_batches([b] if carry is None else [carry, b]).combine_chunks()
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (s, set_id, n) that never cut an inverted list in two."""
+def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("s", "set_id", "n")) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of the named columns that never cut an inverted list (equal s) in two."""
     carry = None
     for b in batches:
         if not b.num_rows:
@@ -197,9 +199,9 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         carry = t.slice(cut).to_batches()[0]
         if cut:
             t = t.slice(0, cut)
-            yield tuple(t.column(c).to_numpy() for c in ("s", "set_id", "n"))
+            yield tuple(t.column(c).to_numpy() for c in names)
     if carry is not None:
-        yield tuple(carry.column(c).to_numpy() for c in ("s", "set_id", "n"))
+        yield tuple(carry.column(c).to_numpy() for c in names)
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +239,35 @@ class Forest:
         return nodes, [self.root(x) for x in nodes]
 
 
+def shared_needed(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Prefix shingles that sets of n and m shingles must share to link.
+
+    Of the two prefixes let x's end first in the order: common shingles up to there are in both prefixes, and
+    x has only n_x - p_x = ceil(t n_x) - 1 others.  So shared >= overlap needed - max(ceil(t n), ceil(t m)) + 1.
+    """
+    return np.maximum(1, _ceil(n + m, num, num + den) - _ceil(np.maximum(n, m), num, den) + 1)
+
+
 def _chain(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, seen = Forest(), set()
-        for s, doc, n in _whole_lists(batches):
-            link = (s[1:] == s[:-1]) & (n[:-1] * den >= n[1:] * num)
-            pairs = set(zip(doc[:-1][link].tolist(), doc[1:][link].tolist(), strict=True)) - seen
-            for a, b in pairs:
-                forest.join(a, b)
-            seen = pairs if len(pairs) > 100_000 else seen | pairs
+        forest = Forest()
+        for s, doc, n, c in _whole_lists(batches, ("s", "set_id", "n", "shared")):
+            begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            length = np.repeat(np.diff(np.append(begin, len(s))), np.diff(np.append(begin, len(s))))
+            for d in range(1, SHORT_LIST):
+                if d >= len(s):
+                    break
+                x, y = slice(None, -d), slice(d, None)
+                link = (s[x] == s[y]) & (n[x] * den >= n[y] * num)
+                if d == 1:
+                    far = np.flatnonzero(link & (length[x] > SHORT_LIST))
+                    for a, b in zip(doc[far].tolist(), doc[far + 1].tolist(), strict=True):
+                        forest.join(a, b)
+                link &= length[x] <= SHORT_LIST
+                at = np.flatnonzero(link)
+                at = at[np.minimum(c[at], c[at + d]) >= shared_needed(n[at], n[at + d], num, den)]
+                for a, b in zip(doc[at].tolist(), doc[at + d].tolist(), strict=True):
+                    forest.join(a, b)
         a, b = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -336,10 +358,8 @@ def _link_components(texts: DataFrame, reps: DataFrame, k: int, num: int, den: i
     """(set_id, root) and (set_id, links) of the classes that have a link."""
     entries = reps.select("set_id", "n", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "n", "set_id")
     shared = common.stage(entries.select("s", "set_id", "n").mapInArrow(_shared_only, "s long, set_id long, n long"), "jaccard-lists")
-    # With fewer shared prefix shingles than this no partner can reach the overlap (the least is at equal sizes).
-    least = F.ceil(F.col("n") * (2 * num) / F.lit(num + den) - F.lit(1e-9)) - F.ceil(F.col("n") * num / F.lit(den) + F.lit(1e-9))
-    able = shared.groupBy("set_id", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.greatest(F.lit(1), least)).select("set_id")
-    left = shared.join(able, "set_id", "left_semi").select("s", "set_id", "n")
+    counts = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
+    left = shared.join(counts, "set_id").select("s", "set_id", "n", "shared")
     edges = left.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_chain(num, den), "a long, b long")
     blocks = components(edges)
     sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("many")).select(F.col("root").alias("block"), F.ceil(F.col("many") / CHUNK).alias("chunks"))

@@ -210,7 +210,8 @@ def test_model_is_a_distribution():
     rows = tuple(np.array([3, 4]) + lm._OFFSETS[i] for i in range(3))
     assert model.first_level(rows).sum(axis=1) == pytest.approx([1, 1], abs=1e-5)
     assert model.second_level(np.array([0, 5]), (np.array([1, 2]), np.array([lm.SIZES[3], lm.SIZES[3] + 1]))).sum(axis=1) == pytest.approx([1, 1], abs=1e-5)
-    bands = np.bincount(lex.group[lex.place < 0], weights=10 ** lex.share[lex.place < 0])
+    far = lex.place < 0
+    bands = np.bincount(lex.group[far], weights=lex.counts[far] / 10 ** lex.group_log[lex.group[far]])
     assert bands[bands > 0] == pytest.approx(1)
     assert sum(10 ** lex.rest_log[c] * (1 if c == 0 else low[c]) for c in range(5)) == pytest.approx(1)
 
@@ -428,3 +429,34 @@ def test_permutations_are_bijections():
 def test_distinctness(spark):
     texts = [f"call +1 (521) 555-{i:04d} or 10.0.{i // 250}.{i % 250} mail u{i}@mail.example.com" for i in range(1500)]
     assert pii.collisions(table(spark, texts)).count() == 0
+
+
+def test_links_between_sets_of_different_size(spark):
+    """A text and the same text with up to a sixth more words around it: prefixes share next to nothing."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(60):
+        base = [f"w{i}x{j}" for j in range(rng.randint(30, 90))]
+        texts.append(" ".join(base))
+        for share in (0.08, 0.13, 0.16, 0.19):
+            more = [f"n{i}y{j}z{share}" for j in range(int(len(base) * share))]
+            cut = rng.randint(0, len(more))
+            texts.append(" ".join(more[:cut] + base + more[cut:]))
+        texts.append(" ".join(w if rng.random() > 0.02 else "zz" for w in base))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts), k=4, num=85).collect()}
+    want = brute_components(texts, 4, 85, 100)
+    assert got == want and len({c for _, c in want.values()}) < 200
+
+
+def test_needed_shared_shingles_never_exceeds_what_linked_sets_share():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        base = rng.permutation(1000)[: n + 40]
+        extra = int(rng.integers(0, 40))
+        gone = int(rng.integers(0, max(1, n // 5)))
+        a, b = set(base[:n].tolist()), set(base[gone : n + extra].tolist())
+        if not b or 100 * len(a & b) < 85 * len(a | b):
+            continue
+        prefix = lambda x: set(sorted(x)[: len(x) - int(np.ceil(85 * len(x) / 100 - 1e-9)) + 1])
+        assert len(prefix(a) & prefix(b)) >= jaccard.shared_needed(np.array(len(a)), np.array(len(b)), 85, 100)
