@@ -119,8 +119,8 @@ class Lexicon(NamedTuple):
     counts: np.ndarray
     group: np.ndarray
     place: np.ndarray
-    share: np.ndarray
     loo_group: np.ndarray
+    group_log: np.ndarray
     tokens: int
     types: int
     least: int
@@ -136,7 +136,7 @@ def _lexicon(h: np.ndarray, n: np.ndarray, tokens: int, types: int, least: int,
     top = np.lexsort((h, -n))
     rank = np.empty(len(h), np.int64)
     rank[top] = np.arange(len(h))
-    bands = int(np.log2(max(2, n.max(initial=1)))) + 1
+    bands = min(int(np.log2(max(2, n.max(initial=1)))) + 1, WIDTH - FREQUENT_CLASSES - 1)
     rest = FREQUENT_CLASSES + bands
     band = lambda c: FREQUENT_CLASSES + np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), bands - 1)
     often = rank < frequent
@@ -144,7 +144,6 @@ def _lexicon(h: np.ndarray, n: np.ndarray, tokens: int, types: int, least: int,
     loo = np.where(often & (n > least), group, np.where(n - 1 >= least, band(n - 1), rest))
     place = np.where(often, rank % WIDTH, -1)
     total = np.bincount(group, weights=n, minlength=rest + 1)
-    share = np.log10(n / total[group]) if len(n) else np.zeros(0)
     # Good-Turing: words of count c make (c + 1) * n[c + 1] of fresh text; n[0] is the one unknown type.
     mass = np.array([(c + 1) * float(low[c + 1]) + 0.5 for c in range(least)])
     kinds = np.maximum(1.0, np.array([1.0, *low[1:least]]))
@@ -155,8 +154,8 @@ def _lexicon(h: np.ndarray, n: np.ndarray, tokens: int, types: int, least: int,
     bias = np.full((FREQUENT_CLASSES, WIDTH), -60.0, np.float32)
     bias[group[often], place[often]] = np.log(n[often])
     order = np.argsort(h)
-    pick = lambda x: x[order]
-    return Lexicon(pick(h), pick(n), pick(group), pick(place), pick(share), pick(loo), tokens, types, least, rest, rest + 1, rest_log, target, bias)
+    pick = lambda x, kind: x[order].astype(kind)
+    return Lexicon(pick(h, np.uint64), pick(n, np.int64 if n.max(initial=0) > 2**31 - 1 else np.int32), pick(group, np.int8), pick(place, np.int8), pick(loo, np.int8), np.log10(np.maximum(total, 1)), tokens, types, least, rest, rest + 1, rest_log, target, bias)
 
 
 class Model:
@@ -186,7 +185,8 @@ class Model:
         """Rows of the three history features of each token (history stops at the document's start)."""
         lex = self.lex
         if len(lex.hashes):
-            word = np.where(lex.place[at] >= 0, lex.group[at] * WIDTH + lex.place[at], FREQUENT_CLASSES * WIDTH + lex.group[at])
+            group, place = lex.group[at].astype(np.int64), lex.place[at].astype(np.int64)
+            word = np.where(place >= 0, group * WIDTH + place, FREQUENT_CLASSES * WIDTH + group)
             word = np.where(at >= 0, word, FREQUENT_CLASSES * WIDTH + lex.rest) + 2
         else:
             word = np.full(len(at), 2)
@@ -222,17 +222,17 @@ def _scatter(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarra
     seen[own] += np.diff(np.append(first, len(rows)))
 
 
-def _gradient(shared):
+def _gradient(words_of, weights_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, weights = shared.value
-        model = Model(lex, weights)
+        lex = words_of.value
+        model = Model(lex, weights_of.value)
         total = np.zeros((_OFFSETS[-1], WIDTH), np.float32)
         seen = np.zeros(_OFFSETS[-1], np.float32)
         for b in batches:
             for _, _, h, count in _tokens(b.column("text")):
                 at = model.look_up(h)
                 rows = model.features(at, count)
-                goal = np.where(at >= 0, lex.loo_group[at], lex.rest) if len(lex.hashes) else np.full(len(at), lex.rest)
+                goal = np.where(at >= 0, lex.loo_group[at].astype(np.int64), lex.rest) if len(lex.hashes) else np.full(len(at), lex.rest)
                 for lo in range(0, len(at), BATCH):
                     cut = slice(lo, lo + BATCH)
                     x = tuple(r[cut] for r in rows)
@@ -248,31 +248,41 @@ def _gradient(shared):
                         d[np.arange(len(d)), lex.place[at[cut][often]]] += 1
                         for r in y:
                             _scatter(total[_OFFSETS[3] :], seen[_OFFSETS[3] :], r, d)
+        mean = _means(total, seen)
         blocks = range(0, len(total), BLOCK_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_ROWS for i in blocks], pa.int64()), pa.array([total[i : i + BLOCK_ROWS].tobytes() for i in blocks], pa.binary()), pa.array([seen[i : i + BLOCK_ROWS].tobytes() for i in blocks], pa.binary())], names=["block", "total", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_ROWS for i in blocks], pa.int64()), pa.array([mean[i : i + BLOCK_ROWS].tobytes() for i in blocks], pa.binary()), pa.array([seen[i : i + BLOCK_ROWS].tobytes() for i in blocks], pa.binary())], names=["block", "total", "seen"])
 
     return run
 
 
+def _means(total: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Gradient per occurrence of a row's feature: within -1 to 1, so half precision is enough to send it."""
+    return (total / np.maximum(seen, 1)[:, None]).astype("<f2")
+
+
+def _sums(mean: bytes, seen: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(seen, np.float32)
+    return np.frombuffer(mean, "<f2").reshape(-1, WIDTH).astype(np.float32) * n[:, None], n
+
+
 def _add_blocks(t: pa.Table) -> pa.Table:
-    add = lambda name: sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t.column(name)).astype(np.float32).tobytes()
-    return pa.table({"block": t.column("block")[:1], "total": pa.array([add("total")], pa.binary()), "seen": pa.array([add("seen")], pa.binary())})
+    total, seen = map(sum, zip(*(_sums(m.as_py(), n.as_py()) for m, n in zip(t.column("total"), t.column("seen"), strict=True)), strict=True))
+    return pa.table({"block": t.column("block")[:1], "total": pa.array([_means(total, seen).tobytes()], pa.binary()), "seen": pa.array([seen.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _step(weights: np.ndarray, lex: Lexicon, blocks: pa.Table) -> np.ndarray:
     """One step: gradient over the expected count of (feature, class), damped."""
     blocks = blocks.sort_by("block")
-    total = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in blocks.column("total")]).reshape(-1, WIDTH)
-    seen = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in blocks.column("seen")])
+    total, seen = map(np.concatenate, zip(*(_sums(m.as_py(), n.as_py()) for m, n in zip(blocks.column("total"), blocks.column("seen"), strict=True)), strict=True))
     prior = np.full((len(weights), WIDTH), 1 / WIDTH, np.float32)
     prior[: _OFFSETS[3], : lex.groups] = lex.group_tokens / lex.group_tokens.sum()
     return (weights + STEP * np.clip(total / (seen[:, None] * prior + DAMP), -1, 1.5)).astype(np.float32)
 
 
-def _score(shared):
+def _score(words_of, weights_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, weights = shared.value
-        model = Model(lex, weights)
+        lex = words_of.value
+        model = Model(lex, weights_of.value)
         floor = np.log10(lex.tokens + 0.1 * (lex.types + 1))
         key = TaskContext.get().partitionId() << 32
         shift = _U(64 - PART_BITS)
@@ -285,14 +295,14 @@ def _score(shared):
                 if len(lex.hashes):
                     base = np.where(listed, np.log10(lex.counts[at] + 0.1) - floor, -floor)
                     rows = model.features(at, count)
-                    group = np.where(listed, lex.group[at], lex.rest)
+                    group = np.where(listed, lex.group[at].astype(np.int64), lex.rest)
                     for lo in range(0, len(at), BATCH):
                         cut = slice(lo, lo + BATCH)
                         x = tuple(r[cut] for r in rows)
                         p = model.first_level(x)
                         got = np.log10(np.maximum(p[np.arange(len(p)), group[cut]], 1e-30))
                         often = np.flatnonzero(group[cut] < FREQUENT_CLASSES)
-                        share = np.where(listed[cut], lex.share[at[cut]], 0.0)
+                        share = np.where(listed[cut], np.log10(lex.counts[at[cut]]) - lex.group_log[group[cut]], 0.0)
                         if len(often):
                             g = group[cut][often]
                             q = model.second_level(g, model.second_rows(g, x[0][often], x[2][often]))
@@ -360,14 +370,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     lex = _lexicon(listed.column("h").to_numpy().view(np.uint64), listed.column("n").to_numpy(), tokens, types, least, low)
     weights = np.zeros((_OFFSETS[-1], WIDTH), np.float32)
     tasks = spark.sparkContext.defaultParallelism
+    words_of = spark.sparkContext.broadcast(lex)
     for r in range(rounds if tokens else 0):
-        shared = spark.sparkContext.broadcast((lex, weights))
+        weights_of = spark.sparkContext.broadcast(weights)
         part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text").coalesce(tasks)
-        blocks = part.mapInArrow(_gradient(shared), "block long, total binary, seen binary").groupBy("block").applyInArrow(_add_blocks, "block long, total binary, seen binary").toArrow()
+        blocks = part.mapInArrow(_gradient(words_of, weights_of), "block long, total binary, seen binary").groupBy("block").applyInArrow(_add_blocks, "block long, total binary, seen binary").toArrow()
         if blocks.num_rows:
             weights = _step(weights, lex, blocks)
-    shared = spark.sparkContext.broadcast((lex, weights))
-    scored = common.stage(docs.mapInArrow(_score(shared), _SCORED_DDL), "lm-scores")
+        weights_of.destroy()
+    weights_of = spark.sparkContext.broadcast(weights)
+    scored = common.stage(docs.mapInArrow(_score(words_of, weights_of), _SCORED_DDL), "lm-scores")
+    weights_of.destroy()
+    words_of.destroy()
     away = scored.where("part is not null").select("part", "hashes", "docs").groupBy("part")
     more = away.cogroup(vocabulary.select("part", "hashes", "counts").groupBy("part")).applyInArrow(_rest(least, lex.rest_log), "key long, more_known long, more_base double, more_score double")
     more = more.groupBy("key").agg(F.sum("more_known").alias("k"), F.sum("more_base").alias("b"), F.sum("more_score").alias("s"))
