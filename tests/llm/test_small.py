@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -431,6 +432,19 @@ def test_distinctness(spark):
     assert pii.collisions(table(spark, texts)).count() == 0
 
 
+def test_surrogates_of_any_script():
+    assert all(len(letters) > 1 and letters[i] == c for c, (letters, i) in pii._CLASS.items())
+    for text in ("Dr. Παπαδόπουλος", "Dr. Şęřěőğ", "Mr ŠÇŁŚŻ", "Dr. 王小明", "Prof. Ղազարյան", "Ms Ґудзь"):
+        out, kinds = pii.replace(f"by {text}.", "key")
+        title, name = out[3:-1].split(" ")
+        assert kinds == ["name"] and title == text.split(" ")[0]
+        assert all(x != y for x, y in zip(text.split(" ")[1:], [name], strict=True)) and len(name) == len(text.split(" ")[1])
+        assert all(unicodedata.category(x) == unicodedata.category(y) for x, y in zip(text.split(" ")[1], name, strict=True))
+    out, kinds = pii.replace("παπα@example.com and password=________", "key")
+    assert kinds == ["email"] and "παπα" not in out and out.endswith("________")
+    assert all(pii.permute(x, 10_001, "key", "t") != x for x in range(10_001))
+
+
 def test_links_between_sets_of_different_size(spark):
     """A text and the same text with up to a sixth more words around it: prefixes share next to nothing."""
     rng = random.Random(12)
