@@ -457,6 +457,14 @@ def test_entities_without_ascii_digits():
         assert kinds == [kind] and out != text and [c.isdecimal() for c in out] == [c.isdecimal() for c in text] and not re.search("[0-9]", out)
 
 
+def test_rules_of_a_format_never_meet():
+    names = {f"{a}{b}{c}" for a in "AEIOUY" for b in pii.CONSONANTS for c in pii.VOWELS} | set(pii.GIVEN["latin", "f"])
+    assert "Eva" in names and len({pii.surrogate("name", f"Mr {n}", "key") for n in names}) == len(names)
+    secrets = {f"{a}{b}" for chars in pii._HEX for a in chars for b in chars} | {f"{a}{b}" for a in pii.CONSONANTS for b in "0123456789"}
+    assert len({pii.surrogate("secret", x, "key") for x in secrets}) == len(secrets)
+    assert all(pii.surrogate("secret", x, "key") != x for x in secrets)
+
+
 def test_links_between_sets_of_different_size(spark):
     """A text and the same text with up to a sixth more words around it: prefixes share next to nothing."""
     rng = random.Random(12)
