@@ -4,8 +4,8 @@ Inner products become distances by one added coordinate, sqrt(M^2 - |x|^2) with
 queries get 0 there and norm M.  A fixed Gaussian (2-stable) matrix projects to ``DIMS`` dimensions:
 the squared projected distance of a pair is its squared distance times a chi-square variable.
 
-Every distinct vector is indexed (equal vectors are one entry with its ``k + 1`` smallest ids, which is
-all that a ranking with ties by id can show).  Medians of a bounded sample deal the entries over cells of
+Every distinct vector is indexed (equal vectors are one entry with its ``k + 1`` smallest distinct ids and
+how often each occurs, which is all that a ranking with ties by id can show).  Medians of a bounded sample deal the entries over cells of
 a top kd-tree; each cell holds a kd-tree of its own.  A query searches its own cell first, then those
 whose box could still hold a neighbour.  In a cell it visits leaves by rising projected distance,
 verifies all vectors of a leaf, and stops once a neighbour as near as the k-th found would have shown up
@@ -213,9 +213,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             return void
         dims = common_size["d"]
     rows = common.stage(rows.where(F.size("vector") == dims).mapInArrow(_pack_vectors(dims), "id long, v binary"), "ann-rows")
-    # The k + 1 smallest ids of each distinct vector; Spark cuts to those before the shuffle (WindowGroupLimit).
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    entries = first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_list("id")).alias("ids"))
+    # The k + 1 smallest distinct ids of each distinct vector, so that k are left without a query's own, and how
+    # many rows each has (k at most); Spark cuts to those before the window's shuffle (WindowGroupLimit).
+    first = rows.groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("m")).withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    entries = first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_list(F.struct("id", "m"))).alias("ids"))
     asking = rows.where(F.col("id") % every == 0).select("v").distinct().withColumn("asking", F.lit(True))
     entries = common.stage(entries.join(asking, "v", "left").withColumn("asking", F.coalesce("asking", F.lit(False))), "ann-entries")
     square = F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x)
@@ -243,9 +244,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     more = more.select("cell", "entry", "v", F.lit(True).alias("asks"), "floor")
     rest = data.unionByName(more).groupBy("cell").applyInArrow(_search_cell(most, k, quantile, True), result)
     found = begun.unionByName(rest).withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "entry"))).where(F.col("n") <= k + 1).drop("n")
-    found = found.join(entries.select("entry", "ids"), "entry").select("ask", "score", F.explode("ids").alias("id"))
+    found = found.join(entries.select("entry", "ids"), "entry").select("ask", "score", F.inline("ids"))
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
-    lists = found.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("list"))  # k + 1 a query
+    lists = found.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score", "m"))).alias("list"))  # k + 1 ids a query
     queries = rows.where(F.col("id") % every == 0).join(entries.select("v", "entry"), "v").select(F.col("id").alias("query_id"), F.col("entry").alias("ask"))
     own_out = F.filter("list", lambda x: x["id"] != F.col("query_id"))
-    return queries.distinct().join(lists, "ask").select("query_id", F.posexplode(F.slice(own_out, 1, k)).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
+    each_row = F.flatten(F.transform(own_out, lambda x: F.array_repeat(x, x["m"])))
+    return queries.distinct().join(lists, "ask").select("query_id", F.posexplode(F.slice(each_row, 1, k)).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -465,6 +465,20 @@ def test_rules_of_a_format_never_meet():
     assert all(pii.surrogate("secret", x, "key") != x for x in secrets)
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    rows = vectors + 29 * [vectors[20]] + 4 * [vectors[31]] + [(i, vectors[20][1]) for i in (220, 225)] + 24 * [(40, vectors[40][1])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    first = dict(rows)
+    assert got.keys() == {i for i in first if i % 20 == 0}
+    for q in (20, 220, 40):  # each candidate row but the query's own, in one cell
+        ranked = sorted((-float((np.array(v) * np.array(first[q])).sum()), i) for i, v in rows if i != q)
+        assert got[q] == [i for _, i in ranked[:20]]
+
+
 def test_links_between_sets_of_different_size(spark):
     """A text and the same text with up to a sixth more words around it: prefixes share next to nothing."""
     rng = random.Random(12)
