@@ -59,6 +59,11 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return made
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a number of its own for each row, written down so that it stays the same."""
+    return stage(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 #: Rows of ids up to which a table of ids is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1 << 20
 

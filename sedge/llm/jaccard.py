@@ -401,9 +401,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component, all columns kept (of rows that repeat an
-    id, all that are alike stay; exact duplicate removal is another operator's work)."""
-    key = common.fresh(df, "near_key")[0]
-    found = jaccard_components(df, id_col, text_col, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return common.without(df, id_col, gone, key)
+    """One row of each component of ``df``, all columns kept: the one with the smallest known id.  Rows are told
+    apart by a key of their own, so null and repeated ids are no obstacle; of rows alike one stays, unless
+    they have no shingle."""
+    key, gone_key = common.fresh(df, "near_key", "near_gone")
+    rows = common.keyed(df, key)
+    found = jaccard_components(rows, key, text_col, **options).select("doc_id", "component_id")
+    ids = rows.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("id"))
+    found = common.stage(found.join(ids, F.col("doc_id") == F.col("row")).select("component_id", "row", "id"), "near-rows")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))["row"].alias("row"))
+    gone = found.join(kept, "row", "left_anti").select(F.col("row").alias(gone_key))
+    return common.without(rows, key, gone, gone_key).drop(key)

@@ -68,10 +68,12 @@ def source_targets(sizes: DataFrame, most: int = MOST_TIMES) -> DataFrame:
     return per.select("source", "rank", "source_size", "all_size", target.alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_words: int = SHARD_WORDS, most: int = MOST_TIMES, seed: str = SEED) -> DataFrame:
-    """One row per row of ``df``: doc_id, size, source_size, target, taken."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_words: int = SHARD_WORDS, most: int = MOST_TIMES, seed: str = SEED, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``df``: doc_id, size, source_size, target, taken; with ``row_col``, which numbers the rows,
+    also row and n, the place in the shard."""
+    row = ["row"] if row_col else []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long")
-    sizes = common.stage(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sizes = common.stage(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(row_col).alias(r) for r in row]), "mix-sizes")
     targets = common.stage(source_targets(sizes, most).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
     seats = F.floor(F.col("all_size") / block + 0.5).cast("long")
@@ -87,7 +89,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     shards = shards.select("rank", "shard", "shard_size", words.alias("words"))
 
     group = ["rank", "shard"]
-    laid = rows.join(shards, group).withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("code", "doc_id", "size")))
+    laid = rows.join(shards, group).withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("code", "doc_id", "size", *row)))
     laid = laid.withColumn("begin", F.sum("size").over(Window.partitionBy(*group).orderBy("n")) - F.col("size"))
     laid = laid.withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long"))
     laid = laid.withColumn("rest", F.col("words") - F.col("passes") * F.col("shard_size"))
@@ -98,18 +100,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     drawn = Window.partitionBy(*group).orderBy("lot", "k", "n").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.greatest(F.lit(0), F.least(F.col("part"), F.col("rest") - F.coalesce(F.sum("part").over(drawn), F.lit(0))))
     cut = cut.withColumn("more", taken)
-    out = cut.groupBy(*group, "n", "doc_id", "size", "source_size", "target", "passes").agg(F.sum("more").alias("more"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    out = cut.groupBy(*group, "n", "doc_id", "size", "source_size", "target", "passes", *row).agg(F.sum("more").alias("more"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"), *row, *(["n"] if row else []))
 
 
 def repeat_rows(df: DataFrame, **options) -> DataFrame:
     """``df`` with each document as often as the mix takes it, rounded down to whole texts with the
-    remainder settled by a seeded draw (so a source's words come near its target); columns unchanged."""
-    key, times = common.fresh(df, "mix_key", "mix_times")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("draw-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    plan = mix(df, **options).select(F.col("doc_id").alias(key), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int").alias(times))
-    plan = plan.groupBy(key).agg(F.max(times).alias(times)).where(F.col(times) > 0)
-    id_col = options.get("id_col", "doc_id")
-    joined = df.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+    remainder settled by a seeded draw (so a source's words come near its target); columns unchanged.
+    Rows are told apart by a key of their own, and rows that share an id (or have none) draw apart."""
+    key, plan_key, times = common.fresh(df, "mix_key", "mix_plan", "mix_times")
+    rows = common.keyed(df, key)
+    lot = F.concat_ws("-", F.lit("draw"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n")
+    draw = F.conv(F.substring(F.md5(lot), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    plan = mix(rows, row_col=key, **options).select(F.col("row").alias(plan_key), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int").alias(times))
+    joined = rows.join(plan.where(F.col(times) > 0), F.col(key) == F.col(plan_key))
     copy = common.fresh(joined, "mix_copy")[0]
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -479,6 +479,31 @@ def test_nearest_with_repeated_rows(spark):
         assert got[q] == [i for _, i in ranked[:20]]
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(str(rng.random()) for _ in range(60))
+    base, void = text(), text()
+    near = lambda t, w: f"{t} {w}"
+    rows = [(7, base), (None, near(base, "a")), (None, near(base, "b")), (None, text()), (None, text()), (None, void), (None, near(void, "a")), (9, text()), (9, near(base, "c")), (9, text()), (5, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], DDL)
+    kept = jaccard.keep_representatives(df)
+    got = {r.n_chars for r in kept.collect()}
+    assert kept.columns == df.columns and got - {5, 6} == {0, 3, 4, 7, 9, 10, 11} and len(got & {5, 6}) == 1
+
+
+def test_mixing_repeats_each_row_by_its_own_plan(spark):
+    rng = random.Random(9)
+    ids = [None] * 300 + [1] * 300 + list(range(2, 302))
+    df = spark.createDataFrame([(i, "w " * rng.randint(5, 90), "en", "abc"[n % 3], n) for n, i in enumerate(ids)], DDL)
+    size, got = Counter(), Counter()
+    for r in df.collect():
+        size[r.source] += len(words(r.text))
+    for r in mixing.repeat_rows(df, shard_words=2000).collect():
+        got[r.source] += len(words(r.text))
+    want = water(dict(size))
+    assert all(abs(got[s] - want[s]) <= 0.05 * want[s] + 128 for s in want)
+
+
 def test_links_between_sets_of_different_size(spark):
     """A text and the same text with up to a sixth more words around it: prefixes share next to nothing."""
     rng = random.Random(12)
