@@ -311,9 +311,60 @@ def test_nearest_few_and_none(spark):
     assert ann.nearest(spark.createDataFrame([(0, [0.0])], ddl)).count() == 0
 
 
-def test_chi_square_quantile():
-    assert ann.chi_square_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05))
-    assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
+def test_stop_quantile():
+    rng = np.random.default_rng(4)
+    for m, full in ((32, 65), (4, 9), (1, 3), (2, 3)):
+        a, b = rng.chisquare(m, 200_000), rng.chisquare(full - m, 200_000)
+        assert ann.stop_quantile(0.9, m, full) == pytest.approx(np.quantile(a / (a + b), 0.9), abs=5e-3)
+    assert ann.stop_quantile(0.9, 3, 3) == 1
+
+
+def test_index_prunes_without_structure():
+    """64-d vectors without clusters, the hardest case: recall, and the share that is verified."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    ids, at = rng.permutation(8000), ann.space(1.0, 64, 20, ann.SURE)
+    q = x[:200]
+    row, entry, score, seen = ann.search(x, ids, q, np.full(200, -np.inf), at)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :21]
+    hit = sum(len(set(entry[row == i]) & set(ids[want[i]])) for i in range(200))
+    assert hit >= 0.95 * 21 * 200
+    assert seen.mean() < 0.4 * 8000
+    floors = np.array([score[row == i].min() for i in range(200)])
+    again = ann.search(x, ids, q, floors, at)
+    assert again[3].mean() <= seen.mean() and len(again[0]) >= 0.95 * 21 * 200
+
+
+def test_boxes_reach_what_a_loop_reaches():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(600, 5))
+    nodes = ann._borders(points[:200], 16)
+    cell = ann._cell_of(points, nodes)
+    own = np.unique(cell)
+    low, high = (np.array([f(points[cell == c], axis=0) for c in own]) for f in (np.min, np.max))
+    boxes = ann.Boxes(16, own, low, high)
+    spots, limits = rng.normal(size=(40, 5)) * 2, rng.uniform(0, 6, 40)
+    row, found = boxes.reach(spots, limits)
+    want = {(i, c) for i in range(40) for c, lo, hi in zip(own, low, high, strict=True) if ann.box_distance(spots[i], lo[None], hi[None])[0] < limits[i]}
+    assert set(zip(row.tolist(), found.tolist(), strict=True)) == {(i, int(c)) for i, c in want}
+
+
+def test_nearest_in_many_cells(spark):
+    """64-d vectors over many cells, pieces and query blocks, held against brute force."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, cell=150, block=40).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 3000, 20):
+        near = x @ x[q]
+        near[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-near)[:20].tolist()))
+    assert len(got) == 150 and all(len(g) == 20 for g in got.values())
+    assert hit >= 0.94 * 20 * 150
 
 
 def test_token_counts(spark, corpus):
