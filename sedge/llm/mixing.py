@@ -5,15 +5,18 @@
    all sources.  A target stops at ``most`` times its source's size and the excess is reshared by
    weight until none is above: the water level is found in closed form from sources sorted by
    cap / weight.
-3. The total is cut into equal blocks of ``block`` words, apportioned to the sources by highest
-   quotients target / (2k + 1), then within each source to its shards by size in the same way.
-   Rounding share to nearest leaves only a few seats to give or take, so quotients are formed for
-   those alone.
-4. In a shard, documents lie in seeded order and are cut into blocks; whole passes over the shard
-   come first, the rest are the blocks of smallest seeded hash, the last one in part.
+3. The total is cut into equal blocks of tokens, apportioned to the sources by highest quotients
+   target / (2k + 1), then within each source to its shards by size in the same way.  A block has
+   ``block`` words, or fewer so that the least target has ``LEAST_BLOCKS`` of them: a source's words come
+   within a hundredth of its target or to the word.  Rounding share to nearest leaves as many seats to give
+   or take as half the parties at most, and the divisor's bounds say how many of them a party can
+   get, so about three quotients a party are formed in all.
+4. In a shard, documents lie in seeded order and are cut into runs of ``block`` words; whole passes over the
+   shard come first, the rest are the runs of smallest seeded hash, the last one in part.
 
 A source of any size is dealt over shards of about ``shard_words`` (at most ``MOST_SHARDS``), so a
-hot source makes many groups.  Defined results: null text has size 0 and takes 0; a source without
+hot source makes many groups.  Only a table of a few numbers per source passes through one task (the
+targets need running sums over all sources).  Defined results: null text has size 0 and takes 0; a source without
 words has target 0; repeated rows are separate documents; an empty table gives an empty result.
 """
 
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from sedge.llm import common
 
 BLOCK = 128
+LEAST_BLOCKS = 128
 SHARD_WORDS = 1 << 17
-MOST_SHARDS = 4096
+MOST_SHARDS = 1 << 17
 MOST_TIMES = 3
 SEED = "mix"
 #: Sources up to which their table (a few numbers a row) is broadcast; beyond it Spark joins by shuffle.
@@ -37,17 +41,21 @@ def _apportion(shares: DataFrame, key: str, within: list[str], seats: str) -> Da
     """Sainte-Laguë: ``shares`` has (within..., key, votes, all_votes, ``seats``); adds ``quota``.
 
     Every party starts at its rounded share; the seats missing (or too many) are given to the highest
-    next quotients (taken from the lowest last ones).
+    next quotients (taken from the lowest last ones).  With P parties and V votes the divisor of the result
+    lies between V / (seats + P / 2) and V / (seats - P / 2), so a party of v votes gains or loses
+    v P / 2V + 2 seats at most: no more of its quotients are formed.
     """
     w = Window.partitionBy(*within)
+    bound = F.col("votes") / F.col("all_votes") * F.count(F.lit(1)).over(w) / 2 + 2
     start = shares.withColumn("start", F.when(F.col("all_votes") > 0, F.floor(F.col("votes") / F.col("all_votes") * F.col(seats) + 0.5)).otherwise(0).cast("long"))
-    start = start.withColumn("gap", F.col(seats) - F.sum("start").over(w))
-    step = start.where("gap != 0").select(*within, key, "votes", "gap", "start", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("gap"))).alias("k"))
+    start = start.withColumn("gap", F.col(seats) - F.sum("start").over(w)).withColumn("most", F.when(F.col("votes") > 0, F.ceil(bound)).otherwise(0))
+    most = F.least(F.abs("gap"), "most")
+    step = start.where((F.col("gap") != 0) & (F.col("most") > 0)).select(*within, key, "votes", "gap", "start", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("k"))
     quotient = F.when(F.col("gap") > 0, -F.col("votes") / (2 * (F.col("start") + F.col("k")) - 1)).otherwise(F.col("votes") / (2 * (F.col("start") - F.col("k")) + 1))
     step = step.where((F.col("gap") > 0) & (F.col("votes") > 0) | (F.col("gap") < 0) & (F.col("k") <= F.col("start"))).withColumn("q", quotient)
     step = step.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy("q", key, "k"))).where(F.col("place") <= F.abs("gap"))
     moved = step.groupBy(*within, key).agg(F.sum(F.signum("gap")).cast("long").alias("moved"))
-    return start.join(moved, [*within, key], "left").withColumn("quota", F.col("start") + F.coalesce("moved", F.lit(0))).drop("start", "gap", "moved")
+    return start.join(moved, [*within, key], "left").withColumn("quota", F.col("start") + F.coalesce("moved", F.lit(0))).drop("start", "gap", "moved", "most")
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_TIMES) -> DataFrame:
@@ -76,7 +84,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sizes = common.stage(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(row_col).alias(r) for r in row]), "mix-sizes")
     targets = common.stage(source_targets(sizes, most).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
-    seats = F.floor(F.col("all_size") / block + 0.5).cast("long")
+    least = targets.where("target > 0").agg(F.min("target")).first()[0] or 0
+    unit = min(block, max(1, int(least // LEAST_BLOCKS)))
+    seats = F.floor(F.col("all_size") / unit + 0.5).cast("long")
     by_source = _apportion(targets.withColumn("one", F.lit(0)).withColumn("votes", F.col("target")).withColumn("all_votes", F.col("all_size")).withColumn("seats", seats), "rank", ["one"], "seats")
     by_source = by_source.select("rank", F.col("quota").alias("source_quota"))
     code = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -85,7 +95,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.withColumn("shard", F.conv(F.substring("code", 1, 8), 16, 10).cast("long") % F.col("shards"))
     shards = rows.groupBy("rank", "shard", "source_size").agg(F.sum("size").alias("shard_size")).join(by_source, "rank")
     shards = _apportion(shards.withColumn("votes", F.col("shard_size").cast("double")).withColumn("all_votes", F.col("source_size")), "shard", ["rank"], "source_quota")
-    words = F.least(F.col("quota") * block, most * F.col("shard_size"))
+    words = F.least(F.col("quota") * unit, most * F.col("shard_size"))
     shards = shards.select("rank", "shard", "shard_size", words.alias("words"))
 
     group = ["rank", "shard"]
