@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -39,6 +40,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges(staged: DataFrame, each: int) -> tuple[int, ...]:
+    """Partitions for a staged table, of ``each`` bytes of its files, where that makes more than the session's
+    number; else nothing, so that adaptive execution can join small ones."""
+    size = int(str(staged._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    many = -(-size // each)
+    return (many,) if many > int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+
+
+def hash_bits(texts: DataFrame, most: int) -> int:
+    """Bits of a hash that deal what is counted in ``texts`` over groups: 10, more from a GB of text on."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(most, max(10, math.ceil(math.log2(max(1, size / 2**30))) + 10))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

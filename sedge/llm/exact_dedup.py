@@ -1,11 +1,17 @@
 """Exact duplicate removal by a distributed content sort.
 
-Splitters sampled by Spark range-partition the documents on (head of the normalised text, 64-bit
-hash of all of it, doc_id); each partition is then sorted externally on (head, hash, normalised text,
-doc_id), which places equal texts next to each other.  A streaming pass compares every row with its
-neighbour - full bytes, not only hashes - and closes runs of equals.  ``doc_id`` is part of the range
-key, so a group of any size is dealt over many partitions; only the first and last run of a partition
-can go on elsewhere, and those (two per partition at most) are united by their full text afterwards.
+1. Splitters.  A hashed sample of rows (``SAMPLED`` at most) gives keys (head of the normalised text, 64-bit hash of
+   all of it, doc_id) with their texts' bytes; splitters cut the keys into ranges of equal bytes, about
+   ``RANGE_BYTES`` each.  Only sampled texts are normalised for that.
+2. Sort.  Every row finds its range by binary search among the splitters (JVM expressions); each range is
+   one partition, sorted externally on (head, hash, normalised text, doc_id), which places equal texts
+   next to each other.
+3. Runs.  A streaming pass compares every row with its neighbour - full bytes, not only hashes - and
+   closes runs of equals; it holds one batch and the ids of the open run.
+
+``doc_id`` is part of the range key, so a group of any size is dealt over many partitions; only the first
+and last run of a partition can go on elsewhere, and those (two per partition at most) are united by
+their full text afterwards.
 
 Defined results: a null text counts as empty; empty texts equal each other; of equal texts the row
 with the most code points in the original text, then the smallest id, stays; a null id sorts last;
@@ -14,17 +20,23 @@ of repeated rows exactly one stays; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm import common
 from sedge.llm.textkit import buffers
 
+#: Characters of the normalised text by which it is ranged, rows drawn for the splitters at most, bytes of a range.
+HEAD = 16
+SAMPLED = 1 << 18
+RANGE_BYTES = 64 << 20
+
 _NO_ID = np.iinfo(np.int64).max
 _ROWS = pa.schema([("doc_id", pa.int64()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("group_size", pa.int64()), ("best", pa.bool_()), ("text_sha256", pa.string()), ("edge", pa.int64()), ("edge_text", pa.string())])
 _DDL = "doc_id long, keep_id long, keep_chars long, group_size long, best boolean, text_sha256 string, edge long, edge_text string"
@@ -43,50 +55,128 @@ def _new_runs(norm: pa.Array, code: np.ndarray, last: tuple[int, bytes] | None)
     return new
 
 
+class _Runs:
+    """Turns a sorted stream of rows into finished runs of equal texts, as record batches."""
+
+    def __init__(self, pid: int):
+        self.pid, self.first, self.open = pid, True, []
+        self.text = b""
+
+    def begin(self, text: bytes) -> None:
+        self.text, self.open = text, []
+
+    def close(self, last: bool) -> list:
+        """Columns of the open run: ids, what stays, its length, size, best, digest, edge, edge text."""
+        doc, n = (np.concatenate(x) for x in zip(*self.open, strict=True))
+        best = int(np.lexsort((doc, -n))[0])
+        is_best = np.zeros(len(doc), bool)
+        is_best[best] = True
+        edge = 2 * self.pid if self.first else 2 * self.pid + 1 if last else -1
+        self.first = False
+        void = lambda x: None if x == _NO_ID else int(x)
+        many = len(doc)
+        text = [self.text.decode() if i == best and edge >= 0 else None for i in range(many)] if edge >= 0 else pa.nulls(many, pa.string())
+        return [
+            pa.array(doc, pa.int64(), mask=doc == _NO_ID), pa.repeat(pa.scalar(void(doc[best]), pa.int64()), many), pa.repeat(pa.scalar(int(n[best])), many), pa.repeat(pa.scalar(many), many),
+            pa.array(is_best), pa.repeat(pa.scalar(hashlib.sha256(self.text).hexdigest()), many), pa.repeat(pa.scalar(edge if edge >= 0 else None, pa.int64()), many), pa.array(text, pa.string()),
+        ]
+
+
+def _inner_runs(doc: np.ndarray, n: np.ndarray, start: np.ndarray, off: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    """Runs that begin and end inside a batch, ``start`` holding their bounds."""
+    lo, hi = start[0], start[-1]
+    run = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    own, chars = doc[lo:hi], n[lo:hi]
+    order = np.lexsort((own, -chars, run))
+    best = order[start[:-1] - lo]
+    is_best = np.zeros(len(own), bool)
+    is_best[best] = True
+    sha = pa.array([hashlib.sha256(raw[off[i] : off[i + 1]]).hexdigest() for i in start[:-1]])
+    void = lambda x: pa.array(x, pa.int64(), mask=x == _NO_ID)
+    return pa.RecordBatch.from_arrays([void(own), void(own[best][run]), pa.array(chars[best][run]), pa.array(np.diff(start)[run]), pa.array(is_best), sha.take(pa.array(run)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.string())], schema=_ROWS)
+
+
 def _close_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, chars, shas, news = [], [], [], []
-    last: tuple[int, bytes] | None = None
-    first_text = ""
+    runs, last = _Runs(TaskContext.get().partitionId()), None
     for b in batches:
         if not b.num_rows:
             continue
         norm, code = b.column("norm"), b.column("code").to_numpy(zero_copy_only=False)
-        if last is None:
-            first_text = norm[0].as_py()
-        news.append(_new_runs(norm, code, last))
-        last = (code[-1], norm[-1].as_py().encode())
-        ids.append(b.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False))
-        chars.append(b.column("chars").to_numpy(zero_copy_only=False))
-        shas.append(b.column("sha"))
-    if last is None:
-        return
-    doc, n, new = np.concatenate(ids), np.concatenate(chars), np.concatenate(news)
-    new[0] = True
-    run = np.cumsum(new) - 1
-    order = np.lexsort((doc, -n, run))
-    best = order[np.searchsorted(run[order], np.arange(run[-1] + 1))]  # each run's row that stays
-    size = np.bincount(run)
-    pid = TaskContext.get().partitionId()
-    edge = np.full(len(run), -1, np.int64)
-    text = np.full(len(run), None, object)
-    edge[run == run[-1]] = 2 * pid + 1
-    text[best[-1]] = last[1].decode()
-    edge[run == 0] = 2 * pid
-    text[best[0]] = first_text
-    is_best = np.zeros(len(run), bool)
-    is_best[best] = True
-    void = lambda x: pa.array(x, pa.int64(), mask=x == _NO_ID)
-    out = pa.Table.from_arrays([void(doc), void(doc[best][run]), pa.array(n[best][run]), pa.array(size[run]), pa.array(is_best), pa.chunked_array(shas), pa.array(edge, pa.int64(), mask=edge < 0), pa.array(text, pa.string())], schema=_ROWS)
-    yield from out.to_batches(max_chunksize=65536)
+        off, raw = buffers(norm)
+        new = np.flatnonzero(_new_runs(norm, code, last))
+        doc = b.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        n = b.column("chars").to_numpy(zero_copy_only=False)
+        if not len(new):
+            runs.open.append((doc, n))
+            continue
+        if last is not None:
+            runs.open.append((doc[: new[0]], n[: new[0]]))
+            yield pa.RecordBatch.from_arrays(runs.close(False), schema=_ROWS)
+        elif len(new) > 1:  # the partition's first run ends here
+            runs.begin(raw[off[0] : off[1]].tobytes())
+            runs.open.append((doc[: new[1]], n[: new[1]]))
+            yield pa.RecordBatch.from_arrays(runs.close(False), schema=_ROWS)
+            new = new[1:]
+        if len(new) > 1:
+            yield _inner_runs(doc, n, new, off, raw)
+        at = new[-1]
+        runs.begin(raw[off[at] : off[at + 1]].tobytes())
+        runs.open.append((doc[at:], n[at:]))
+        last = (code[-1], runs.text)
+    if last is not None:
+        t = pa.Table.from_batches([pa.RecordBatch.from_arrays(runs.close(True), schema=_ROWS)])
+        yield from t.to_batches(max_chunksize=65536)
+
+
+def _normalised(text_col: str) -> Column:
+    return F.regexp_replace(common.text_or_empty(text_col), common.BLANK, "")
+
+
+def _splitters(df: DataFrame, id_col: str, text_col: str) -> list[tuple[str, int, int]]:
+    """Keys (hex of the head, hash, id) that cut the table into ranges of about equal bytes."""
+    many = df.count()
+    if not many:
+        return []
+    every = -(-2 * many // SAMPLED)
+    # Rows are drawn by a hash of what is at hand before anything is normalised.
+    drawn = df.where(F.pmod(F.xxhash64(F.col(id_col), F.substring(common.text_or_empty(text_col), 1, 64)), F.lit(every)) == 0)
+    norm = _normalised(text_col)
+    got = drawn.select(F.hex(F.substring(norm, 1, HEAD).cast("binary")).alias("head"), F.xxhash64(norm).alias("code"), _id(id_col).alias("doc"), (F.octet_length(norm) + 64).alias("bytes")).orderBy("head", "code", "doc").limit(SAMPLED).toArrow()
+    size = np.cumsum(got.column("bytes").to_numpy().astype(np.int64)) if got.num_rows else np.zeros(1, np.int64)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size[-1] * every // RANGE_BYTES) + 1)
+    at = np.unique(np.searchsorted(size, size[-1] * np.arange(1, ranges) / ranges))
+    rows = got.take(pa.array(at[at < got.num_rows])).to_pylist()
+    return sorted({(r["head"], r["code"], r["doc"]) for r in rows})
+
+
+def _id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+
+
+def _range_of(splitters: list[tuple[str, int, int]]) -> Column:
+    """Number of splitters that are not above the row's key, by binary search."""
+    if not splitters:
+        return F.lit(0)
+    heads, codes, ids = zip(*splitters, strict=True)
+    table = [F.split(F.lit(",".join(heads)), ","), *(F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (codes, ids))]
+    key = F.struct(F.hex(F.col("head").cast("binary")).alias("a"), F.col("code").alias("b"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("c"))
+    bits = len(splitters).bit_length()
+
+    def step(found: Column, bit: Column) -> Column:
+        tried = found + bit
+        here = F.struct(*(F.get(t, tried - 1).alias(n) for t, n in zip(table, "abc", strict=True)))
+        return F.when((tried <= len(splitters)) & (here <= key), tried).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(bits - 1, -1, -1)]), F.lit(0), step)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
-    norm = F.regexp_replace(common.text_or_empty(text_col), common.BLANK, "")
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(common.text_or_empty(text_col)).cast("long").alias("chars"), norm.alias("norm"))
-    keyed = keyed.withColumn("head", F.substring("norm", 1, 16)).withColumn("code", F.xxhash64("norm"))
-    dealt = keyed.repartitionByRange("head", "code", "doc_id").withColumn("sha", F.sha2("norm", 256))
-    runs = dealt.sortWithinPartitions("head", "code", "norm", "doc_id").select("doc_id", "chars", "norm", "code", "sha").mapInArrow(_close_runs, _DDL)
+    splitters = _splitters(df, id_col, text_col)
+    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(common.text_or_empty(text_col)).cast("long").alias("chars"), _normalised(text_col).alias("norm"))
+    keyed = keyed.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("code", F.xxhash64("norm")).withColumn("range", _range_of(splitters))
+    dealt = keyed.repartitionById(len(splitters) + 1, "range")
+    runs = dealt.sortWithinPartitions("head", "code", "norm", F.asc_nulls_last("doc_id")).select("doc_id", "chars", "norm", "code").mapInArrow(_close_runs, _DDL)
     rows = common.stage(runs, "exact-runs")
     # Two runs a partition at most have an edge: this table is bounded by the partition count.
     edges = (
@@ -115,7 +205,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     key, sha, chars, rank = common.fresh(df, "keep_key", "keep_sha", "keep_chars", "keep_rank")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         return common.without(df, id_col, found.where(~F.col("kept")).select(F.col("doc_id").alias(key)), key)
-    own = F.sha2(F.regexp_replace(common.text_or_empty(text_col), common.BLANK, ""), 256)
+    own = F.sha2(_normalised(text_col), 256)
     stay = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     kept = df.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (own == F.col(sha)), "left_semi")
     first = Window.partitionBy(id_col, sha).orderBy(F.desc(chars))
