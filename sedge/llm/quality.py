@@ -3,8 +3,8 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document.  A pass over all documents
 counts the vote patterns (a table bounded by 3 ** labellers); expectation-maximisation on those counts
 estimates the labellers' accuracies and the class share without any human label.  Posteriors of a
-bounded hash sample (``SAMPLE`` documents at most) then train a linear scorer over hashed word-form
-features by Newton steps; the scorer decides on every document.
+bounded hash sample (``SAMPLE`` distinct texts at most; copies count once, so that no hot text fills it) then
+train a linear scorer over hashed word-form features by Newton steps; the scorer decides on every document.
 
 The scorer generalises what the labellers see: its features are forms of single words (first and last
 character classes, case, length, repetition), so a text is judged by all its words.
@@ -70,8 +70,8 @@ class Forms:
     def votes(self) -> np.ndarray:
         """(rows, labellers): 1 good, 0 bad, 2 nothing."""
         n = self.w.count
-        key = np.unique(np.column_stack([self.w.row.astype(np.uint64), self.hash]), axis=0)[:, 0].astype(np.int64) if len(self.hash) else np.zeros(0, np.int64)
-        variety = np.bincount(key, minlength=self.rows) / np.maximum(n, 1)
+        own = np.unique(mix(self.hash + mix(self.w.row.astype(np.uint64))), return_index=True)[1] if len(self.hash) else np.zeros(0, np.int64)
+        variety = np.bincount(self.w.row[own], minlength=self.rows) / np.maximum(n, 1)
         pipes = self.share((self.first == 6) & (self.length == 1))
         symbols = self.share((self.last == 0) & (self.before == 0))
         bangs = self.share((self.last == 7) & (self.before == 7))
@@ -84,16 +84,26 @@ class Forms:
             vote(repeats > 0.2, repeats < 0.1), vote((variety < 0.35) & (n >= 50), (variety > 0.5) & (n >= 20)), vote(wordlike < 0.6, wordlike > 0.9), vote((ends == 0) & (n >= 60), (ends > 0.01) & (ends < 0.6)),
         ])
 
-    def vectors(self) -> np.ndarray:
-        """(rows, BUCKETS): shares of hashed word forms."""
-        out = np.zeros((self.rows, BUCKETS), np.float32)
-        if len(self.hash):
-            case = np.where(self.lower > 0, np.where(self.upper > 0, 1, 0), np.where(self.upper > 1, 2, 3))
-            form = (((self.first * 9 + self.last) * 9 + self.before) * 4 + case) * 4 + np.minimum(np.log2(self.length).astype(np.int64), 3)
-            for code in (form, case * 10 + self.repeat + 100_000, self.last * 9 + self.before + 200_000):
-                bucket = (mix(code.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-                out += np.bincount(self.w.row * BUCKETS + bucket, minlength=out.size).reshape(out.shape)
-        return out / np.maximum(self.w.count, 1)[:, None]
+    def vectors(self, rows: np.ndarray | None = None) -> np.ndarray:
+        """(rows, BUCKETS): shares of hashed word forms, of all rows or of some."""
+        many = np.arange(self.rows) if rows is None else rows
+        out = np.zeros((len(many), BUCKETS), np.float32)
+        place = np.full(self.rows, -1)
+        place[many] = np.arange(len(many))
+        at = np.flatnonzero(place[self.w.row] >= 0) if rows is not None else slice(None)
+        row = place[self.w.row[at]]
+        if len(row):
+            first, last, before, lower, upper = (x[at] for x in (self.first, self.last, self.before, self.lower, self.upper))
+            case = np.where(lower > 0, np.where(upper > 0, 1, 0), np.where(upper > 1, 2, 3))
+            form = (((first * 9 + last) * 9 + before) * 4 + case) * 4 + np.minimum(np.log2(self.length[at]).astype(np.int64), 3)
+            for code in (form, case * 10 + self.repeat[at] + _SECOND, last * 9 + before + _THIRD):
+                out += np.bincount(row * BUCKETS + _BUCKET[code], minlength=out.size).reshape(out.shape)
+        return out / np.maximum(self.w.count[many], 1)[:, None]
+
+
+# Buckets of the three kinds of form codes, each kind from an offset of its own.
+_SECOND, _THIRD = 100_000, 200_000
+_BUCKET = (mix(np.arange(_THIRD + 100).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, Forms]]:
@@ -109,7 +119,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, f in _slices(b.column("text")):
             pick = np.flatnonzero(b.column("sampled").slice(i, j - i).to_numpy(zero_copy_only=False))
-            vectors = f.vectors()[pick].astype("<f4")
+            vectors = f.vectors(pick).astype("<f4")
             sample = np.full(j - i, None, object)
             sample[pick] = [v.tobytes() for v in vectors]
             yield pa.RecordBatch.from_arrays([pa.array(f.votes() @ _POWERS), pa.array(sample, pa.binary())], names=["pattern", "vector"])
@@ -174,13 +184,13 @@ def _keep(w: np.ndarray, text_at: int):
 def fit(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vote patterns, their P(good), the scorer's weights) learnt from ``df``."""
     docs = df.select(common.text_or_empty(text_col).alias("text"))
-    every = max(1, -(-docs.count() // sample))
+    every = max(1, -(-5 * docs.count() // (4 * sample)))
     votes = docs.select("text", (F.pmod(F.xxhash64("text"), F.lit(every)) == 0).alias("sampled")).mapInArrow(_vote, "pattern long, vector binary")
     votes = common.stage(votes, "quality-votes")
     patterns = votes.groupBy("pattern").count().orderBy("pattern").toArrow()  # 3 ** labellers rows at most
     code, n = patterns.column("pattern").to_numpy(), patterns.column("count").to_numpy().astype(float)
     p = expectation_maximisation(code[:, None] // _POWERS % 3, n) if len(code) else np.zeros(0)
-    part = votes.where("vector is not null").orderBy(F.xxhash64("vector"), "vector").limit(2 * sample).toArrow()
+    part = votes.where("vector is not null").distinct().orderBy(F.xxhash64("vector"), "vector", "pattern").limit(sample).toArrow()
     x = np.array([np.frombuffer(v.as_buffer(), "<f4") for v in part.column("vector")]).reshape(-1, BUCKETS)
     y = p[np.searchsorted(code, part.column("pattern").to_numpy())] if len(x) else np.zeros(0)
     return code, p, train(x, y) if len(x) else np.zeros(BUCKETS + 1)
