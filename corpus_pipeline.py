@@ -4,6 +4,11 @@ Each stage gets what its predecessor kept, read back from Parquet.  All but the
 of ``documents``: the classifier drops junk, exact dedup keeps one of equal texts, the Jaccard join
 (five words, similarity 0.8) keeps one document of each group of near copies, mixing repeats or leaves
 out documents to meet the sources' targets, and packing returns the pieces of the training sequences.
+
+Defined results: rows are told apart by keys of their own, so null or repeated ids lose no text; a null text
+counts as empty, which the classifier rejects (it has no words to judge); a null source is a source; extra
+columns pass through the stages unchanged, whatever their names, and end at packing; an empty table, or one of
+which the classifier keeps nothing, gives no piece; texts of any length go through whole.
 """
 
 from __future__ import annotations
