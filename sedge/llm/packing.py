@@ -2,13 +2,13 @@
 
 Every document is tokenised once; its hashed bag of tokens is projected to a few dimensions (a fixed
 random table per hash bucket), squashed to a grid and given its Hilbert index.  A range sort by
-(Hilbert index, doc_id) brings similar documents together, and each partition is cut into sequences of
-``length`` tokens in one streaming pass.  What is left at a partition's end is cut into sequences of
+(Hilbert index, doc_id) brings similar documents together - in as many ranges as the staged tokens' bytes
+ask for - and each partition is cut into sequences of ``length`` tokens in one streaming pass.  What is left at a partition's end is cut into sequences of
 powers of two, so no sequence needs padding.
 
 Tokenising goes word by word: the tokenizer drops white space and never joins across it, so the ids of
-a text are the ids of its white-space words in order.  Each Python worker keeps the ids of up to
-``CACHE_WORDS`` words; texts for which the split could differ (information separators) are encoded
+a text are the ids of its white-space words in order, and it lower-cases, so plain ASCII texts are lowered before.
+Each Python worker keeps the ids of up to ``CACHE_WORDS`` words; texts for which the split could differ (information separators) are encoded
 whole.
 
 Defined results: a null text counts as empty; an empty document is its end token alone; repeated rows
@@ -33,6 +33,8 @@ LENGTH = 4096
 END_ID = 2
 DIMS, BITS, BUCKETS = 4, 12, 4096
 CACHE_WORDS = 700_000
+#: Bytes of staged tokens in a range of the curve.
+RANGE_BYTES = 32 << 20
 
 _ODD = re.compile("[\x1c-\x1f]")
 _workers: dict[str, tuple] = {}
@@ -59,21 +61,19 @@ def _encoder(path: str):
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as unsigned 16 bit integers (end token not included)."""
     tok, cache = _encoder(path)
-    split = [t.split() if not _ODD.search(t) else None for t in texts]
-    unknown = list({w for ws in split if ws for w in ws if w not in cache})
-    rare: dict[str, bytes] = {}
-    for i in range(0, len(unknown), 4096):
-        part = unknown[i : i + 4096]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-            (cache if len(cache) < CACHE_WORDS else rare)[w] = np.asarray(e.ids, "<u2").tobytes()
-    out = []
-    for t, ws in zip(texts, split, strict=True):
-        if ws is None:
-            out.append(np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
-        elif rare:
-            out.append(b"".join([cache.get(w) or rare.get(w, b"") for w in ws]))
-        else:
-            out.append(b"".join([cache[w] for w in ws]))
+    split = [(t.lower() if t.isascii() else t).split() if not _ODD.search(t) else None for t in texts]
+    fresh = list(set().union(*(ws for ws in split if ws)).difference(cache))
+    for i in range(0, len(fresh), 512):
+        part = fresh[i : i + 512]
+        made = tok.encode(" ".join(part), add_special_tokens=False)
+        begin = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+        stop = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        ids, ends = np.asarray(made.ids, "<u2").tobytes(), 2 * np.append(0, np.searchsorted(begin, stop))
+        cache.update(zip(part, map(ids.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist())), strict=True))
+    whole = lambda t: np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+    out = [whole(t) if ws is None else b"".join(map(cache.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+    for w in fresh[max(0, len(fresh) - max(0, len(cache) - CACHE_WORDS)) :]:
+        del cache[w]
     return out
 
 
@@ -212,5 +212,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
     tokens = common.stage(rows.mapInArrow(_tokenise(path), "doc_id long, curve long, ids binary"), "pack-tokens")
     order = ["curve", "doc_id"]
-    dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = tokens.repartitionByRange(*common.ranges(tokens, RANGE_BYTES), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return dealt.mapInArrow(_pack(length, end_id), ", ".join(f"`{n}` long" for n in _PIECES.names))
