@@ -5,7 +5,8 @@ split by document (at most ``shards`` groups can be that large).  Differencing r
 partial partitions of largest spread and adds them oppositely ordered.  A partial partition is just a
 vector of shard sums, so the method composes: buckets of about ``GROUP`` groups are solved in parallel
 tasks, each result is again one partial partition, and those are solved in the same way until one is
-left.  Slots number a shard's documents without gaps through counts per (shard, hash range) and their
+left.  Rows of a group with many copies are salted before they are joined with their group's shard, so
+that a hot group (empty texts, say, which have next to no bytes) makes many tasks.  Slots number a shard's documents without gaps through counts per (shard, hash range) and their
 running sums, so no task sees a whole shard.
 
 Defined results: a null text has no bytes and size 1, and groups with the empty text; repeated rows
@@ -25,6 +26,8 @@ from sedge.llm import common
 
 SHARDS = 16
 GROUP = 4096
+#: Rows of a group from which on its rows are salted, if the table has a million times fewer.
+HOT_ROWS = 100_000
 #: Documents in a hash range of a shard, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 400, 4096
 
@@ -105,9 +108,15 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     if not count_all:
         return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     share = max(1, bytes_all // shards)
-    # Fewer than ``shards`` groups can exceed a shard's share: a table of bounded size.
-    large = groups.where(F.col("bytes") > share).select("digest", F.ceil(2 * F.col("bytes") / share).cast("long").alias("pieces"))
-    rows = rows.join(F.broadcast(large), "digest", "left").withColumn("piece", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), "pieces")).cast("long")).drop("pieces")
+    # Fewer than ``shards`` groups exceed a shard's share and a million at most have ``hot`` rows: bounded tables.
+    hot = max(HOT_ROWS, int(count_all) // 1_000_000)
+    pieces = F.when(F.col("bytes") > share, F.ceil(2 * F.col("bytes") / share)).otherwise(1)
+    large = groups.where((F.col("bytes") > share) | (F.col("many") >= hot)).select("digest", pieces.cast("long").alias("pieces"), F.ceil(F.col("many") / hot).cast("long").alias("salts"))
+    large = common.stage(large, "shard-large")
+    own = F.coalesce("doc_id", F.monotonically_increasing_id())
+    dealt = lambda n, *by: F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(own, *by), n)).cast("long")
+    rows = rows.join(F.broadcast(large), "digest", "left").select("doc_id", "size", "crc", "digest", dealt("pieces").alias("piece"), dealt("salts", F.lit("salt")).alias("salt"))
+    rows = common.stage(rows, "shard-pieces")  # null ids are dealt by row number, which must not change
     units = rows.groupBy("digest", "piece").agg(F.sum("size").alias("bytes"))
     buckets = max(1, -(-int(whole[2]) // GROUP))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("digest", "piece"), F.lit(buckets)))
@@ -116,7 +125,9 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     tree = _tree(common.stage(sums, "shard-sums"), shards, buckets)
     final = solved.join(tree, "bucket").select("digest", "piece", F.element_at("labels", (F.col("label") + 1).cast("int")).cast("int").alias("shard"))
     ranges = min(MOST_RANGES, max(1, -(-int(count_all) // (shards * RANGE_ROWS))))
-    placed = rows.join(final, ["digest", "piece"]).select("doc_id", "size", "crc", "shard", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(ranges)).alias("part"))
+    final = final.join(F.broadcast(large.select("digest", "salts")), "digest", "left")
+    final = final.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
+    placed = rows.join(final, ["digest", "piece", "salt"]).select("doc_id", "size", "crc", "shard", F.pmod(F.xxhash64(own, "crc"), F.lit(ranges)).alias("part"))
     placed = common.stage(placed, "shard-placed")
     # At most shards * MOST_RANGES rows.
     begin = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
