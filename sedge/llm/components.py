@@ -2,7 +2,8 @@
 (Kiveris et al., Connected Components in MapReduce and Beyond, 2014).
 
 Rounds are joins and aggregations only, so no neighbourhood is gathered in one task; every round is
-written to the shared folder, which cuts lineage.
+written to the shared folder, which cuts lineage.  The method settles in O(log^2 n) rounds; ``MOST_ROUNDS`` is
+far beyond that for any table that can be stored, and an error tells if it is ever reached.
 """
 
 from __future__ import annotations

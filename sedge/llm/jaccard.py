@@ -1,19 +1,21 @@
 """Exact n-gram Jaccard self-join by T-occurrence search (DivideSkip), reported as components.
 
-1. Count.  Shingle hashes of all texts are counted exactly, packed by hash range (4 bytes each).  The
-   ``LISTED`` most frequent ones become a frequency table; it only decides an *order* of shingles
-   (unlisted ones first, then by rising count), and any fixed order gives right results, so its size
-   bound costs speed at most.
+1. Count.  Shingle hashes of all texts are counted exactly, packed by hash range (4 bytes for each that a task
+   saw once).  The ``LISTED`` most frequent ones become a frequency table; it only decides an *order* of
+   shingles (unlisted ones first, then by rising count), and any fixed order gives right results, so its
+   size bound costs speed at most.
 2. Prefixes.  Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles in any fixed
    order.  Equal sets fold into one class with their smallest doc_id.
 3. Blocks.  Shingles in the prefixes of at least two classes form inverted lists, sorted by set size.
    In a short list two classes are joined unless their sizes, or the numbers of prefix shingles they
    share with anyone, rule a link out; in a long one neighbours by size are chained unless the sizes
    rule it out.  So every linked pair lies in one connected block, and no pairs are written out.
-4. Search.  A block is cut into chunks of about ``CHUNK`` classes; each pair of chunks is one group,
-   so a block of any size is dealt over many tasks.  In a group every class looks up its whole set:
-   short inverted lists are merged by counting occurrences, the longest lists are probed by binary
-   search for the candidates that reached T - L, and the overlap decides exactly.
+4. Search.  A block is cut into chunks of ``CHUNK`` classes (up to ``MOST_CHUNK`` in large blocks, so that a
+   set is copied less often); each pair of chunks is one group, so a block of any size is dealt over many
+   tasks.  In a group every class looks up its whole set (DivideSkip): the short inverted lists are merged
+   on a heap, the L longest ones are probed by binary search for the candidates that reached T - L there,
+   and the overlap decides exactly.  All links are counted, so a block of m near copies costs m^2 / 2
+   comparisons.
 5. Links become components; copies of a set share its component.
 
 Defined results: a null or empty text (or one without words) has no shingle and is linked with nothing;
@@ -23,7 +25,9 @@ component; with a null id the smallest known id of the component counts.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +41,12 @@ from sedge.llm.textkit import buffers, mix, shingle_hashes, slices, word_hashes,
 #: Entries of the frequency table at most (12 bytes each, sent to every executor).
 LISTED = 1 << 20
 LEAST_COUNT = 3
-#: Hash ranges in which shingles are counted: 2**PART_BITS groups.
-PART_BITS = 10
+#: Bits of the hash ranges in which shingles are counted, at most; a shingle is known by these and 32 more.
+MOST_BITS = 18
 FLUSH = 1 << 22
-CHUNK = 96
+CHUNK, MOST_CHUNK = 96, 1024
+#: Counts from which on the cut of the frequency table goes by bins, sixteen to an octave.
+BINNED = 1000
 #: In inverted lists up to this length every pair is weighed in place; in longer ones neighbours by size are chained.
 SHORT_LIST = 16
 #: Classes in blocks up to which their table is broadcast to find their texts; beyond it, a shuffle join.
@@ -69,21 +75,24 @@ def _digests(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _count_cells(k: int):
-    shift, low = _U(64 - PART_BITS), _U(32 - PART_BITS)
+def _count_cells(k: int, bits: int):
+    shift, low = _U(64 - bits), _U(32 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held))
+            h, n = np.unique(np.concatenate(held) >> low, return_counts=True)
             held.clear()
-            part = (h >> shift).astype(np.int64)
-            cell = ((h >> low) & _U(0xFFFFFFFF)).astype("<u4")
-            edge = np.searchsorted(part, np.arange((1 << PART_BITS) + 1))
-            full = np.flatnonzero(np.diff(edge))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([cell[edge[p] : edge[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "cells"])
+            part = h >> _U(32)
+            full, first = np.unique(part, return_index=True)
+            cell = h.astype("<u4")
+            pack = lambda x: pa.array([c.tobytes() for c in x], pa.binary())
+            cells, counts = np.split(cell, first[1:]), np.split(n.astype("<u4"), first[1:])
+            once, more = [c[m == 1] for c, m in zip(cells, counts, strict=True)], [m > 1 for m in counts]
+            columns = [pack(once), pack([c[m] for c, m in zip(cells, more, strict=True)]), pack([c[m] for c, m in zip(counts, more, strict=True)])]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), *columns], names=["part", "once", "cells", "counts"])
 
         for b in batches:
             for _, _, _, h in _sets(b.column("text"), k):
@@ -99,28 +108,36 @@ def _count_cells(k: int):
 
 
 def _merge_cells(table: pa.Table) -> pa.Table:
-    cells = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("cells")])
-    cell, count = np.unique(cells, return_counts=True)
+    join = lambda c: np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column(c)])
+    cell, back = np.unique(np.concatenate([join("once"), join("cells")]), return_inverse=True)
+    once = len(back) - len(join("counts"))
+    count = np.bincount(back, weights=np.concatenate([np.ones(once), join("counts")])).astype(np.int64)
     often = count >= LEAST_COUNT
     part = table.column("part")[0].as_py()
-    return pa.table({"cell": pa.array((part << 32) | cell[often].astype(np.int64)), "n": pa.array(count[often].astype(np.int64))})
+    return pa.table({"cell": pa.array((part << 32) | cell[often].astype(np.int64)), "n": pa.array(count[often])})
 
 
-def frequency_table(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells ascending, counts) of the most frequent shingles, ``LISTED`` at most."""
-    packed = texts.mapInArrow(_count_cells(k), "part long, cells binary")
+def frequency_table(texts: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits of a hash that name a shingle, those ascending, their counts) of the most frequent shingles,
+    ``LISTED`` at most: all above some count, and a share by hash of those at it."""
+    bits = common.hash_bits(texts, MOST_BITS)
+    packed = texts.mapInArrow(_count_cells(k, bits), "part long, once binary, cells binary, counts binary")
     counted = common.stage(packed.groupBy("part").applyInArrow(_merge_cells, "cell long, n long"), "jaccard-counts")
-    # How many shingles have each count: at most a few thousand values matter, the rest is pooled.
-    by_count = sorted((r["n"], r["many"]) for r in counted.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("many")).collect())
-    least, room = 1 << 62, LISTED
-    for n, many in reversed(by_count):
+    level = F.when(F.col("n") < BINNED, F.col("n")).otherwise(BINNED + F.floor(16 * F.log2(F.col("n") / BINNED))).cast("long")
+    counted = counted.withColumn("level", level)
+    # A few thousand levels at most: every count below BINNED, and the bins above it.
+    by_level = sorted((r["level"], r["many"]) for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("many")).collect())
+    above, room, share = 1 << 62, LISTED, 0.0
+    for at, many in reversed(by_level):
         if many > room:
+            share = 0.95 * room / many
             break
-        least, room = n, room - many
-    got = counted.where(F.col("n") >= least).toArrow()
+        above, room = at, room - many
+    some = (F.col("level") == (max((x for x, _ in by_level if x < above), default=-1))) & (F.pmod(F.xxhash64("cell"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    got = counted.where((F.col("level") >= above) | some).select("cell", "n").toArrow()
     cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(cell)
-    return cell[order].astype(_U), n[order]
+    return bits, cell[order].astype(_U), n[order]
 
 
 class _Order:
@@ -128,8 +145,8 @@ class _Order:
 
     BITS = 24
 
-    def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        self.cells, self.counts = cells, counts
+    def __init__(self, bits: int, cells: np.ndarray, counts: np.ndarray):
+        self.low, self.cells, self.counts = _U(32 - bits), cells, counts
         self.known = np.zeros(1 << self.BITS, bool)
         self.known[self._spot(cells)] = True
 
@@ -137,7 +154,7 @@ class _Order:
         return (mix(cells) >> _U(64 - self.BITS)).astype(np.int64)
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        cell = h >> _U(32 - PART_BITS)
+        cell = h >> self.low
         out = np.zeros(len(h), np.int64)
         if len(self.cells):
             maybe = np.flatnonzero(self.known[self._spot(cell)])
@@ -183,25 +200,25 @@ def _prefixes(k: int, num: int, den: int, table):
     return run
 
 
-def _runs(b: pa.RecordBatch, carry: pa.RecordBatch | None) -> pa.Table:
-    return pa.Table.from_batches([b] if carry is None else [carry, b]).combine_chunks()
-
-
 def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("s", "set_id", "n")) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays of the named columns that never cut an inverted list (equal s) in two."""
-    carry = None
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         if not b.num_rows:
             continue
-        t = _runs(b, carry)
-        s = t.column("s").to_numpy()
-        cut = int(np.flatnonzero(s != s[-1])[-1]) + 1 if s[0] != s[-1] else 0
-        carry = t.slice(cut).to_batches()[0]
+        cols = tuple(b.column(c).to_numpy() for c in names)
+        s = cols[0]
+        cut = int(np.searchsorted(s == s[-1], True)) if s[0] != s[-1] else 0
+        if held and held[-1][0][-1] != s[0] and not cut:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
         if cut:
-            t = t.slice(0, cut)
-            yield tuple(t.column(c).to_numpy() for c in names)
-    if carry is not None:
-        yield tuple(carry.column(c).to_numpy() for c in names)
+            held.append(tuple(c[:cut] for c in cols))
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        held.append(tuple(c[cut:] for c in cols))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,14 +328,12 @@ def t_occurrence(left: list[np.ndarray], right: list[np.ndarray] | None, num: in
         at, length = at[by], length[by]
         aside = min(need - 1, int(need / (0.01 * np.log2(max(2, int(length[-1]))) + 1)), int((length > 4).sum()))
         cut = len(at) - aside
-        # Merge of the short lists: occurrences per set.
-        near, many = first[at[:cut]], length[:cut]
-        spot = np.repeat(near - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        seen = np.bincount(posting[spot], minlength=len(index))
-        cand = np.flatnonzero((seen >= need - aside) & (size * den >= len(q) * num) & (len(q) * den >= size * num))
-        if right is None:
-            cand = cand[cand > i]
-        total = seen[cand]
+        near = heapq.merge(*[posting[a:b].tolist() for a, b in zip(first[at[:cut]], last[at[:cut]], strict=True)])
+        merged = [(j, sum(1 for _ in g)) for j, g in groupby(near)]
+        cand = np.array([j for j, n in merged if n >= need - aside and (right is not None or j > i)], np.int64)
+        seen = np.array([n for j, n in merged if n >= need - aside and (right is not None or j > i)], np.int64)
+        fits = (size[cand] * den >= len(q) * num) & (len(q) * den >= size[cand] * num)
+        cand, total = cand[fits], seen[fits]
         for a in at[cut:]:  # binary probes of the long lists
             if not len(cand):
                 break
@@ -362,7 +377,7 @@ def _link_components(texts: DataFrame, reps: DataFrame, k: int, num: int, den: i
     left = shared.join(counts, "set_id").select("s", "set_id", "n", "shared")
     edges = left.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_chain(num, den), "a long, b long")
     blocks = components(edges)
-    sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("many")).select(F.col("root").alias("block"), F.ceil(F.col("many") / CHUNK).alias("chunks"))
+    sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("many")).select(F.col("root").alias("block"), F.ceil(F.col("many") / F.least(F.lit(max(CHUNK, MOST_CHUNK)), F.greatest(F.lit(CHUNK), F.col("many") / 64))).alias("chunks"))
     member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps.select("set_id", "rep"), "set_id")
     member = common.stage(member.select("set_id", "block", "chunks", "rep"), "jaccard-members")
     small = member.count() <= BROADCAST_CLASSES
