@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(common.documents(spark, sf_dir))
+    """Under the key of ``sedge.pii.key``; without one, under a new key that nobody keeps."""
+    key = spark.conf.get("sedge.pii.key", None) or secrets.token_hex(32)
+    return pii.replace_entities(common.documents(spark, sf_dir), key)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
