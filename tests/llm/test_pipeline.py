@@ -1,11 +1,13 @@
 """The pipeline against brute force, and the SQL of this subpackage against DuckDB."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import zlib
 
 import corpus_pipeline
-from sedge.llm import oracles, packing, quality, queries
+from sedge.llm import mixing, oracles, packing, quality, queries
 from test_small import brute_components, brute_dedup
 
 
@@ -25,8 +27,43 @@ def test_stages(spark, sf_dir):
     assert near == [r for i, r in enumerate(deduped) if comp[i][1] == i]
     mixed = stages[names[3]](spark, spark.createDataFrame(near, docs.schema), sf_dir)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near}
-    pieces = stages[names[4]](spark, mixed, sf_dir).collect()
-    assert sum(p.length for p in pieces if p.start == 0) and len({p.doc_id for p in pieces}) == mixed.select("doc_id").distinct().count()
+    # Mixing: each document as often as its plan says, so each source's words come near its target.
+    plan = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(near, docs.schema)).collect()}
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert all(abs(copies[i] - r.taken / r.size) < 1 for i, r in plan.items() if r.size)
+    # Packing: all tokens of every copy, each in one piece.
+    ids = packing.encode([r.text for r in near], packing.default_vocabulary())
+    tokens = {r.doc_id: len(x) // 2 + 1 for r, x in zip(near, ids, strict=True)}
+    packed, filled = Counter(), Counter()
+    for p in stages[names[4]](spark, mixed, sf_dir).collect():
+        packed[p.doc_id] += p.length
+        filled[p.sequence_id] += p.length
+    assert packed == {i: n * tokens[i] for i, n in copies.items()}
+    assert all(n == 4096 or n & (n - 1) == 0 for n in filled.values())
+
+
+CLASHES = "norm head code range shard row n key curve pattern set_id near_key mix_key keep_key keep_sha piece"
+
+
+def test_stages_on_awkward_tables(spark, sf_dir):
+    """Empty tables, nulls in any column, repeated ids and rows, ties, empty and very long texts, and columns
+    named like helpers."""
+    names = CLASHES.split()
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    plain = "Plain words of an ordinary sentence stand here, number {} of them. "
+    rows = [(1, plain.format(1)), (1, plain.format(1)), (1, plain.format(2) * 3), (None, plain.format(3)), (None, None), (2, None), (3, ""), (3, plain.format(4)), (None, plain.format(5) * 4000)]
+    rows = [(i, t, "en", None if n % 3 else "s", None, *("x" for _ in names)) for n, (i, t) in enumerate(rows)]
+    for df in (spark.createDataFrame(rows, ddl), spark.createDataFrame([], ddl)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, sf_dir)
+            assert out.schema.names == df.schema.names
+            kept = [tuple(r) for r in out.collect()]
+            assert set(kept) <= {tuple(r) for r in df.collect()}
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).collect()} == {r.doc_id for r in df.collect()}
+    # No stage loses the only copy of a text: of the rows with words, each text stays through both dedups.
+    df = spark.createDataFrame(rows, ddl)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        assert {r.text for r in stage(spark, df, sf_dir).collect() if r.text} == {r[1] for r in rows if r[1]}
 
 
 def test_run(spark, sf_dir):
