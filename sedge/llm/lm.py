@@ -48,7 +48,7 @@ ROUNDS = 4
 STEP, DAMP = 0.9, 20.0
 #: Rows of the hashed weight tables, in 32nds of all: previous word, previous two, skip; then each of them with the class.
 SHARES = (4, 4, 2, 12, 6, 4)
-LEAST_ROWS, MOST_ROWS, ROW_TOKENS = 1 << 14, 1 << 19, 2048
+LEAST_ROWS, MOST_ROWS, ROW_TOKENS = 1 << 15, 1 << 19, 2048
 BATCH = 1 << 14
 #: Blocks of weight rows that are summed apart, tasks whose sums are added at once, and tokens of a task: at least
 #: so many, and so many for each row of weights.
