@@ -1,16 +1,22 @@
-"""One object for callers: an index directory with records, blobs and jobs, and every operation on it."""
+"""One object for callers: an index directory with records, blobs and jobs, and every operation on it.
+
+Writers state which version of a table they changed; where another one came first, they get ``Conflict``.
+"""
 
 from __future__ import annotations
 
 import secrets
+import threading
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge import storage
 from sedge.errors import Duplicate, InvalidParameter, NotFound
+from sedge.functions.text import search_tokens
 from sedge.operators import filters, jobs, projection, search, store
 from sedge.schema import TYPEAHEAD_FIELDS, IndexSpec
 
@@ -25,11 +31,14 @@ class Engine:
     """
 
     CACHE_S, CACHE_KEYS = 2.0, 10_000
+    TABLES = ("records", "jobs", "blobs")
 
     def __init__(self, spark: SparkSession, root: str, spec: IndexSpec | None = None, embed: Embed | None = None, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.embed, self.clock = spark, root.rstrip("/"), embed, clock
         self.spec = spec or IndexSpec()
         self._cache: dict[tuple, tuple[float, list]] = {}
+        self._flights: dict[tuple, Future] = {}
+        self._lock = threading.Lock()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -37,24 +46,55 @@ class Engine:
     def _table(self, name: str) -> DataFrame:
         if not storage.exists(self.spark, self.path(name)):
             raise NotFound(f"{name} in {self.root}")
-        return self.spark.read.parquet(self.path(name))
+        return storage.read_table(self.spark, self.path(name))
+
+    def _replace(self, name: str, df: DataFrame, expected: str | None = storage.ANY) -> None:
+        storage.replace_table(df, self.path(name), expected=expected)
+
+    def _version(self, name: str) -> str | None:
+        return storage.current(self.spark, self.path(name))
 
     def create(self, records: DataFrame, force: bool = False) -> None:
         if storage.exists(self.spark, self.path("records")) and not force:
             raise Duplicate(self.root)
-        storage.replace_table(records, self.path("records"))
+        self._replace("records", records)
 
     def records(self) -> DataFrame:
         return self._table("records")
 
     # Search
 
+    def index(self) -> None:
+        """Store the postings of the records' content, sorted by term, so that searches read their terms only.
+
+        They belong to one version of the records; after a change searches tokenise the records until the
+        next call.
+        """
+        version = self._version("records")
+        docs = self.records()
+        made = search.postings(docs.withColumn("content", F.coalesce("content", F.lit(""))), "id", "content")
+        lengths = docs.select("id", F.size(search_tokens(F.coalesce("content", F.lit("")))).alias("length"))
+        at = f"{self.path('postings')}/{version}"
+        made.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/terms")
+        lengths.write.mode("overwrite").parquet(f"{at}/lengths")
+
+    def _scores(self, df: DataFrame, q: str, filter: str | None, prefix_last: bool = False) -> DataFrame:
+        """BM25 scores of ``df``, the filtered records: from the stored postings where they are up to date."""
+        at = f"{self.path('postings')}/{self._version('records')}"
+        if not storage.exists(self.spark, f"{at}/lengths/_SUCCESS"):
+            return search.bm25(df, q, "id", "content", prefix_last)
+        terms, lengths = (self.spark.read.parquet(f"{at}/{t}") for t in ("terms", "lengths"))
+        if filter and filter.strip():
+            ids = df.select("id")
+            terms, lengths = terms.join(ids, "id", "left_semi"), lengths.join(ids, "id", "left_semi")
+        return search.bm25_postings(terms, search.length_stats(lengths), q, "id", prefix_last)
+
     def keyword(self, q: str, *, filter: str | None = None, sort: Sequence[str] = (), fields: Sequence[str] = (), limit: int = 20, offset: int = 0) -> DataFrame:
         filters.ensure_range("limit", limit, 1, 100)
         q = filters.ensure_text("q", q, 1)
         fields, sort = filters.ensure_list("fields", fields, 64), filters.ensure_list("sort", sort, 8)
         df = filters.apply_filter(self.records(), filter, self.spec.filterable)
-        scored = df.join(search.bm25(df, q, "id", "content"), "id")
+        scored = df.join(self._scores(df, q, filter), "id")
         ordered = search.top(scored, "id", limit, offset, filters.parse_sort(sort, df, self.spec.sortable))
         return projection.rows(ordered, fields)
 
@@ -84,7 +124,7 @@ class Engine:
         df = filters.apply_filter(self.records(), filter, self.spec.filterable)
         names = df.select("id", F.coalesce("doc_id", "id").alias("doc_id"))
         order = [F.desc("score"), F.asc("id")]
-        kw = search.ranked(search.bm25(df, filters.ensure_text("q", q, 1), "id", "content").join(names, "id"), order, most)
+        kw = search.ranked(self._scores(df, filters.ensure_text("q", q, 1), filter).join(names, "id"), order, most)
         vec = search.ranked(search.vector_search(df, self._embed(q if vector is None else vector), "id", "embedding").join(names, "id"), order, most)
         if fusion == "rrf":
             return search.fuse_rrf(kw, vec, "doc_id", limit)
@@ -93,20 +133,41 @@ class Engine:
         return search.fuse_weighted(kw.withColumn("score", search.squash(F.col("score"))), vec, "doc_id", limit, weights)
 
     def typeahead(self, q: str, *, filter: str | None = None, limit: int = 10) -> tuple[list, bool]:
-        """(rows, whether they came from the cache); rows are kept for two seconds."""
+        """(rows, whether they came from the cache); rows are kept for two seconds, and of equal requests at
+        the same time one runs and the others wait for it."""
         filters.ensure_range("limit", limit, 1, 10)
         q = filters.ensure_text("q", q, 2)
-        key, now = (" ".join(q.lower().split()), (filter or "").strip(), limit), self.clock()
-        hit = self._cache.get(key)
-        if hit and now - hit[0] < self.CACHE_S:
-            return hit[1], True
+        key = (" ".join(q.lower().split()), (filter or "").strip(), limit)
+        with self._lock:
+            hit = self._cache.get(key)
+            if hit and self.clock() - hit[0] < self.CACHE_S:
+                return hit[1], True
+            flight = self._flights.get(key)
+            mine = flight is None
+            if mine:
+                flight = self._flights[key] = Future()
+        if not mine:
+            return flight.result(), True
+        try:
+            rows = self._suggest(q, filter, limit)
+        except BaseException as problem:
+            flight.set_exception(problem)
+            raise
+        else:
+            with self._lock:
+                if len(self._cache) >= self.CACHE_KEYS:
+                    self._cache.pop(next(iter(self._cache)))
+                self._cache[key] = (self.clock(), rows)
+            flight.set_result(rows)
+            return rows, False
+        finally:
+            with self._lock:
+                self._flights.pop(key, None)
+
+    def _suggest(self, q: str, filter: str | None, limit: int) -> list:
         df = filters.apply_filter(self.records(), filter, self.spec.filterable)
-        found = df.join(search.bm25(df, q, "id", "content", prefix_last=True), "id")
-        rows = projection.rows(search.top(found, "id", limit), [f for f in TYPEAHEAD_FIELDS if f in df.columns]).collect()
-        if len(self._cache) >= self.CACHE_KEYS:
-            self._cache.pop(next(iter(self._cache)))
-        self._cache[key] = (now, rows)
-        return rows, False
+        found = df.join(self._scores(df, q, filter, prefix_last=True), "id")
+        return projection.rows(search.top(found, "id", limit), [f for f in TYPEAHEAD_FIELDS if f in df.columns]).collect()
 
     # Records
 
@@ -125,18 +186,30 @@ class Engine:
         return store.breakdown(self.records())
 
     def upsert(self, new: DataFrame, replace_by: str | None = None) -> None:
-        old = self.records()
-        storage.replace_table(store.upsert(old, new, "id", replace_by=replace_by).select(*old.columns), self.path("records"))
-
-    def delete(self, doc_id: str, dry_run: bool = False) -> DataFrame | None:
-        """The plan of deleting a document, carried out unless ``dry_run``; None where nothing is found."""
-        old = self.records()
-        plan = store.delete_plan(old.where(F.col("doc_id") == doc_id), "doc_id")
-        plan = self.spark.createDataFrame(plan.collect(), plan.schema)
+        version, old = self._version("records"), self.records()
+        self._replace("records", store.upsert(old, new, "id", replace_by=replace_by).select(*old.columns), version)
+
+    def delete(self, doc_id: str, dry_run: bool = False, blobs: bool = False) -> DataFrame | None:
+        """The plan of deleting a document, carried out unless ``dry_run``; None where nothing is found.
+
+        The plan counts what is deleted, however much that is.  With ``blobs`` the document's blobs go too,
+        unless records that stay refer to them.
+        """
+        version, old = self._version("records"), self.records()
+        plan = store.delete_plan(old.where(F.col("doc_id") == doc_id), "doc_id", limit=None)
+        plan = self.spark.createDataFrame(plan.collect(), plan.schema)  # one row
         if plan.isEmpty():
             return None
         if not dry_run:
-            storage.replace_table(old.where(F.col("doc_id") != doc_id), self.path("records"))
+            left = old.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id)))
+            if blobs and storage.exists(self.spark, self.path("blobs")):
+                used = left.select(F.explode("blob_cids").alias("cid")).unionByName(left.select(F.col("doc_id").alias("cid"))).distinct()
+                gone = plan.select(F.explode("cids").alias("cid")).join(used, "cid", "left_anti")
+                kept = storage.stage(self._table("blobs").join(gone, "cid", "left_anti"), "blobs")
+                self._replace("records", left, version)
+                self._replace("blobs", kept, self._version("blobs"))
+            else:
+                self._replace("records", left, version)
         return plan
 
     def purge(self, token: str, expected: str) -> None:
@@ -151,27 +224,50 @@ class Engine:
         return secrets.token_hex(4)
 
     def backup(self, target: str) -> str:
+        """Copies of all tables that there are, below a directory named by index and time."""
         name = f"{target.rstrip('/')}/{self.root.rsplit('/', 1)[-1]}-{time.strftime('%Y%m%dT%H%M%S', time.gmtime(self.clock()))}"
-        store.snapshot(self.spark, self.path("records"), f"{name}/records")
+        for table in self.TABLES:
+            if storage.exists(self.spark, self.path(table)):
+                store.snapshot(self.spark, self.path(table), f"{name}/{table}")
         return name
 
-    def recover(self, backup: str, force: bool = False) -> None:
-        store.recover(self.spark, f"{backup}/records", self.path("records"), force)
+    def backups(self, target: str) -> DataFrame:
+        return store.snapshots(self.spark, target)
+
+    def verify(self, backup: str) -> dict[str, tuple[int, int]]:
+        """(missing, extra) rows of each table of a backup against the index."""
+        checked = {}
+        for table in self.TABLES:
+            if storage.exists(self.spark, self.path(table)):
+                found = store.verify_snapshot(self.spark, self.path(table), f"{backup}/{table}").first()
+                checked[table] = (found.missing, found.extra)
+        return checked
+
+    def recover(self, backup: str, force: bool = False, dry_run: bool = False) -> DataFrame | None:
+        """Bring all tables of a backup back; ``dry_run`` tells what that would do to the records."""
+        if dry_run:
+            return store.restore_plan(self.spark, f"{backup}/records", self.path("records"))
+        if storage.exists(self.spark, self.path("records")) and not force:
+            raise FileExistsError(self.path("records"))
+        for table in self.TABLES:
+            if storage.exists(self.spark, f"{backup}/{table}"):
+                store.recover(self.spark, f"{backup}/{table}", self.path(table), force)
+        return None
 
     # Jobs
 
     def enqueue(self, new: DataFrame) -> None:
         if not storage.exists(self.spark, self.path("jobs")):
-            storage.replace_table(new, self.path("jobs"))
+            self._replace("jobs", new)
             return
-        old = self._table("jobs")
-        storage.replace_table(old.unionByName(jobs.enqueue_strict(old, new)), self.path("jobs"))
+        version, old = self._version("jobs"), self._table("jobs")
+        self._replace("jobs", old.unionByName(jobs.enqueue_strict(old, new)), version)
 
     def reap(self, now_ms: int | None = None, action: str = "both", dry_run: bool = False) -> DataFrame:
         """Outcome per stale job; the job table is updated unless ``dry_run``."""
-        table = self._table("jobs")
+        version, table = self._version("jobs"), self._table("jobs")
         done = storage.stage(jobs.reap(table, now_ms or int(self.clock() * 1000), action), "reaped")
         if not dry_run:
             new = done.where("outcome <> 'skipped'").drop("outcome").select(*table.columns)
-            storage.replace_table(store.upsert(table, new, "job_id").select(*table.columns), self.path("jobs"))
+            self._replace("jobs", store.upsert(table, new, "job_id").select(*table.columns), version)
         return done.select("job_id", "outcome", "status")

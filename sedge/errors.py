@@ -13,6 +13,10 @@ class Duplicate(EngineError):
     """A key exists already."""
 
 
+class Conflict(EngineError):
+    """A table was replaced by another writer meanwhile."""
+
+
 class InvalidParameter(EngineError):
     """A parameter is out of range or malformed; ``field`` names it."""
 

@@ -28,7 +28,7 @@ _LETTER = regex.compile(r"[\p{SB=UP}\p{SB=LO}]")
 _UPPER = regex.compile(r"[\p{SB=UP}]")
 _MARKER = regex.compile(r"(?:[0-9]{1,3}|[A-Z])\s*[.)](?=\s)")
 _SPACES = " \t\n\r\x0b\x0c\x85\xa0                　"
-_ORDINAL = regex.compile(r"\d+|[ivxlcdm]{1,8}", regex.IGNORECASE)
+_ORDINAL = regex.compile(r"[0-9]+|[ivxlcdm]{1,8}", regex.IGNORECASE)
 
 
 def _table(extra: tuple[str, ...]) -> frozenset[str]:
@@ -59,28 +59,31 @@ def boundaries(text: str) -> list[int]:
 
 
 def _bare(token: str) -> str:
-    return token.strip("()[]{}\"'„”“«»,;:").lower()
+    return token.strip(",;:\"')(")
 
 
 def _is_abbreviation(token: str, table: frozenset[str]) -> bool:
-    if len(token) == 2 and token[0].isalpha() and token[1] == ".":
+    """A listed word, or an initial: one ASCII capital and a full stop."""
+    if len(token) == 2 and "A" <= token[0] <= "Z" and token[1] == ".":
         return True
-    return token in table or token.removesuffix(".") in table
+    low = token.lower()
+    return bool(low) and (low in table or low.removesuffix(".") in table)
 
 
-def _goes_on(left: str, right: str, table: frozenset[str]) -> bool:
+def _goes_on(left: str, right: str, table: frozenset[str], abbreviations: bool = True, ordinals: bool = True) -> bool:
     """Whether a sentence that seems to end with ``left`` continues with ``right``."""
     tail, head = left.split()[-3:], right.split()[:1]
     if not tail or not head:
         return False
     words = [_bare(t) for t in tail]
-    if _is_abbreviation(words[-1], table) or any(" ".join(words[-n:]) in table for n in range(2, len(words) + 1)):
-        return True
-    if f"{words[-1]} {_bare(head[0])}" in table:
-        return True
-    if _ORDINAL.fullmatch(words[-1].rstrip(".")):
-        return True
-    return tail[-1].endswith(":") and "a" <= head[0][0] <= "z"
+    if abbreviations:
+        if _is_abbreviation(words[-1], table) or any(" ".join(words[-n:]).lower() in table for n in range(2, len(words) + 1)):
+            return True
+        if words[-1] and _bare(head[0]) and f"{words[-1]} {_bare(head[0])}".lower() in table:
+            return True
+        if tail[-1].endswith(":") and "a" <= head[0][0] <= "z":
+            return True
+    return ordinals and bool(_ORDINAL.fullmatch(words[-1].strip(".)(\"',;")))
 
 
 def _enumeration(text: str) -> list[str]:
@@ -104,14 +107,15 @@ def _enumeration(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def split(text: str, extra: tuple[str, ...] = ()) -> list[str]:
+def split(text: str, extra: tuple[str, ...] = (), abbreviations: bool = True, ordinals: bool = True) -> list[str]:
+    """Sentences; ``extra`` adds abbreviations, the flags turn the two kinds of joining off."""
     table = _table(extra) if extra else _BASE
     merged: list[list[int]] = []
     begin = 0
     for end in boundaries(text):
         piece = text[begin:end].strip(_SPACES)
         if piece:
-            if merged and _goes_on(text[merged[-1][0] : merged[-1][1]].strip(_SPACES), piece, table):
+            if merged and _goes_on(text[merged[-1][0] : merged[-1][1]].strip(_SPACES), piece, table, abbreviations, ordinals):
                 merged[-1][1] = end
             else:
                 merged.append([begin, end])

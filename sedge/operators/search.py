@@ -54,7 +54,9 @@ def _begins(term: str):
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", prefix_last: bool = False) -> DataFrame:
     """(key, score) of the documents that match; with ``prefix_last`` the last term matches as a prefix.
 
-    One scan tokenises the documents that can match, one aggregates lengths and document frequencies.
+    Documents are tokenised once: what is left of each (a few numbers) goes through one exchange that both
+    the statistics and the scores read.  So the condition on a match is put on the score, which needs the
+    statistics, where it cannot be pushed below that exchange.
     """
     terms = query_terms(query)
     whole, prefix = (terms[:-1], terms[-1:]) if prefix_last else (terms, [])
@@ -62,20 +64,31 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", p
     if not hits:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
     base = docs.select(F.col(key), search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    seen = base.select(key, F.size("tokens").alias("length"), *[F.size(F.filter("tokens", h)).alias(f"tf{i}") for i, h in enumerate(hits)])
-    stats = seen.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(hits))])
-    found = seen.where(" or ".join(f"tf{i} > 0" for i in range(len(hits)))).crossJoin(F.broadcast(stats))  # stats: one row
+    seen = base.select(key, F.size("tokens").alias("length"), *[F.size(F.filter("tokens", h)).alias(f"tf{i}") for i, h in enumerate(hits)]).repartition(key)
+    stats = seen.agg(F.count(key).alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(hits))])
+    found = seen.crossJoin(F.broadcast(stats))  # stats: one row
     norm = K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     score = sum((idf(F.col("n"), F.col(f"df{i}")) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(hits))), F.lit(0.0))
-    return found.select(key, F.round(score, DIGITS).alias("score"))
+    return found.select(key, score.alias("score")).where("score > 0").select(key, F.round("score", DIGITS).alias("score"))
 
 
-def bm25_postings(index: DataFrame, stats: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """The same scores from a postings table: the filter on ``term`` reaches its reader."""
+def length_stats(lengths: DataFrame) -> DataFrame:
+    """n and avg_length of stored lengths: one row."""
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+
+
+def bm25_postings(index: DataFrame, stats: DataFrame, query: str, key: str = "doc_id", prefix_last: bool = False) -> DataFrame:
+    """The same scores from a postings table: the filter on ``term`` reaches its reader, as equality or as
+    a range of terms with the prefix."""
     terms = query_terms(query)
-    hit = index.where(F.col("term").isin(*terms)) if terms else index.where("false")
-    freq = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per query term
-    joined = hit.join(F.broadcast(freq), "term").crossJoin(F.broadcast(stats))
+    whole, prefix = (terms[:-1], terms[-1:]) if prefix_last else (terms, [])
+    named = F.col("term").isin(*whole) if whole else F.lit(False)
+    begins = F.col("term").startswith(prefix[0]) if prefix else F.lit(False)
+    hit = index.where(named | begins) if terms else index.where("false")
+    hit = hit.withColumn("hit", F.explode(F.array_compact(F.array(F.when(named, F.col("term")), F.when(begins, F.lit("")))))) if prefix else hit.withColumn("hit", F.col("term"))
+    hit = hit.groupBy(key, "hit", "length").agg(F.sum("tf").alias("tf"))  # terms under one prefix are one term
+    freq = hit.groupBy("hit").agg(F.count(F.lit(1)).alias("df"))  # a row per query term
+    joined = hit.join(F.broadcast(freq), "hit").crossJoin(F.broadcast(stats))
     norm = K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     return joined.groupBy(key).agg(F.round(F.sum(idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), DIGITS).alias("score"))
 

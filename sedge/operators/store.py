@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from sedge import storage
 from sedge.errors import NotFound
 from sedge.functions.ids import DELETABLE_CID, content_id
 
 DELETE_LIMIT = 50_000
+_DELETABLE = re.compile(DELETABLE_CID[:-1] + r"\Z")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id", order: str | None = None, replace_by: str | None = None) -> DataFrame:
@@ -68,13 +76,54 @@ def delete(records: DataFrame, key: str, values: DataFrame) -> DataFrame:
     return records.join(values.select(key).distinct(), key, "left_anti")
 
 
-def collect_cids(record: Column) -> Column:
-    """Content ids mentioned in a JSON record: ``blob_cids``, ``ingest.blob_cids``, strings under keys that
-    name a cid or blob, and strings in any array, at any depth; invalid ones are ignored, first occurrences
-    in order."""
-    named = F.regexp_extract_all(record, F.lit(r'"[^"]*(?:cid|blob)[^"]*"\s*:\s*"([0-9a-f]{32,128})"'), F.lit(1))
-    listed = F.flatten(F.transform(F.regexp_extract_all(record, F.lit(r"\[([^\[\]{}]*)\]"), F.lit(1)), lambda s: F.regexp_extract_all(s, F.lit('"([0-9a-f]{32,128})"'), F.lit(1))))
-    return F.array_distinct(F.concat(named, listed))
+def _strings(value) -> Iterator[str]:
+    """All strings of a JSON value."""
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, list | dict):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from _strings(x)
+
+
+def _named(value: dict) -> Iterator[str]:
+    """Strings under keys that name a cid or blob, and strings in arrays, at any depth of objects."""
+    for key, x in value.items():
+        if isinstance(x, str):
+            low = key.lower()
+            if ("cid" in low or "blob" in low) and "doc_id" not in low:
+                yield x
+        elif isinstance(x, dict):
+            yield from _named(x)
+        elif isinstance(x, list):
+            for item in x:
+                if isinstance(item, str):
+                    yield item
+                elif isinstance(item, dict):
+                    yield from _named(item)
+
+
+def cids_of(record: str | None) -> list[str]:
+    try:
+        record = json.loads(record) if record else {}
+    except ValueError:
+        return []
+    if not isinstance(record, dict):
+        return []
+    part = lambda of, key: of.get(key) if isinstance(of.get(key), dict) else {}
+    ingest = part(record, "ingest")
+    found = [*_strings(record.get("blob_cids")), *_strings(ingest.get("blob_cids")), *_strings(part(ingest, "blobs")), *_named(part(record, "structured"))]
+    valid = [x for x in found if _DELETABLE.match(x)]
+    own = record.get("doc_id")
+    return list(dict.fromkeys(valid or ([own] if isinstance(own, str) and _DELETABLE.match(own) else [])))
+
+
+@pandas_udf(ArrayType(StringType()))
+def collect_cids(record: pd.Series) -> pd.Series:
+    """Content ids mentioned in a JSON record: ``blob_cids``, ``ingest.blob_cids``, ``ingest.blobs``, and in
+    ``structured``, at any depth, strings under keys that name a cid or blob and strings in arrays; where there is
+    none, ``doc_id``.  Invalid ones are ignored, first occurrences in order.  (The depth is open, which
+    built-in functions cannot follow.)"""
+    return record.map(cids_of)
 
 
 def breakdown(records: DataFrame) -> DataFrame:
@@ -87,6 +136,37 @@ def index_stats(records: DataFrame, doc: str, vector: str) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("records"), F.count_if(has).alias("vectors"), F.count_distinct(F.when(has, F.col(doc))).alias("docs_with_vectors"))
 
 
+def describe_embedder(name: str, kind: str, dims: int | None = None, quantized: bool = False) -> str:
+    shape = f", dims: {dims}" if dims is not None else ""
+    return f"{name} (kind: {kind}{shape}, {'quantized' if quantized else 'float32'})"
+
+
+def snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """(name, ts, files, bytes) of the backups below ``root``, newest first; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    name = F.regexp_extract("path", r"/([^/]+-[0-9]{8}T[0-9]{6})/", 1)
+    found = files.withColumn("name", name).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return found.withColumn("ts", F.to_timestamp(F.regexp_extract("name", "([0-9T]{15})$", 1), "yyyyMMdd'T'HHmmss")).select("name", "ts", "files", "bytes").orderBy(F.desc("ts"), F.desc("name"))
+
+
+def verify_snapshot(spark: SparkSession, source: str, copy: str) -> DataFrame:
+    """(rows, copied, missing, extra): whether a copy holds the rows of its source, compared by row digests."""
+    digest = lambda df: df.select(F.xxhash64(*df.columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    a, b = digest(storage.read_table(spark, source)), digest(storage.read_table(spark, copy))
+    both = a.join(b.select("h", F.col("n").alias("m")), "h", "full_outer").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    zero = F.lit(0)
+    return both.agg(F.coalesce(F.sum("n"), zero).alias("rows"), F.coalesce(F.sum("m"), zero).alias("copied"), F.coalesce(F.sum(F.greatest(F.col("n") - F.col("m"), zero)), zero).alias("missing"), F.coalesce(F.sum(F.greatest(F.col("m") - F.col("n"), zero)), zero).alias("extra"))
+
+
+def restore_plan(spark: SparkSession, backup: str, target: str) -> DataFrame:
+    """(action, records): what restoring a backup of records would add, replace and remove."""
+    now = storage.read_table(spark, target)
+    old = storage.read_table(spark, backup).select("id", F.xxhash64(*now.columns).alias("then"))
+    both = now.select("id", F.xxhash64(*now.columns).alias("now")).join(old, "id", "full_outer")
+    action = F.when(F.col("now").isNull(), "add").when(F.col("then").isNull(), "remove").when(F.col("now") != F.col("then"), "replace").otherwise("keep")
+    return both.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("records"))
+
+
 def index_sizes(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """(index, files, bytes) of the directories below ``root``; file contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "length")
@@ -111,7 +191,7 @@ def retention(snapshots: DataFrame, ts: str, key: str, daily: int = 7, weekly: i
 
 def snapshot(spark: SparkSession, source: str, target: str) -> int:
     """Copy a table; returns its rows, checked against the copy."""
-    df = spark.read.parquet(source)
+    df = storage.read_table(spark, source)
     df.write.parquet(target)
     n = spark.read.parquet(target).count()
     if n != df.count():
@@ -122,4 +202,4 @@ def snapshot(spark: SparkSession, source: str, target: str) -> int:
 def recover(spark: SparkSession, backup: str, target: str, force: bool = False) -> None:
     if storage.exists(spark, target) and not force:
         raise FileExistsError(target)
-    storage.replace_table(spark.read.parquet(backup), target)
+    storage.replace_table(storage.read_table(spark, backup), target)

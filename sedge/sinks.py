@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sedge.operators.usage import audit_tsv
 
@@ -27,8 +28,10 @@ def stage_payloads(payloads: DataFrame, path: str) -> None:
 
 
 def load_payload(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
-    """Prunes to one partition before it filters."""
-    return spark.read.parquet(path).where((F.col("prefix").cast("string") == doc_id[:2]) & (F.col("doc_id") == doc_id))
+    """Prunes to one partition before it filters; the prefix is text, even where all are digits."""
+    staged = spark.read.parquet(path).schema
+    schema = StructType([StructField(f.name, StringType() if f.name == "prefix" else f.dataType) for f in staged])
+    return spark.read.schema(schema).parquet(path).where((F.col("prefix") == doc_id[:2]) & (F.col("doc_id") == doc_id))
 
 
 def without_payloads(payloads: DataFrame, done: DataFrame) -> DataFrame:

@@ -1,12 +1,24 @@
-"""Tables on shared storage: staging, and replacing a Parquet directory as one step."""
+"""Tables on shared storage: staging, and versioned tables that are replaced in one step.
+
+A table is a directory of versions (``v-...``) and a pointer file that names the one in force.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedge.errors import Conflict
+
+POINTER = "_current"
+#: No expectation of a table's version.
+ANY = "*"
+_locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset and all runs on this machine, a new one."""
@@ -41,16 +53,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write ``df`` beside ``path`` and swap directories: readers see the old table or the new one, and the
-    new one may be computed from the old."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The version in force and the one before it, as far as there are any."""
+    fs, at = file_system(spark, f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return []
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that a table's pointer names; None for a plain Parquet directory or none at all."""
+    return next(iter(_versions(spark, path)), None)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    version = current(spark, path)
+    return spark.read.parquet(f"{path}/{version}" if version else path)
+
+
+def _point(spark: SparkSession, path: str, versions: list[str]) -> None:
+    """Let the table's pointer name ``versions``: written beside it and renamed over it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, new = file_system(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(new)
+    out.writeBytes(" ".join(versions))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    _, at = file_system(spark, f"{path}/{POINTER}")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), conf).rename(new, at, how)
+
+
+def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), expected: str | None = ANY) -> str:
+    """Write ``df`` as a new version of the table and point to it; returns the version.
+
+    Readers see the old version or the new one, never none: the pointer is one file that is renamed into
+    place, a failure before that leaves the old version in force, and the version before stays on disk for
+    whoever still reads it.  ``expected`` is the version that ``df`` was made from: if another
+    writer has replaced it meanwhile, ``Conflict`` is raised and nothing changes.
+    """
     spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
+    with _locks[path]:
+        before = _versions(spark, path)
+        if expected is not ANY and next(iter(before), None) != expected:
+            _remove(spark, f"{path}/{version}")
+            raise Conflict(path)
+        _point(spark, path, [version, *before[:1]])
+        for old in before[1:]:
+            _remove(spark, f"{path}/{old}")
+    return version
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     fs, at = file_system(spark, path)
-    _, new = file_system(spark, f"{path}.new-{uuid.uuid4().hex}")
-    _, old = file_system(spark, f"{path}.old-{uuid.uuid4().hex}")
-    df.write.partitionBy(*partition_by).parquet(new.toString())
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    if fs.exists(old):
-        fs.delete(old, True)
+    fs.delete(at, True)

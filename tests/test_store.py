@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedge import storage
-from sedge.errors import NotFound
+from sedge.errors import Conflict, NotFound
 from sedge.operators import payload, store, usage
 
 
@@ -58,12 +58,17 @@ def test_replace_and_snapshot(spark, tmp_path):
     path, copy = f"file://{tmp_path}/t", f"file://{tmp_path}/copy"
     storage.replace_table(spark.range(5), path)
     assert store.snapshot(spark, path, copy) == 5
-    storage.replace_table(spark.read.parquet(path).where("id > 2"), path)
-    assert spark.read.parquet(path).count() == 2
+    old = storage.read_table(spark, path)
+    version = storage.current(spark, path)
+    storage.replace_table(old.where("id > 2"), path, expected=version)
+    assert storage.read_table(spark, path).count() == 2 and old.count() == 5  # readers keep their version
+    with pytest.raises(Conflict):
+        storage.replace_table(spark.range(1), path, expected=version)
+    assert storage.read_table(spark, path).count() == 2
     with pytest.raises(FileExistsError):
         store.recover(spark, copy, path)
     store.recover(spark, copy, path, force=True)
-    assert spark.read.parquet(path).count() == 5
+    assert storage.read_table(spark, path).count() == 5
 
 
 DECISION = {
