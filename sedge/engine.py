@@ -205,7 +205,8 @@ class Engine:
             if blobs and storage.exists(self.spark, self.path("blobs")):
                 used = left.select(F.explode("blob_cids").alias("cid")).unionByName(left.select(F.col("doc_id").alias("cid"))).distinct()
                 gone = plan.select(F.explode("cids").alias("cid")).join(used, "cid", "left_anti")
-                kept = storage.stage(self._table("blobs").join(gone, "cid", "left_anti"), "blobs")
+                held = self._table("blobs")
+                kept = storage.stage(held.join(gone, "cid", "left_anti").select(*held.columns), "blobs")
                 self._replace("records", left, version)
                 self._replace("blobs", kept, self._version("blobs"))
             else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,3 +111,41 @@ def resize_edge(edge: Column, longest: Column, most: int) -> Column:
 
 def image_prompt(c: Column, tag: str = "<image>") -> Column:
     return F.when(F.ltrim(c).startswith(tag), c).otherwise(F.concat(F.lit(f"{tag}\n"), c))
+
+
+def attachment(content: Column) -> Column:
+    """Bytes as base64 without line breaks."""
+    return F.regexp_replace(F.base64(content.cast("binary")), r"[\r\n]", "")
+
+
+def _address(c: Column) -> Column:
+    """The text where it is an IPv4 or IPv6 address, else null."""
+    four = c.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
+    groups = F.size(F.filter(F.split(c, ":"), lambda x: x != ""))
+    double = F.regexp_count(c, F.lit("::")) == 1
+    shape = c.rlike("^[0-9A-Fa-f:]+$") & ~c.rlike("[0-9A-Fa-f]{5}|:::") & (double | ~c.rlike("^:|:$"))
+    six = shape & F.when(double, groups <= 7).otherwise((groups == 8) & (F.regexp_count(c, F.lit(":")) == 7))
+    return F.when(four | six, c)
+
+
+def client_ip(peer: Column, forwarded_for: Column, forwarded: Column, trusted: Sequence[str], mode: str = "off") -> Column:
+    """The client's address: the peer's, or what a trusted peer's header says.
+
+    ``mode`` is off, x-forwarded-for (its first entry) or forwarded (its first ``for=`` that is an address).
+    """
+    if mode == "off" or not trusted:
+        return peer
+    if mode == "x-forwarded-for":
+        said = _address(F.trim(F.substring_index(forwarded_for, ",", 1)))
+    elif mode == "forwarded":
+        parts = F.transform(F.split(forwarded, "[;,]"), lambda p: F.trim(p))
+        named = F.transform(F.filter(parts, lambda p: p.startswith("for=")), lambda p: _address(F.regexp_replace(F.substr(p, F.lit(5)), '^"+|"+$', "")))
+        said = F.try_element_at(F.array_compact(named), F.lit(1))
+    else:
+        raise ValueError(f"unknown proxy mode {mode}")
+    return F.when(peer.isin(*trusted), F.coalesce(said, peer)).otherwise(peer)
+
+
+def source_url(url: Column, source: Column, default: str, other: str, default_other: str) -> Column:
+    """The URL to scan: the default of source ``other`` replaces the general default, a URL given stays."""
+    return F.when((source == other) & (url == default), F.lit(default_other)).otherwise(url)

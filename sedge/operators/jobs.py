@@ -82,3 +82,12 @@ def enqueue_strict(jobs: DataFrame, new: DataFrame) -> DataFrame:
 
 def count_failed(responses: str, error: str = "error") -> Column:
     return F.size(F.filter(responses, lambda r: r[error].isNotNull()))
+
+
+def run_summary(jobs: DataFrame, most: int = 100) -> DataFrame:
+    """One row on an ingest run: how many jobs there are and in which state, and the first ``most`` failed ones
+    by name; ``failed`` counts all of them."""
+    state = lambda s: F.count_if(F.col("status") == s)
+    counts = jobs.agg(F.count(F.lit(1)).alias("total"), state("Generated").alias("generated"), state("Generating").alias("in_flight"), state("Pending").alias("queued"), state("Failed").alias("failed"))
+    first = jobs.where("status = 'Failed'").select("doc_id").distinct().orderBy("doc_id").limit(most)
+    return counts.crossJoin(first.agg(F.array_sort(F.collect_list("doc_id")).alias("failed_docs")))  # one row each

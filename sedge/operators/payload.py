@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from sedge.errors import InvalidParameter
 from sedge.functions.ids import chunk_record_id, doc_record_id, normalize_cids
-from sedge.functions.text import count_tokens
+from sedge.functions.text import count_tokens, is_numeric_noise
 
 COVERAGE = 0.15
 
 
 def _blank(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.coalesce(c, F.lit("")).rlike(r"(?U)^\s*$")
 
 
 def _each(items: str, check) -> Column:
@@ -117,3 +123,86 @@ def zero_vector(text: Column, vector: Column, dim: int) -> Column:
 def ingest_status(error: Column, chunks: Column, embedder: str) -> Column:
     """The nested ``ingest`` object of a record."""
     return F.struct(F.when(error.isNull(), "indexed").otherwise("error").alias("status"), F.lit(embedder).alias("embedder_key"), chunks.alias("chunk_count"), error.alias("error"))
+
+
+def empty_procurement(procurement: Column) -> Column:
+    """Whether a decision says nothing of its procurement."""
+    blank = [procurement[f].isNull() for f in ("subject", "procedure_type", "tender_id")]
+    return procurement.isNull() | (blank[0] & blank[1] & blank[2] & (F.coalesce(F.size(procurement["cpv_codes"]), F.lit(0)) <= 0))
+
+
+def sentence_records(docs: DataFrame, silo: str, doc: str, text: str) -> DataFrame:
+    """One record per sentence of a document, with no vector; ids are made from silo, document and place."""
+    from sedge.functions.text import sentences
+
+    flat = docs.select(F.col(doc).cast("string").alias("doc_id"), F.explode(sentences(F.col(text))).alias("s"))
+    position = (F.col("s.ord") + 1).cast("long")
+    return flat.select(
+        chunk_record_id(F.lit(silo), F.col("doc_id"), position).alias("id"), F.lit(silo).alias("silo"), F.lit("chunk").alias("doc_type"), "doc_id",
+        F.lit(None).cast("string").alias("section"), position.alias("ord"), F.col("s.text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"),
+    )
+
+
+def pick_answer(first: Column, used: Column, budget: Column, second: Column) -> Column:
+    """struct(text, answer, error): the first answer of two, unless it was cut off (as many tokens used as it had),
+    is numeric noise or blank; then the second, unless it is blank; else an error."""
+    text = lambda c: F.when(~_blank(c), F.regexp_replace(c, r"\s+$", ""))
+    one = F.when(~F.coalesce(used >= budget, F.lit(False)) & ~F.coalesce(is_numeric_noise(text(first)), F.lit(False)), text(first))
+    two = text(second)
+    error = F.when(one.isNull() & two.isNull(), "no usable answer")
+    return F.struct(F.coalesce(one, two).alias("text"), F.when(one.isNotNull(), 1).when(two.isNotNull(), 2).alias("answer"), error.alias("error"))
+
+
+MOST_DOCUMENTS, MOST_PAGES = 64, 1024
+
+
+def check_ocr_budget(documents: int, pages: int, docs_at_once: int, pages_at_once: int, in_flight: int) -> None:
+    """Raise InvalidParameter where a run of page reading is beyond its limits."""
+    for field, value, most in (("documents", documents, MOST_DOCUMENTS), ("pages", pages, MOST_PAGES)):
+        if value > most:
+            raise InvalidParameter(field, f"{value} exceeds {most}")
+    if min(docs_at_once, pages_at_once) < 1:
+        raise InvalidParameter("concurrency", "must be 1 at least")
+    if docs_at_once * pages_at_once > in_flight:
+        raise InvalidParameter("concurrency", f"{docs_at_once} x {pages_at_once} exceeds {in_flight} in flight")
+
+
+def join_pages(pages: DataFrame, doc: str, ordinal: str, text: str) -> DataFrame:
+    """(doc, text): what was read of each page, in the pages' own order whatever order it came in, blank ones left out."""
+    kept = pages.where(~_blank(F.col(text)))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t"))))
+    return kept.groupBy(doc).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def embed_texts(df: DataFrame, text: str, embed: Callable[[list[str]], list[Sequence[float]]], dim: int, batch: int = 32) -> DataFrame:
+    """Adds ``embedding``: blank texts get the zero vector, all others go to ``embed`` in batches, in order.
+
+    A batch that comes back with another number of vectors, or vectors of another length, is an error.
+    """
+
+    @pandas_udf(ArrayType(FloatType()))
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            full = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            out = [[0.0] * dim] * len(texts)
+            for lo in range(0, len(full), batch):
+                at = full[lo : lo + batch]
+                got = embed([texts.iloc[i] for i in at])
+                if len(got) != len(at) or any(len(v) != dim for v in got):
+                    raise ValueError(f"{len(at)} vectors of {dim} dimensions are due, got {[len(v) for v in got]}")
+                for i, v in zip(at, got, strict=True):
+                    out[i] = list(v)
+            yield pd.Series(out)
+
+    return df.withColumn("embedding", vectors(F.col(text)))
+
+
+def parse_reply(blocked: Column, parts: Column, schema: StructType) -> Column:
+    """struct(decision, error) of a provider's reply: blocked prompts and blank replies are errors, text parts are
+    joined and read as JSON.  Rules are checked by ``violations`` on the decision's fields."""
+    text = F.trim(F.array_join(F.coalesce(parts, F.array().cast("array<string>")), ""))
+    marked = StructType([*schema.fields, StructField("_bad", StringType())])
+    read = F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    bad = read.isNull() | read["_bad"].isNotNull()
+    error = F.when(blocked.isNotNull(), F.concat(F.lit("blocked: "), blocked)).when(text == "", "the reply has no text").when(bad, "the reply is no such JSON")
+    return F.struct(F.when(error.isNull(), F.struct(*[read[f.name].alias(f.name) for f in schema])).alias("decision"), error.alias("error"))

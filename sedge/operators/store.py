@@ -151,7 +151,7 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 def verify_snapshot(spark: SparkSession, source: str, copy: str) -> DataFrame:
     """(rows, copied, missing, extra): whether a copy holds the rows of its source, compared by row digests."""
-    digest = lambda df: df.select(F.xxhash64(*df.columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    digest = lambda df: df.select(F.xxhash64(*sorted(df.columns)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     a, b = digest(storage.read_table(spark, source)), digest(storage.read_table(spark, copy))
     both = a.join(b.select("h", F.col("n").alias("m")), "h", "full_outer").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     zero = F.lit(0)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sedge.functions import text as tx
 
+# Words of a ruling's head.
+HEADS = ("Sygn. akt", "WYROK")
 MAPS = ("input", "output", "cache", "tool")
 
 
@@ -41,12 +43,16 @@ def audit(docs: DataFrame, chunks: DataFrame, doc: str, text: str, body: str, or
     both = docs.select(doc, F.col(text).alias("source")).join(parts, doc, "left").withColumn("joined", F.coalesce("joined", F.lit(""))).withColumn("chunks", F.coalesce("chunks", F.lit(0)))
     counters = {"tokens": tx.count_tokens, "chars": lambda c: F.length(c).cast("long"), "digits": tx.count_digits, "statutes": tx.count_statutes}
     cols = [f(F.col(side)).alias(f"{which}_{name}") for name, f in counters.items() for which, side in (("source", "source"), ("chunk", "joined"))]
-    out = both.select(doc, "chunks", *cols)
+    head = F.lit(False)
+    for word in HEADS:
+        head = head | F.col("joined").contains(word)
+    out = both.select(doc, "chunks", *cols, head.alias("header_in_chunks"))
     return out.withColumn("drift_pct", F.round(tx.drift(F.col("source_tokens"), F.col("chunk_tokens")).cast("double"), 3))
 
 
 def audit_tsv(audited: DataFrame) -> DataFrame:
     """The audit as text lines: tab separated, drift with one decimal, status ok or fail."""
     status = F.when(F.abs("drift_pct") <= 15, "ok").otherwise("fail")
-    cells = [F.col(c).cast("string") for c in audited.columns if c != "drift_pct"]
+    flag = lambda c: F.when(F.col(c), "yes").otherwise("no") if dict(audited.dtypes)[c] == "boolean" else F.col(c).cast("string")
+    cells = [flag(c) for c in audited.columns if c != "drift_pct"]
     return audited.select(F.concat_ws("\t", *cells, F.format_string("%.1f", "drift_pct"), status).alias("value"))

@@ -159,7 +159,7 @@ def record_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get(table(spark, sf_dir, "documents"), "doc_id", 7).select("doc_id", "text", "lang", "source")
 
 
-@query("""SELECT event_id, '{"user.id":"' || user_id || '","items.1":"' || event_type || '"}' AS projected FROM events""")
+@query("""SELECT event_id, '{"user.id":' || user_id || ',"items.1":"' || event_type || '"}' AS projected FROM events""")
 def project_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(F.struct(F.struct(F.col("user_id").alias("id")).alias("user"), F.array(F.lit("first"), F.col("event_type")).alias("items")))
     rows = table(spark, sf_dir, "events").select("event_id", record.alias("record"))

@@ -32,7 +32,8 @@ def text_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH j AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS joined, count(*) AS chunks FROM conversations GROUP BY 1),
 b AS (SELECT d.doc_id, d.text AS s, coalesce(j.joined, '') AS c, coalesce(j.chunks, 0) AS chunks FROM documents d LEFT JOIN j USING (doc_id)),
 n AS (SELECT doc_id, chunks, {_COUNT('s', r'\S+')} AS source_tokens, {_COUNT('c', r'\S+')} AS chunk_tokens, length(s)::BIGINT AS source_chars, length(c)::BIGINT AS chunk_chars,
- {_COUNT('s', '[0-9]')} AS source_digits, {_COUNT('c', '[0-9]')} AS chunk_digits, {_COUNT('s', _STATUTE)} AS source_statutes, {_COUNT('c', _STATUTE)} AS chunk_statutes FROM b)
+ {_COUNT('s', '[0-9]')} AS source_digits, {_COUNT('c', '[0-9]')} AS chunk_digits, {_COUNT('s', _STATUTE)} AS source_statutes, {_COUNT('c', _STATUTE)} AS chunk_statutes,
+ contains(c, 'Sygn. akt') OR contains(c, 'WYROK') AS header_in_chunks FROM b)
 SELECT *, CASE WHEN source_tokens = 0 THEN 0 ELSE round(((source_tokens - chunk_tokens)::FLOAT * 100::FLOAT / source_tokens::FLOAT)::DOUBLE, 3) END AS drift_pct FROM n""")
 def audit_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = usage.audit(table(spark, sf_dir, "documents"), chunks(spark, sf_dir), "doc_id", "text", "content", "ord")

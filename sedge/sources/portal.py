@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, LessThanOrEqual
 from pyspark.sql.functions import pandas_udf
 
 from sedge.functions.scalars import nth_int
@@ -21,6 +21,8 @@ ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "doc_id"
 API_PAGE = "items array<struct<id: bigint, judgmentType: string, courtCases: array<struct<caseNumber: string>>>>, info struct<totalResults: bigint>"
 API_DETAIL = "data struct<judgmentDate: string, source: struct<judgmentId: string>>"
 PAGE_SIZE = 10
+#: Judgments dated later are not asked for.
+LAST_DATE = "2020-12-31"
 
 
 class _Links(HTMLParser):
@@ -161,10 +163,20 @@ def discovery_target(limit: Column, total: Column) -> Column:
     return F.least(limit, total)
 
 
+def pages_of(html: str) -> int:
+    """How many result pages there are by the counter that only page 1 shows; 1 without a counter."""
+    p = _Results()
+    p.feed(html or "")
+    numbers = re.findall(r"\d+", p.counts or "")
+    total = int(numbers[1]) if len(numbers) > 1 else 0
+    return max(1, -(-total // PAGE_SIZE))
+
+
 class PortalSource(DataSource):
-    """Pages of a portal as a table (page, html): one input partition per page.
+    """Pages of a portal as a table (page, html): one input partition per page, from page 1.
 
-    ``fetch`` (set with ``PortalSource.use``) maps a page number to its HTML; options: pages.
+    ``fetch`` (set with ``PortalSource.use``) maps a page number to its HTML.  Option ``pages`` says how
+    many; without it page 1 tells, so that no page beyond the last is asked for.
     """
 
     fetcher: Callable[[int], str] | None = None
@@ -181,15 +193,60 @@ class PortalSource(DataSource):
         return "page int, html string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _PortalReader(self.fetcher, int(self.options.get("pages", 1)))
+        pages = self.options.get("pages")
+        return _PortalReader(self.fetcher, int(pages) if pages else None)
 
 
 class _PortalReader(DataSourceReader):
-    def __init__(self, fetch, pages: int):
+    def __init__(self, fetch, pages: int | None):
         self.fetch, self.pages = fetch, pages
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(1, self.pages + 1)]
+        many = self.pages if self.pages is not None else pages_of(self.fetch(1))
+        return [InputPartition(i) for i in range(1, many + 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
         yield partition.value, self.fetch(partition.value)
+
+
+class JudgmentSource(DataSource):
+    """Result pages of a JSON portal as rows (judgment_id, judgment_date, body), one partition per page, from page 0.
+
+    ``fetch(page, until)`` (set with ``use``) gives a page's rows of judgments dated ``until`` at the latest; a
+    condition ``judgment_date <= '...'`` on the table reaches it (with filter push-down of Python sources on), and
+    option ``until`` is its default.
+    """
+
+    fetcher: Callable[[int, str], list[tuple]] | None = None
+
+    @classmethod
+    def name(cls) -> str:
+        return "judgments"
+
+    @classmethod
+    def use(cls, fetch: Callable[[int, str], list[tuple]]) -> type[JudgmentSource]:
+        return type("JudgmentSource", (cls,), {"fetcher": staticmethod(fetch)})
+
+    def schema(self) -> str:
+        return "judgment_id string, judgment_date string, body string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _JudgmentReader(self.fetcher, int(self.options.get("pages", 1)), self.options.get("until", LAST_DATE))
+
+
+class _JudgmentReader(DataSourceReader):
+    def __init__(self, fetch, pages: int, until: str):
+        self.fetch, self.pages, self.until = fetch, pages, until
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, LessThanOrEqual) and f.attribute == ("judgment_date",) and isinstance(f.value, str):
+                self.until = min(self.until, f.value)
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(self.pages)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.fetch(partition.value, self.until)

@@ -8,8 +8,14 @@ from typing import NamedTuple, Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
+from sedge import storage
 from sedge.errors import InvalidParameter
+from sedge.functions.ids import content_hash
+from sedge.functions.scalars import attachment
 from sedge.operators import jobs as jb
+from sedge.operators import payload, store
 
 MOST_INPUTS = 32
 
@@ -30,6 +36,30 @@ class Provider(Protocol):
     def fetch(self, job: str) -> Sequence[Answer]: ...
 
 
+def check_inputs(inputs: DataFrame) -> None:
+    """Raise InvalidParameter unless there are 1 to ``MOST_INPUTS`` inputs (doc_id, display_name, mime_type, content,
+    text) and none of their fields is blank."""
+    rows = inputs.limit(MOST_INPUTS + 1).select("doc_id", "display_name", "mime_type", F.octet_length("content").alias("content"), "text").collect()
+    if not 1 <= len(rows) <= MOST_INPUTS:
+        raise InvalidParameter("inputs", f"must be 1 to {MOST_INPUTS}")
+    for r in rows:
+        for field, value in r.asDict().items():
+            if not (value if field == "content" else (value or "").strip()):
+                raise InvalidParameter(field, "must not be empty")
+
+
+def request(inputs: DataFrame, system: str) -> DataFrame:
+    """(doc_id, body): the JSON request of each input - the attachment, its text and the instruction, one
+    deterministic answer in JSON."""
+    part = lambda kind, **fields: F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in fields.items()])
+    file = part("file", name=F.col("display_name"), mime_type=F.col("mime_type"), data=attachment(F.col("content")))
+    body = F.struct(
+        F.struct(file.alias("file"), part("text", text=F.col("text")).alias("text")).alias("user"), F.lit(system).alias("system"),
+        F.struct(F.lit("application/json").alias("response_mime_type"), F.lit(1).alias("candidate_count"), F.lit(0.0).alias("temperature")).alias("generation"),
+    )
+    return inputs.select("doc_id", F.to_json(body).alias("body"))
+
+
 def submit(jobs: DataFrame, provider: Provider, now_ms: int, limit: int = 4) -> DataFrame:
     """Ready batch jobs handed to the provider; their rows with the new state.
 
@@ -72,3 +102,28 @@ def fetch(jobs: DataFrame, provider: Provider, now_ms: int, limit: int = 4) -> D
 def parse_replies(fetched: DataFrame, schema: str) -> DataFrame:
     """Adds ``decision`` (null where the reply is no such JSON)."""
     return fetched.withColumn("decision", F.from_json("reply", schema, {"mode": "PERMISSIVE"}))
+
+
+def finalize(parsed: DataFrame, records: DataFrame, schema: StructType, silo: str, dim: int, embed, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(job rows with their new state, records with the decisions' own) of generated jobs with ``decision``.
+
+    A decision must pass its rules, its hash must be that of the job where the job has one, and every chunk
+    gets a vector of the index's length; jobs whose decision fails keep the records as they were.
+    """
+    parts = [F.col(f"decision.{f.name}").alias(f.name) for f in schema]
+    rows = parsed.where("decision is not null").select("job_id", "doc_id", F.col("content_hash").alias("known"), F.col("decision").alias("whole"), *parts)
+    rows = rows.withColumn("problems", payload.violations()).withColumn("hash", content_hash(F.col("whole"), schema))
+    problem = F.when(F.size("problems") > 0, F.array_join("problems", "; ")).when(F.col("known") != F.col("hash"), "content hash mismatch after generation")
+    rows = storage.stage(rows.withColumn("problem", problem), "finalize")
+    good = rows.where("problem is null")
+    chunks = payload.embed_texts(payload.chunk_records(good, silo), "content", embed, dim)
+    new = payload.doc_records(good, silo).unionByName(chunks, allowMissingColumns=True)
+    new = storage.stage(new.select(*[c for c in records.columns if c in new.columns]), "records")
+    known = rows.select("job_id", "hash", "problem", F.size("chunks").alias("many"))
+    done = parsed.join(known, "job_id", "left")
+    told = F.when(F.col("decision").isNull(), F.coalesce("error", F.lit("the reply is no such JSON"))).otherwise(F.col("problem"))
+    ok = told.isNull()
+    state = {"status": F.when(ok, "Generated").otherwise("Failed"), "error": told, "last_error": F.coalesce(told, "last_error"), "content_hash": F.coalesce("content_hash", F.when(ok, F.col("hash"))), "chunk_count": F.when(ok, F.col("many")).otherwise(F.col("chunk_count")), "completed_at_ms": F.lit(now_ms), "updated_at_ms": F.lit(now_ms)}
+    columns = [f for f in parsed.schema if f.name not in ("reply", "decision")]
+    jobs = done.select(*[(state[f.name].cast(f.dataType) if f.name in state else F.col(f.name)).alias(f.name) for f in columns])
+    return jobs, store.upsert(records, new, "id", replace_by="doc_id")

@@ -1,8 +1,13 @@
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
+from sedge import storage
 from sedge.engine import Engine
-from sedge.errors import Duplicate, InvalidParameter, NotFound
+from sedge.errors import Conflict, Duplicate, InvalidParameter, NotFound
 from sedge.schema import IndexSpec, decision_schema, job_schema, prompt_schema
 
 
@@ -77,3 +82,65 @@ def test_schemas():
     assert len(decision_schema()) == 10 and "next_retry_at_ms" in job_schema().names
     assert prompt_schema()["properties"]["decision"]["properties"]["result"]["enum"][1] == "upheld"
     assert IndexSpec.from_json(IndexSpec(dim=3).to_json()) == IndexSpec(dim=3)
+
+
+def test_stored_postings(engine):
+    """Scores from postings equal those of a scan, with and without a filter, and lapse with the next change."""
+    scan = [(r.id, r.score) for r in engine.keyword("public works").collect()]
+    some = [(r.id, r.score) for r in engine.keyword("public", filter="doc_id = b").collect()]
+    ahead = [tuple(r) for r in engine.typeahead("public wo")[0]]
+    engine.index()
+    engine.now[0] += 3
+    stored = engine.keyword("public works")
+    assert [(r.id, r.score) for r in stored.collect()] == scan and "postings" in str(engine._scores(engine.records(), "public", None).inputFiles())
+    assert [(r.id, r.score) for r in engine.keyword("public", filter="doc_id = b").collect()] == some
+    assert [tuple(r) for r in engine.typeahead("public wo")[0]] == ahead
+    engine.upsert(engine.records().where("id = 'm-b-doc'").withColumn("content", F.lit("other")))
+    assert [r.id for r in engine.keyword("works").collect()] == ["m-b-chunk-1"]
+
+
+def test_single_flight(engine, monkeypatch):
+    """Equal requests at one time run once; a failure reaches all of them and is not kept."""
+    runs, gate = [], threading.Event()
+
+    def slow(q, filter, limit):
+        runs.append(q)
+        gate.wait(10)
+        if len(runs) == 1:
+            raise OSError("down")
+        return ["row"]
+
+    monkeypatch.setattr(engine, "_suggest", slow)
+    with ThreadPoolExecutor(5) as pool:
+        asked = [pool.submit(engine.typeahead, "publ") for _ in range(5)]
+        while not engine._flights:
+            time.sleep(0.01)
+        time.sleep(0.2)
+        gate.set()
+        assert all(isinstance(a.exception(), OSError) for a in asked) and len(runs) == 1
+        assert sorted(a.result()[1] for a in [pool.submit(engine.typeahead, "publ") for _ in range(5)]) == [False, True, True, True, True]
+    assert len(runs) == 2
+
+
+def test_delete_with_blobs(engine, spark):
+    a, b = "a1" * 32, "b2" * 32
+    cids = F.when(F.col("doc_id") == "a", F.array(F.lit(a))).when(F.col("doc_type") == "doc", F.array(F.lit(a), F.lit(b))).otherwise(F.col("blob_cids"))
+    engine.upsert(engine.records().withColumn("blob_cids", cids))
+    storage.replace_table(spark.createDataFrame([("s", a, 1), ("s", b, 2)], "silo string, cid string, size_bytes int"), engine.path("blobs"))
+    backup = engine.backup(engine.root + "-kept")
+    assert engine.verify(backup) == {"records": (0, 0), "blobs": (0, 0)}
+    assert engine.delete("b", blobs=True).first().cids == [a, b]
+    assert [r.cid for r in engine._table("blobs").collect()] == [a]  # the other document still needs it
+    assert engine.verify(backup) == {"records": (0, 2), "blobs": (0, 1)}
+    assert {r.action: r.records for r in engine.recover(backup, dry_run=True).collect()} == {"add": 2, "keep": 1}
+    assert [r.name for r in engine.backups(engine.root + "-kept").collect()] == [backup.rsplit("/", 1)[-1]]
+    engine.recover(backup, force=True)
+    assert engine.records().count() == 3 and engine._table("blobs").count() == 2
+
+
+def test_two_writers(engine):
+    version = engine._version("records")
+    engine.upsert(engine.records().where("id = 'm-a-doc'").withColumn("content", F.lit("first")))
+    with pytest.raises(Conflict):
+        engine._replace("records", engine.records(), version)
+    assert engine.get("m-a-doc").first().content == "first"

@@ -105,3 +105,29 @@ def test_sentences(t, expected):
 def test_sentences_extra_abbreviation():
     assert len(split("Patrz Zał. Nr jeden.")) == 2
     assert len(split("Patrz Zał. Nr jeden.", ("zał.",))) == 1
+
+
+def test_segmenter_options():
+    assert split("Pan J. Nowak przyszedł. Wyszedł.") == ["Pan J. Nowak przyszedł.", "Wyszedł."]
+    assert split("Punkt x. Następnie koniec.") == ["Punkt x. Następnie koniec."]  # a Roman ten
+    assert split("To y. Następnie koniec.") == ["To y.", "Następnie koniec."]
+    assert split("To Ż. Następnie koniec.") == ["To Ż.", "Następnie koniec."]
+    assert split("Pan J. Nowak.", abbreviations=False) == ["Pan J.", "Nowak."]
+    assert split("Rok 5. Maj.", ordinals=False) == ["Rok 5.", "Maj."] and split("Rok 5. Maj.") == ["Rok 5. Maj."]
+    assert split("Zob. skr. Abc.", extra=("skr.",)) == ["Zob. skr. Abc."]
+
+
+def test_client_ip_and_url(spark):
+    def said(mode, xff=None, forwarded=None, peer="10.0.0.1"):
+        df = spark.createDataFrame([(peer, xff, forwarded)], "p string, x string, f string")
+        return df.select(sc.client_ip(F.col("p"), F.col("x"), F.col("f"), ["10.0.0.1"], mode)).first()[0]
+
+    assert said("off", "1.2.3.4") == "10.0.0.1" and said("x-forwarded-for", " 1.2.3.4 , 5.6.7.8") == "1.2.3.4"
+    assert said("x-forwarded-for", "1.2.3.4", peer="9.9.9.9") == "9.9.9.9" and said("x-forwarded-for", "nobody, 1.2.3.4") == "10.0.0.1"
+    assert said("forwarded", forwarded='by=1.1.1.1;for=_x, for="2001:db8::1"') == "2001:db8::1" and said("forwarded") == "10.0.0.1"
+    for bad in ("1.2.3", "1.2.3.256", "1::2::3", "12345::", "1:2:3:4:5:6:7", ":1:2:3:4:5:6:7:8"):
+        assert said("x-forwarded-for", bad) == "10.0.0.1"
+    for good in ("::", "::1", "1:2:3:4:5:6:7:8", "fe80::1"):
+        assert said("x-forwarded-for", good) == good
+    urls = spark.createDataFrame([("a", "uzp"), ("a", "saos"), ("own", "saos")], "u string, s string")
+    assert [r[0] for r in urls.select(sc.source_url(F.col("u"), F.col("s"), "a", "saos", "b")).collect()] == ["a", "b", "own"]

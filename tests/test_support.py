@@ -1,12 +1,16 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sedge import config, retry, sinks
 from sedge.errors import InvalidParameter
-from sedge.operators import usage
-from sedge.schema import DECISION_DDL, job_schema
+from sedge.functions import glyphs
+from sedge.operators import payload, usage
+from sedge.schema import DECISION_DDL, decision_schema, job_schema
+from sedge.sources import portal
 from sedge.streaming import batches, progress
 
 
@@ -84,6 +88,100 @@ def test_batches(spark):
         batches.submit(jobs, provider, 0, limit=33)
 
 
+def test_payload_prefix_is_text(spark, tmp_path):
+    df = spark.createDataFrame([("07ab", "x"), ("0712", "y"), ("1200", "z")], "doc_id string, details string")
+    sinks.stage_payloads(df, str(tmp_path / "p"))
+    assert [sinks.load_payload(spark, str(tmp_path / "p"), d).first().details for d in ("07ab", "0712", "1200")] == ["x", "y", "z"]
+
+
+def test_batch_inputs(spark):
+    ddl = "doc_id string, display_name string, mime_type string, content binary, text string"
+    good = spark.createDataFrame([("d", "n", "application/pdf", b"\x00\xff", "t")], ddl)
+    batches.check_inputs(good)
+    body = json.loads(batches.request(good, "rules").first().body)
+    assert body["user"]["file"] == {"kind": "file", "name": "n", "mime_type": "application/pdf", "data": "AP8="}
+    assert body["generation"] == {"response_mime_type": "application/json", "candidate_count": 1, "temperature": 0.0} and body["system"] == "rules"
+    for bad in (good.limit(0), good.withColumn("text", F.lit(" ")), good.withColumn("content", F.lit(b"")), spark.range(33).crossJoin(good).drop("id")):
+        with pytest.raises(InvalidParameter):
+            batches.check_inputs(bad)
+
+
+def test_finalize(spark):
+    schema = decision_schema()
+    chunks = [{"position": i, "section": "facts", "body": f"body {i}"} for i in (1, 2)]
+    good = {"decision": {"date": "2024-01-31", "result": "upheld"}, "panel": [{"name": "N", "role": "chair"}], "parties": {"contracting_authority": "A", "appellant": "B"}, "summary_short": "s", "chunks": chunks}
+    bad = good | {"chunks": []}
+    replies = {"j1": json.dumps(good), "j2": json.dumps(bad), "j3": "no json", "j4": json.dumps(good)}
+    rows = [{"job_id": k, "doc_id": f"d{k}", "status": "Generated", "content_hash": "other" if k == "j4" else None, "reply": v} for k, v in replies.items()]
+    ddl = StructType([*job_schema().fields, StructField("reply", StringType())])
+    fetched = spark.createDataFrame([tuple(r.get(f.name) for f in ddl) for r in rows], ddl)
+    parsed = fetched.withColumn("decision", payload.parse_reply(F.lit(None).cast("string"), F.array("reply"), schema)["decision"])
+    old = spark.createDataFrame([("main-dj1-chunk-9", "chunk", "dj1", "gone", None), ("main-dj2-doc", "doc", "dj2", "stays", None)], "id string, doc_type string, doc_id string, content string, embedding array<float>")
+    jobs, records = batches.finalize(parsed, old, schema, "main", 2, lambda texts: [[1.0, float(len(t))] for t in texts], 5)
+    state = {r.job_id: (r.status, r.error) for r in jobs.collect()}
+    assert state["j1"] == ("Generated", None) and state["j2"][1].startswith("chunks needs") and state["j3"] == ("Failed", "the reply is no such JSON") and "mismatch" in state["j4"][1]
+    one = jobs.where("job_id = 'j1'").first()
+    assert one.chunk_count == 2 and len(one.content_hash) == 64
+    got = {r.id: r for r in records.collect()}
+    assert set(got) == {"main-dj1-doc", "main-dj1-chunk-1", "main-dj1-chunk-2", "main-dj2-doc"} and got["main-dj1-chunk-2"].embedding == [1.0, 6.0]
+
+
+def test_embedding_batches(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else " " if i == 5 else f"t{i}") for i in range(100)], "i int, t string").coalesce(1)
+    got = payload.embed_texts(df, "t", lambda texts: [[float(len(texts)), float(x[1:])] for x in texts], 2).collect()
+    assert all(r.embedding == ([0.0, 0.0] if r.i in (3, 5) else [r.embedding[0], float(r.i)]) and r.embedding[0] <= 32 for r in got)
+    with pytest.raises(Exception, match="vectors"):
+        payload.embed_texts(df, "t", lambda texts: [[1.0]] * len(texts), 2).collect()
+
+
+def test_ocr_budget():
+    payload.check_ocr_budget(64, 1024, 2, 8, 16)
+    for bad in ((65, 1, 1, 1, 1), (1, 1025, 1, 1, 1), (1, 1, 0, 1, 1), (1, 1, 2, 9, 16)):
+        with pytest.raises(InvalidParameter):
+            payload.check_ocr_budget(*bad)
+
+
+def test_glyphs():
+    def line(text, x, y, h=10.0, step=5.0):
+        return [{"ch": c, "left": x + i * step, "right": x + i * step + 4, "top": y + h, "bottom": y, "baseline": y} for i, c in enumerate(text)]
+
+    page = line("ab", 0, 0) + line("cd", 40, 0) + line("next", 0, -12) + line("par", 0, -40) + [{"ch": "\n", "left": 0, "right": 0, "top": 0, "bottom": 0, "baseline": 0}, {"ch": "\r", "left": 0, "right": 0, "top": 0, "bottom": 0, "baseline": 0}] + line("x", 0, -90)
+    assert glyphs.render(page) == "ab cd\nnext\n\npar\nx" and glyphs.render([]) == glyphs.render(None) == ""
+    assert glyphs.upper_median([3.0, 1.0, float("nan"), 2.0, 4.0]) == 3.0
+
+
+def test_sentence_records(spark):
+    df = spark.createDataFrame([("a", "First one. Second one."), ("b", None)], "d string, t string")
+    got = payload.sentence_records(df, "main", "d", "t").orderBy("ord").collect()
+    assert [(r.id, r.content, r.embedding) for r in got] == [("main-a-chunk-1", "First one.", None), ("main-a-chunk-2", "Second one.", None)]
+
+
+def test_sources_by_page(spark):
+    asked = []
+
+    def fetch(page):
+        asked.append(page)
+        return '<input id="resultCounts" value="10,23">'
+
+    assert [p.value for p in portal._PortalReader(fetch, None).partitions()] == [1, 2, 3] and asked == [1]
+    assert [p.value for p in portal._PortalReader(fetch, 2).partitions()] == [1, 2] and portal.pages_of("") == 1
+
+    class Fetch:
+        @staticmethod
+        def page(page, until):
+            rows = [(f"{page}-{i}", f"20{18 + i}-06-01", until) for i in range(3)]
+            return [r for r in rows if r[1] <= until]
+
+    spark.dataSource.register(portal.JudgmentSource.use(Fetch.page))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("judgments").option("pages", 2).load()
+        assert df.count() == 6 and df.where("judgment_date <= '2019-12-31'").count() == 4
+        assert {r.body for r in df.where("judgment_date <= '2019-12-31'").collect()} == {"2019-12-31"}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_progress(spark, tmp_path):
     spark.range(6).withColumn("existed", F.col("id") < 2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, existed boolean").parquet(str(tmp_path / "in"))
