@@ -8,8 +8,8 @@
    order.  Equal sets fold into one class with their smallest doc_id.
 3. Blocks.  Shingles in the prefixes of at least two classes form inverted lists, sorted by set size.
    In a short list two classes are joined unless their sizes, or the numbers of prefix shingles they
-   share with anyone, rule a link out; in a long one neighbours by size are chained unless the sizes
-   rule it out.  So every linked pair lies in one connected block, and no pairs are written out.
+   share with anyone, rule a link out; in a long one, dealt over tasks by size, neighbours by size are
+   chained unless the sizes rule it out.  So every linked pair lies in one connected block, and no pairs are written out.
 4. Search.  A block is cut into chunks of ``CHUNK`` classes (up to ``MOST_CHUNK`` in large blocks, so that a
    set is copied less often); each pair of chunks is one group, so a block of any size is dealt over many
    tasks.  In a group every class looks up its whole set (DivideSkip): the short inverted lists are merged
@@ -31,6 +31,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ LISTED = 1 << 20
 LEAST_COUNT = 3
 #: Bits of the hash ranges in which shingles are counted, at most; a shingle is known by these and 32 more.
 MOST_BITS = 18
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 CHUNK, MOST_CHUNK = 96, 1024
 #: Counts from which on the cut of the frequency table goes by bins, sixteen to an octave.
 BINNED = 1000
@@ -221,15 +222,6 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("s
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for s, doc, n in _whole_lists(batches):
-        same = s[1:] == s[:-1]
-        keep = np.zeros(len(s), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, doc, n)], names=["s", "set_id", "n"])
-
-
 class Forest:
     """Union-find over 64-bit ids; the root of a tree is its smallest id."""
 
@@ -265,23 +257,15 @@ def shared_needed(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarra
     return np.maximum(1, _ceil(n + m, num, num + den) - _ceil(np.maximum(n, m), num, den) + 1)
 
 
-def _chain(num: int, den: int):
+def _pairs(num: int, den: int):
+    """Links that short lists allow: every pair of a list that sizes and shared shingles do not rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for s, doc, n, c in _whole_lists(batches, ("s", "set_id", "n", "shared")):
-            begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            length = np.repeat(np.diff(np.append(begin, len(s))), np.diff(np.append(begin, len(s))))
-            for d in range(1, SHORT_LIST):
-                if d >= len(s):
-                    break
+            for d in range(1, min(SHORT_LIST, len(s))):
                 x, y = slice(None, -d), slice(d, None)
-                link = (s[x] == s[y]) & (n[x] * den >= n[y] * num)
-                if d == 1:
-                    far = np.flatnonzero(link & (length[x] > SHORT_LIST))
-                    for a, b in zip(doc[far].tolist(), doc[far + 1].tolist(), strict=True):
-                        forest.join(a, b)
-                link &= length[x] <= SHORT_LIST
-                at = np.flatnonzero(link)
+                at = np.flatnonzero((s[x] == s[y]) & (n[x] * den >= n[y] * num))
                 at = at[np.minimum(c[at], c[at + d]) >= shared_needed(n[at], n[at + d], num, den)]
                 for a, b in zip(doc[at].tolist(), doc[at + d].tolist(), strict=True):
                     forest.join(a, b)
@@ -291,6 +275,52 @@ def _chain(num: int, den: int):
     return run
 
 
+_CHAINED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64()), ("last", pa.bool_()), ("s", pa.int64()), ("n", pa.int64())])
+
+
+def _chain(num: int, den: int):
+    """Neighbours by size in lists sorted by size, and the first and last row of the partition: a long list
+    may go on in the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, ends, before = Forest(), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, doc, n = (batch.column(c).to_numpy() for c in ("s", "set_id", "n"))
+            if before is None:
+                ends.append((int(doc[0]), None, False, int(s[0]), int(n[0])))
+            else:
+                s, doc, n = (np.append(x, y) for x, y in zip(before, (s, doc, n), strict=True))
+            at = np.flatnonzero((s[:-1] == s[1:]) & (n[:-1] * den >= n[1:] * num))
+            for a, b in zip(doc[at].tolist(), doc[at + 1].tolist(), strict=True):
+                forest.join(a, b)
+            before = s[-1:], doc[-1:], n[-1:]
+        if before is None:
+            return
+        ends.append((int(before[1][0]), None, True, int(before[0][0]), int(before[2][0])))
+        a, b = forest.edges()
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, pa.nulls(len(a), pa.bool_()), none, none], schema=_CHAINED)
+        doc, void, last, s, n = zip(*ends, strict=True)
+        part = pa.array([TaskContext.get().partitionId()] * len(ends), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(void, pa.int64()), part, pa.array(last), pa.array(s, pa.int64()), pa.array(n, pa.int64())], schema=_CHAINED)
+
+    return run
+
+
+def _chained(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of chained neighbours: a list of any length is dealt over partitions by (shingle, size, class), and
+    where it goes on from one to the next their end rows, two a partition, are joined on the driver."""
+    spark = lists.sparkSession
+    order = ["s", "n", "set_id"]
+    dealt = lists.repartitionByRange(*order).sortWithinPartitions(*order).select(*order)
+    found = common.stage(dealt.mapInArrow(_chain(num, den), "a long, b long, part long, last boolean, s long, n long"), "jaccard-chains")
+    ends = found.where("part is not null").select("part", "last", "a", "s", "n").orderBy("part", "last").collect()
+    over = [(x.a, y.a) for x, y in zip(ends[1::2], ends[2::2], strict=False) if x.s == y.s and x.n * den >= y.n * num]
+    return found.where("part is null").select("a", "b").unionByName(spark.createDataFrame(over, "a long, b long"))
+
+
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,11 +401,14 @@ def _search(num: int, den: int):
 
 def _link_components(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(set_id, root) and (set_id, links) of the classes that have a link."""
-    entries = reps.select("set_id", "n", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "n", "set_id")
-    shared = common.stage(entries.select("s", "set_id", "n").mapInArrow(_shared_only, "s long, set_id long, n long"), "jaccard-lists")
+    entries = reps.select("set_id", "n", F.explode("prefix").alias("s"))
+    # Lists are counted with partial sums and joined back, which adaptive execution splits where one is hot.
+    lengths = entries.groupBy("s").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    shared = common.stage(entries.join(lengths, "s").select("s", "set_id", "n", "length"), "jaccard-lists")
     counts = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
-    left = shared.join(counts, "set_id").select("s", "set_id", "n", "shared")
-    edges = left.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_chain(num, den), "a long, b long")
+    short = shared.where(F.col("length") <= SHORT_LIST).join(counts, "set_id").select("s", "set_id", "n", "shared")
+    edges = short.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_pairs(num, den), "a long, b long")
+    edges = edges.unionByName(_chained(shared.where(F.col("length") > SHORT_LIST), num, den))
     blocks = components(edges)
     sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("many")).select(F.col("root").alias("block"), F.ceil(F.col("many") / F.least(F.lit(max(CHUNK, MOST_CHUNK)), F.greatest(F.lit(CHUNK), F.col("many") / 64))).alias("chunks"))
     member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps.select("set_id", "rep"), "set_id")
