@@ -58,7 +58,7 @@ def stop_quantile(p: float, dims: int, full: int) -> float:
     if dims >= full:
         return 1.0
     angle = np.linspace(0, math.pi / 2, 200_001)
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         log = (dims - 1) * np.log(np.sin(angle)) + (full - dims - 1) * np.log(np.cos(angle)) if full - dims > 1 else (dims - 1) * np.log(np.sin(angle))
     mass = np.cumsum(np.exp(np.nan_to_num(log, nan=0.0, neginf=-1e9) - np.max(log[np.isfinite(log)])))
     return float(np.sin(angle[np.searchsorted(mass, p * mass[-1])]) ** 2)

@@ -610,6 +610,16 @@ def test_jaccard_components(spark, corpus, k, num, chunk, monkeypatch):
     assert got == brute_components(corpus, k, num, 100)
 
 
+def test_long_lists_are_chained_over_partitions(spark, corpus, monkeypatch):
+    """With lists of more than two classes counted as long, all go through the ranged chain."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
+    rng = random.Random(20)
+    base = [f"b{i}" for i in range(60)]
+    texts = [*corpus, *(" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in base) for _ in range(150))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts), k=4, num=85).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+
+
 def test_t_occurrence_against_brute_force():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 62, 80).astype(np.uint64)
