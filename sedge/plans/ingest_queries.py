@@ -39,7 +39,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jb.run_summary(jobs(spark, sf_dir)).withColumn("failed_docs", F.array_join("failed_docs", "|"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 > 2 THEN regexp_replace(text, '\s+$', '') WHEN doc_id % 7 > 0 THEN source END AS text,
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 > 2 THEN regexp_replace(text, '\\s+$', '') WHEN doc_id % 7 > 0 THEN source END AS text,
  CASE WHEN doc_id % 5 > 2 THEN 1 WHEN doc_id % 7 > 0 THEN 2 END AS answer, CASE WHEN doc_id % 5 <= 2 AND doc_id % 7 = 0 THEN 'no usable answer' END AS error
  FROM documents WHERE regexp_matches(text, '[a-z]') AND trim(source) <> ''""")
 def pick_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
