@@ -3,43 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.storage import stage
+
 #: ``[^\x20\x09-\x0D]+`` for Java's and RE2's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What exact equality ignores.
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset and all runs on this machine, a new one."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local["):
-        if spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="sedge-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation of what lies before.  The files go when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranges(staged: DataFrame, each: int) -> tuple[int, ...]:
     """Partitions for a staged table, of ``each`` bytes of its files, where that makes more than the session's
     number; else nothing, so that adaptive execution can join small ones."""
