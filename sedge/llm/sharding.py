@@ -100,7 +100,7 @@ def _vectors(flat: DataFrame, shards: int) -> DataFrame:
 def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per row of ``df``: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = common.text_or_empty(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("crc"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("crc"), F.unhex(F.sha2(text, 256)).alias("digest"), F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()).alias("own"))
     rows = common.stage(rows, "shard-rows")
     groups = common.stage(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("many")), "shard-groups")
     whole = groups.agg(F.sum("bytes"), F.sum("many"), F.count(F.lit(1))).first()
@@ -112,11 +112,8 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     hot = max(HOT_ROWS, int(count_all) // 1_000_000)
     pieces = F.when(F.col("bytes") > share, F.ceil(2 * F.col("bytes") / share)).otherwise(1)
     large = groups.where((F.col("bytes") > share) | (F.col("many") >= hot)).select("digest", pieces.cast("long").alias("pieces"), F.ceil(F.col("many") / hot).cast("long").alias("salts"))
-    large = common.stage(large, "shard-large")
-    own = F.coalesce("doc_id", F.monotonically_increasing_id())
-    dealt = lambda n, *by: F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(own, *by), n)).cast("long")
-    rows = rows.join(F.broadcast(large), "digest", "left").select("doc_id", "size", "crc", "digest", dealt("pieces").alias("piece"), dealt("salts", F.lit("salt")).alias("salt"))
-    rows = common.stage(rows, "shard-pieces")  # null ids are dealt by row number, which must not change
+    dealt = lambda n, *by: F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("own", *by), n)).cast("long")
+    rows = rows.join(F.broadcast(large), "digest", "left").select("doc_id", "size", "crc", "digest", "own", dealt("pieces").alias("piece"), dealt("salts", F.lit("salt")).alias("salt"))
     units = rows.groupBy("digest", "piece").agg(F.sum("size").alias("bytes"))
     buckets = max(1, -(-int(whole[2]) // GROUP))
     units = units.withColumn("bucket", F.pmod(F.xxhash64("digest", "piece"), F.lit(buckets)))
@@ -127,7 +124,7 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     ranges = min(MOST_RANGES, max(1, -(-int(count_all) // (shards * RANGE_ROWS))))
     final = final.join(F.broadcast(large.select("digest", "salts")), "digest", "left")
     final = final.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
-    placed = rows.join(final, ["digest", "piece", "salt"]).select("doc_id", "size", "crc", "shard", F.pmod(F.xxhash64(own, "crc"), F.lit(ranges)).alias("part"))
+    placed = rows.join(final, ["digest", "piece", "salt"]).select("doc_id", "size", "crc", "shard", F.pmod(F.xxhash64("own", "crc"), F.lit(ranges)).alias("part"))
     placed = common.stage(placed, "shard-placed")
     # At most shards * MOST_RANGES rows.
     begin = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
