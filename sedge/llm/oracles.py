@@ -48,4 +48,20 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 """,
     "op11_merkle_manifest": _merkle_sql(),
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: ws[i : i + size - 1])) AS gram FROM w, (SELECT unnest([1, 2, 3, 4]) AS size)),
+f AS MATERIALIZED (SELECT lang, size, gram, count(*) AS f FROM g GROUP BY ALL HAVING f >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE size > 1),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.gram, k.size, k.k, k.f AS a, x.f AS l, y.f AS r, (2000000::HUGEINT * k.f // (x.f + y.f))::BIGINT AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.gram = k.gram[1 : k.k] JOIN f y ON y.lang = k.lang AND y.gram = k.gram[k.k + 1 :]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+v AS (SELECT lang, gram[i : i + wide - 1] AS gram, max(f) AS longer FROM (SELECT *, unnest(range(1, size - wide + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS wide FROM c)) GROUP BY 1, 2),
+o AS (SELECT b.*, array_to_string(b.gram, ' ') AS phrase FROM b LEFT JOIN v ON v.lang = b.lang AND v.gram = b.gram WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT t.lang, rank, phrase, a, l, r, n.n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+""",
 }

@@ -120,8 +120,9 @@ def test_a_hot_group_spreads(spark, monkeypatch):
     staged = []
     stage = merkle.common.stage
     monkeypatch.setattr(merkle.common, "stage", lambda df, name: (staged.append(stage(df, name)), staged[-1])[1])
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 500)  # a number of ranges, which adaptive execution leaves alone
     made = spark.range(3000).selectExpr("'=en' part", "if(id % 3 = 0, id, null) doc_id", "unhex('00') node")
     numbered = merkle._numbered(merkle.common.keyed(made, "row"), "doc_id", "node", "row")
     assert sorted(r.pos for r in numbered.select("pos").collect()) == list(range(3000))
     ranges = staged[-1].groupBy(F.shiftright("seq", 33)).count().collect()
-    assert len(ranges) == 4 and max(r["count"] for r in ranges) < 1500
+    assert len(ranges) > 4 and max(r["count"] for r in ranges) < 1500
