@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm import ann, common, exact_dedup, jaccard, lm, merkle, mixing, packing, phrases, pii, quality, sharding, tokencount
+from sedge.llm import ann, common, exact_dedup, jaccard, lm, merkle, mixing, mtree, packing, phrases, pii, quality, sharding, tokencount
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +56,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(common.documents(spark, sf_dir))
 
 
+def op12_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("computed")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(common.documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_packing, op4_lm_scores, op5_sharding, op6_quality, op7_nearest_neighbours, op8_token_counts, op9_jaccard_join, op10_pii_surrogates, op11_merkle_manifest, op13_phrases)
+    f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_packing, op4_lm_scores, op5_sharding, op6_quality, op7_nearest_neighbours, op8_token_counts, op9_jaccard_join, op10_pii_surrogates, op11_merkle_manifest, op12_mtree_topk, op13_phrases)
 }
