@@ -7,16 +7,16 @@
    that it owns: up to ``longest - 1`` words to the left, all of smaller order, and to the right, of no larger order.  Words
    below ``least`` end a fragment.  Equal fragments of a batch are one row with a count.
 3. Mining.  Fragments go to their pivot's partition, where the n-grams around the pivot are counted; other partitions never
-   see these n-grams.  A pivot of more than ``SPLIT`` occurrences is dealt over several partitions by its fragments, and only
-   its n-grams are added up once more.
+   see these n-grams, and only those of ``least`` occurrences leave it.  A pivot of more than ``SPLIT`` occurrences is dealt over
+   several partitions by its fragments; its n-grams leave with the counts that they have and are added up.
 4. Scores come from joins of the counted phrases with each other: a cut's two parts are themselves counted phrases or words.
 
 Fragments of frequent pivots consist of even more frequent words, so there are few distinct ones, which the counts of the batches
 fold together; fragments of rare pivots are as many as these occur.  The order only decides who counts an n-gram: words of equal
 order, whether by a clash of hashes or for want of a place in the table, still give every occurrence exactly one owner.
 
-Bounded: the table of words on the executors (``LISTED`` entries of 20 bytes), a slice of text in a task, ``top`` rows of each
-salted part of a language in the final ranking.
+Bounded: the table of words on the executors (``LISTED`` entries of 20 bytes), a slice of text or ``MINED`` fragments in a task (more
+are counted in pieces), ``top`` rows of each salted part of a language in the final ranking.
 
 Defined results: null and empty texts have no words; a null language counts as ``und``; repeated rows count each time, whatever
 their ids; ties of scores rank by count and then by the phrase's bytes; an empty table has no phrases; texts of any
@@ -43,7 +43,9 @@ TOP = 2000
 COVER = 80
 #: Words of the table on the executors; occurrences of a pivot from which its fragments are dealt over several partitions.
 LISTED = 1 << 20
-SPLIT = 1 << 20
+SPLIT = 1 << 18
+#: Fragments that are mined at once, or those of one route if these are more.
+MINED = 1 << 18
 #: Bytes of text that are worked on at once.
 SLICE = 4 << 20
 #: Parts of a language whose first rows are ranked before the language's are.
@@ -186,13 +188,15 @@ def _reach(place: np.ndarray, piece: np.ndarray, longest: int) -> tuple[np.ndarr
 
 
 def _fragments(s: Slice, names: list[str], lang: np.ndarray, order: Order, longest: int) -> pa.RecordBatch:
-    """Distinct fragments of a slice: lang, pivot, splits, skip (words before the pivot), words (with blanks between), f."""
+    """Distinct fragments of a slice: route (a hash of language and pivot, and of more where the pivot is split), lang, skip
+    (words before the pivot), words (with blanks between), f, split."""
     wide = len(s.words)
     own = lang[s.row]
     found = pa.array(own * wide + s.code).dictionary_encode()
     pair, back = found.dictionary.to_numpy(), found.indices.to_numpy()
     langs, words = pa.array(names).take(pa.array(pair // wide)), s.words.take(pa.array(pair % wide))
-    place, splits = order.find(_lang_word(langs, words))
+    code = _lang_word(langs, words)
+    place, splits = order.find(code)
     left, right = _reach(place[back], s.piece, longest)
     at = np.flatnonzero((left > 0) | (right > 0))
     keys = []
@@ -200,16 +204,21 @@ def _fragments(s: Slice, names: list[str], lang: np.ndarray, order: Order, longe
         inside = (-left[at] <= d) & (right[at] >= d)
         spot = np.clip(at + d, 0, len(s.code) - 1)
         keys.append(pa.array(np.where(inside, s.code[spot], -1).astype(np.int32)))
-    names_ = [f"k{i}" for i in range(len(keys))]
-    grouped = pa.table([pa.array(back[at].astype(np.int32)), *keys], names=["pair", *names_]).group_by(["pair", *names_], use_threads=False).aggregate([([], "count_all")])
-    parts = []
-    for k in names_:
-        code = grouped.column(k).combine_chunks()
-        parts.append(s.words.take(pc.if_else(pc.greater_equal(code, 0), code, None)))
+    columns = [f"k{i}" for i in range(len(keys))]
+    grouped = pa.table([pa.array(back[at].astype(np.int32)), *keys], names=["pair", *columns]).group_by(["pair", *columns], use_threads=False).aggregate([([], "count_all")])
+    held = [grouped.column(k).combine_chunks() for k in columns]
+    parts = [s.words.take(pc.if_else(pc.greater_equal(c, 0), c, None)) for c in held]
     joined = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-    pivot = grouped.column("pair").combine_chunks()
-    skip = sum(pc.is_valid(p).cast(pa.int32()).to_numpy() for p in parts[: longest - 1])
-    return pa.RecordBatch.from_arrays([langs.take(pivot), words.take(pivot), pa.array(splits[pivot.to_numpy()]), pa.array(skip), joined, grouped.column("count_all").combine_chunks()], names=["lang", "pivot", "splits", "skip", "words", "f"])
+    pivot = grouped.column("pair").to_numpy()
+    skip = sum((c.to_numpy() >= 0).astype(np.int32) for c in held[: longest - 1])
+    route, many = code[pivot], splits[pivot]
+    split = np.flatnonzero(many > 1)
+    if len(split):
+        route[split] = textkit.mix(route[split] + _hashes(joined.take(pa.array(split))) % many[split].astype(np.uint64) + np.uint64(1))
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), langs.take(pa.array(pivot)), pa.array(skip), joined, grouped.column("count_all").combine_chunks(), pa.array(many > 1)], names=["route", "lang", "skip", "words", "f", "split"])
+
+
+_FRAGMENTS = "route long, lang string, skip int, words string, f long, split boolean"
 
 
 def _rewrite(order_of, longest: int):
@@ -224,15 +233,66 @@ def _rewrite(order_of, longest: int):
     return run
 
 
-def _grams(longest: int) -> Column:
-    """The n-grams of a fragment that hold its pivot."""
-    words, skip = F.split("words", " "), F.col("skip")
-    made = []
-    for i in range(longest):
-        for j in range(max(0, 1 - i), longest - i):
-            fits = (skip >= i) & (F.size(words) - skip > j)
-            made.append(F.when(fits, F.array_join(F.slice(words, skip - i + 1, i + j + 1), " ")))
-    return F.array_compact(F.array(*made))
+def _mine(t: pa.Table, longest: int, least: int) -> pa.Table:
+    """lang, phrase, f of the n-grams around the pivots of fragments, those of ``least`` occurrences at least."""
+    parts = pc.split_pattern(t.column("words").combine_chunks(), " ")
+    offset = parts.offsets.to_numpy()
+    words = parts.flatten().dictionary_encode()
+    code = words.indices.to_numpy()
+    langs = t.column("lang").combine_chunks().dictionary_encode()
+    lang, skip, f = langs.indices.to_numpy(), t.column("skip").to_numpy(), t.column("f").to_numpy()
+    begin, size = offset[:-1], np.diff(offset)
+    out = []
+    for length in range(2, longest + 1):
+        rows, starts = [], []
+        for i in range(length):  # words before the pivot
+            fits = np.flatnonzero((skip >= i) & (size - skip >= length - i))
+            rows.append(fits)
+            starts.append(begin[fits] + skip[fits] - i)
+        row, start = np.concatenate(rows), np.concatenate(starts)
+        if not len(row):
+            continue
+        columns = [f"w{i}" for i in range(length)]
+        grams = pa.table([pa.array(lang[row]), *(pa.array(code[start + i]) for i in range(length)), pa.array(f[row])], names=["lang", *columns, "f"])
+        counted = grams.group_by(["lang", *columns], use_threads=False).aggregate([("f", "sum")])
+        counted = counted.filter(pc.greater_equal(counted.column("f_sum"), least))
+        phrase = pc.binary_join_element_wise(*(words.dictionary.take(counted.column(c).combine_chunks()) for c in columns), " ")
+        out.append(pa.table([langs.dictionary.take(counted.column("lang").combine_chunks()), phrase, counted.column("f_sum")], names=["lang", "phrase", "f"]))
+    return pa.concat_tables(out) if out else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "f": pa.array([], pa.int64())})
+
+
+def _mine_routes(longest: int, least: int, most: int = MINED):
+    """Fragments sorted by route: whole routes are mined together, ``most`` fragments or somewhat more at once; what is
+    mined in pieces, or of a split pivot, keeps all its counts, to be added up."""
+
+    def mined(t: pa.Table, begun: int | None) -> Iterator[pa.RecordBatch]:
+        part = t.column("split")
+        if begun is not None:  # of this route some fragments have been counted before
+            part = pc.or_(part, pc.equal(t.column("route"), begun))
+        for rows, floor in ((t.filter(pc.invert(part)), least), (t.filter(part), 1)):
+            if rows.num_rows:
+                yield from _mine(rows, longest, floor).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many, begun = [], 0, None
+        for b in batches:
+            held.append(b)
+            many += b.num_rows
+            if many < most:
+                continue
+            t = pa.Table.from_batches(held)
+            route = t.column("route").to_numpy()
+            last = int(np.searchsorted(route, route[-1]))  # the last route may go on
+            if last:
+                yield from mined(t.slice(0, last), begun)
+                begun, held, many = None, t.slice(last).to_batches(), t.num_rows - last
+            else:
+                begun, held, many = int(route[0]), [], 0
+                yield from mined(t, begun)
+        if many:
+            yield from mined(pa.Table.from_batches(held), begun)
+
+    return run
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -245,13 +305,9 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, longest
     frequent = words.where(F.col("f") >= least)
     first = frequent.orderBy(F.desc("f"), "lang", "word").limit(listed).toArrow()  # LISTED rows
     order = docs.sparkSession.sparkContext.broadcast(Order.of(first, first.num_rows < listed))
-    fragments = docs.mapInArrow(_rewrite(order, longest), "lang string, pivot string, splits int, skip int, words string, f long")
-    salt = F.when(F.col("splits") > 1, F.pmod(F.xxhash64("words"), F.col("splits"))).otherwise(0)
-    routed = fragments.withColumn("salt", salt).repartition("lang", "pivot", "salt")
-    mined = routed.select("lang", "pivot", "salt", "splits", F.explode(_grams(longest)).alias("phrase"), "f").groupBy("lang", "pivot", "salt", "splits", "phrase").agg(F.sum("f").alias("f"))
-    # Whole counts unless the pivot was split.
-    kept = mined.where((F.col("splits") > 1) | (F.col("f") >= least))
-    return kept.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    fragments = docs.mapInArrow(_rewrite(order, longest), _FRAGMENTS)
+    mined = fragments.repartition("route").sortWithinPartitions("route").mapInArrow(_mine_routes(longest, least), "lang string, phrase string, f long")
+    return mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _score(a: str, left: str, right: str) -> Column:

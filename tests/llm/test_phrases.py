@@ -82,6 +82,30 @@ def test_split_pivots(spark):
     assert got == {k: n for k, n in plain.items() if n >= 30}
 
 
+@pytest.mark.parametrize("most", [1, 3, 10, 1000])
+def test_routes_are_mined_whole_or_in_pieces(most):
+    """Whatever is held at once, the sums over all that leaves are the counts of what occurs often enough."""
+    rng = random.Random(6)
+    rows = sorted((rng.choice([1, 2, 2, 2, 2, 3, 9]), "en", rng.randint(0, 2), " ".join(rng.choices("abc", k=rng.randint(3, 4))), rng.randint(1, 3), False) for _ in range(60))
+    rows = [(r, g, s, w, f, r == 3) for r, g, s, w, f, _ in rows]
+    t = pa.table(dict(zip(("route", "lang", "skip", "words", "f", "split"), map(list, zip(*rows, strict=True)), strict=True)))
+    got = Counter()
+    for b in phrases._mine_routes(4, 5, most)(iter(t.to_batches(max_chunksize=4))):
+        for r in b.to_pylist():
+            got[r["phrase"]] += r["f"]
+    want, by_route = Counter(), Counter()
+    for route, _, skip, words, f, _ in rows:
+        ws = words.split()
+        for a in range(skip + 1):
+            for z in range(skip, len(ws)):
+                if 2 <= z - a + 1 <= 4:
+                    by_route[route, " ".join(ws[a : z + 1])] += f
+    for (_, phrase), f in by_route.items():
+        want[phrase] += f
+    sure = {p: f for p, f in want.items() if all(n >= 5 for (_, q), n in by_route.items() if q == p)}
+    assert all(got[p] == f for p, f in sure.items()) and all(got[p] <= want[p] for p in got)
+
+
 def test_every_occurrence_has_one_owner():
     rng = np.random.default_rng(3)
     for _ in range(20):
