@@ -1,7 +1,7 @@
 """Exact duplicate removal by a distributed content sort.
 
-1. Splitters.  A hashed sample of rows (``SAMPLED`` at most) gives keys (head of the normalised text, 64-bit hash of
-   all of it, doc_id) with their texts' bytes; splitters cut the keys into ranges of equal bytes, about
+1. Splitters.  A hashed sample of rows (half of ``SAMPLED`` expected) gives keys (head of the normalised text, 64-bit hash of
+   all of it, hash of the row's number) with their texts' bytes; splitters cut the keys into ranges of equal bytes, about
    ``RANGE_BYTES`` each.  Only sampled texts are normalised for that.
 2. Sort.  Every row finds its range by binary search among the splitters (JVM expressions); each range is
    one partition, sorted externally on (head, hash, normalised text, doc_id), which places equal texts
@@ -9,7 +9,7 @@
 3. Runs.  A streaming pass compares every row with its neighbour - full bytes, not only hashes - and
    closes runs of equals; it holds one batch and the ids of the open run.
 
-``doc_id`` is part of the range key, so a group of any size is dealt over many partitions; only the first
+The row's number is part of the range key, so a group of any size, whatever its ids, is dealt over many partitions; only the first
 and last run of a partition can go on elsewhere, and those (two per partition at most) are united by
 their full text afterwards.
 
@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 from sedge.llm import common
 from sedge.llm.textkit import buffers
 
-#: Characters of the normalised text by which it is ranged, rows drawn for the splitters at most, bytes of a range.
+#: Characters of the normalised text by which it is ranged, rows drawn for the splitters (half of it expected), bytes of a range.
 HEAD = 16
 SAMPLED = 1 << 18
 RANGE_BYTES = 64 << 20
 
-_NO_ID = np.iinfo(np.int64).max
 _ROWS = pa.schema([("doc_id", pa.int64()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("group_size", pa.int64()), ("best", pa.bool_()), ("text_sha256", pa.string()), ("edge", pa.int64()), ("edge_text", pa.string())])
 _DDL = "doc_id long, keep_id long, keep_chars long, group_size long, best boolean, text_sha256 string, edge long, edge_text string"
 
@@ -67,33 +66,32 @@ class _Runs:
 
     def close(self, last: bool) -> list:
         """Columns of the open run: ids, what stays, its length, size, best, digest, edge, edge text."""
-        doc, n = (np.concatenate(x) for x in zip(*self.open, strict=True))
-        best = int(np.lexsort((doc, -n))[0])
+        doc, void, n = (np.concatenate(x) for x in zip(*self.open, strict=True))
+        best = int(np.lexsort((doc, void, -n))[0])
         is_best = np.zeros(len(doc), bool)
         is_best[best] = True
         edge = 2 * self.pid if self.first else 2 * self.pid + 1 if last else -1
         self.first = False
-        void = lambda x: None if x == _NO_ID else int(x)
         many = len(doc)
         text = [self.text.decode() if i == best and edge >= 0 else None for i in range(many)] if edge >= 0 else pa.nulls(many, pa.string())
         return [
-            pa.array(doc, pa.int64(), mask=doc == _NO_ID), pa.repeat(pa.scalar(void(doc[best]), pa.int64()), many), pa.repeat(pa.scalar(int(n[best])), many), pa.repeat(pa.scalar(many), many),
+            pa.array(doc, pa.int64(), mask=void), pa.repeat(pa.scalar(None if void[best] else int(doc[best]), pa.int64()), many), pa.repeat(pa.scalar(int(n[best])), many), pa.repeat(pa.scalar(many), many),
             pa.array(is_best), pa.repeat(pa.scalar(hashlib.sha256(self.text).hexdigest()), many), pa.repeat(pa.scalar(edge if edge >= 0 else None, pa.int64()), many), pa.array(text, pa.string()),
         ]
 
 
-def _inner_runs(doc: np.ndarray, n: np.ndarray, start: np.ndarray, off: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+def _inner_runs(doc: np.ndarray, void: np.ndarray, n: np.ndarray, start: np.ndarray, off: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
     """Runs that begin and end inside a batch, ``start`` holding their bounds."""
     lo, hi = start[0], start[-1]
     run = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    own, chars = doc[lo:hi], n[lo:hi]
-    order = np.lexsort((own, -chars, run))
+    own, blank, chars = doc[lo:hi], void[lo:hi], n[lo:hi]
+    order = np.lexsort((own, blank, -chars, run))
     best = order[start[:-1] - lo]
     is_best = np.zeros(len(own), bool)
     is_best[best] = True
     sha = pa.array([hashlib.sha256(raw[off[i] : off[i + 1]]).hexdigest() for i in start[:-1]])
-    void = lambda x: pa.array(x, pa.int64(), mask=x == _NO_ID)
-    return pa.RecordBatch.from_arrays([void(own), void(own[best][run]), pa.array(chars[best][run]), pa.array(np.diff(start)[run]), pa.array(is_best), sha.take(pa.array(run)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.string())], schema=_ROWS)
+    ids = lambda at: pa.array(own[at], pa.int64(), mask=blank[at])
+    return pa.RecordBatch.from_arrays([ids(slice(None)), ids(best[run]), pa.array(chars[best][run]), pa.array(np.diff(start)[run]), pa.array(is_best), sha.take(pa.array(run)), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.string())], schema=_ROWS)
 
 
 def _close_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,24 +102,25 @@ def _close_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norm, code = b.column("norm"), b.column("code").to_numpy(zero_copy_only=False)
         off, raw = buffers(norm)
         new = np.flatnonzero(_new_runs(norm, code, last))
-        doc = b.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        void = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        doc = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
         n = b.column("chars").to_numpy(zero_copy_only=False)
         if not len(new):
-            runs.open.append((doc, n))
+            runs.open.append((doc, void, n))
             continue
         if last is not None:
-            runs.open.append((doc[: new[0]], n[: new[0]]))
+            runs.open.append((doc[: new[0]], void[: new[0]], n[: new[0]]))
             yield pa.RecordBatch.from_arrays(runs.close(False), schema=_ROWS)
         elif len(new) > 1:  # the partition's first run ends here
             runs.begin(raw[off[0] : off[1]].tobytes())
-            runs.open.append((doc[: new[1]], n[: new[1]]))
+            runs.open.append((doc[: new[1]], void[: new[1]], n[: new[1]]))
             yield pa.RecordBatch.from_arrays(runs.close(False), schema=_ROWS)
             new = new[1:]
         if len(new) > 1:
-            yield _inner_runs(doc, n, new, off, raw)
+            yield _inner_runs(doc, void, n, new, off, raw)
         at = new[-1]
         runs.begin(raw[off[at] : off[at + 1]].tobytes())
-        runs.open.append((doc[at:], n[at:]))
+        runs.open.append((doc[at:], void[at:], n[at:]))
         last = (code[-1], runs.text)
     if last is not None:
         t = pa.Table.from_batches([pa.RecordBatch.from_arrays(runs.close(True), schema=_ROWS)])
@@ -138,28 +137,29 @@ def _splitters(df: DataFrame, id_col: str, text_col: str) -> list[tuple[str, int
     if not many:
         return []
     every = -(-2 * many // SAMPLED)
-    # Rows are drawn by a hash of what is at hand before anything is normalised.
-    drawn = df.where(F.pmod(F.xxhash64(F.col(id_col), F.substring(common.text_or_empty(text_col), 1, 64)), F.lit(every)) == 0)
-    norm = _normalised(text_col)
-    got = drawn.select(F.hex(F.substring(norm, 1, HEAD).cast("binary")).alias("head"), F.xxhash64(norm).alias("code"), _id(id_col).alias("doc"), (F.octet_length(norm) + 64).alias("bytes")).orderBy("head", "code", "doc").limit(SAMPLED).toArrow()
+    # Rows are drawn by the hash of their number before anything is normalised; half of SAMPLED are expected.
+    drawn = df.select(F.col(text_col).alias("text"), _spread().alias("spread")).where(F.pmod("spread", F.lit(every)) == 0)
+    norm = _normalised("text")
+    got = drawn.select(F.hex(F.substring(norm, 1, HEAD).cast("binary")).alias("head"), F.xxhash64(norm).alias("code"), F.xxhash64("spread").alias("row"), (F.octet_length(norm) + 64).alias("bytes")).orderBy("head", "code", "row").toArrow()
     size = np.cumsum(got.column("bytes").to_numpy().astype(np.int64)) if got.num_rows else np.zeros(1, np.int64)
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size[-1] * every // RANGE_BYTES) + 1)
     at = np.unique(np.searchsorted(size, size[-1] * np.arange(1, ranges) / ranges))
     rows = got.take(pa.array(at[at < got.num_rows])).to_pylist()
-    return sorted({(r["head"], r["code"], r["doc"]) for r in rows})
+    return sorted({(r["head"], r["code"], r["row"]) for r in rows})
 
 
-def _id(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+def _spread() -> Column:
+    """A hash of the row's number in its scan."""
+    return F.xxhash64(F.monotonically_increasing_id())
 
 
 def _range_of(splitters: list[tuple[str, int, int]]) -> Column:
     """Number of splitters that are not above the row's key, by binary search."""
     if not splitters:
         return F.lit(0)
-    heads, codes, ids = zip(*splitters, strict=True)
-    table = [F.split(F.lit(",".join(heads)), ","), *(F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (codes, ids))]
-    key = F.struct(F.hex(F.col("head").cast("binary")).alias("a"), F.col("code").alias("b"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("c"))
+    heads, codes, rows = zip(*splitters, strict=True)
+    table = [F.split(F.lit(",".join(heads)), ","), *(F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (codes, rows))]
+    key = F.struct(F.hex(F.col("head").cast("binary")).alias("a"), F.col("code").alias("b"), F.col("row").alias("c"))
     bits = len(splitters).bit_length()
 
     def step(found: Column, bit: Column) -> Column:
@@ -173,7 +173,7 @@ def _range_of(splitters: list[tuple[str, int, int]]) -> Column:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
     splitters = _splitters(df, id_col, text_col)
-    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(common.text_or_empty(text_col)).cast("long").alias("chars"), _normalised(text_col).alias("norm"))
+    keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(common.text_or_empty(text_col)).cast("long").alias("chars"), _normalised(text_col).alias("norm"), F.xxhash64(_spread()).alias("row"))
     keyed = keyed.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("code", F.xxhash64("norm")).withColumn("range", _range_of(splitters))
     dealt = keyed.repartitionById(len(splitters) + 1, "range")
     runs = dealt.sortWithinPartitions("head", "code", "norm", F.asc_nulls_last("doc_id")).select("doc_id", "chars", "norm", "code").mapInArrow(_close_runs, _DDL)
@@ -181,8 +181,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # Two runs a partition at most have an edge: this table is bounded by the partition count.
     edges = (
         rows.where("edge_text is not null").groupBy("edge_text")
-        .agg(F.collect_list("edge").alias("edges"), F.sum("group_size").alias("all_size"), F.min(F.struct((-F.col("keep_chars")).alias("c"), F.coalesce("keep_id", F.lit(_NO_ID)).alias("k"), F.col("edge").alias("e"))).alias("w"))
-        .select(F.explode("edges").alias("edge"), "all_size", F.expr(f"nullif(w.k, {_NO_ID})").alias("all_keep"), F.col("w.e").alias("winner"))
+        .agg(F.collect_list("edge").alias("edges"), F.sum("group_size").alias("all_size"), F.min(F.struct((-F.col("keep_chars")).alias("c"), F.col("keep_id").isNull().alias("n"), F.col("keep_id").alias("k"), F.col("edge").alias("e"))).alias("w"))
+        .select(F.explode("edges").alias("edge"), "all_size", F.col("w.k").alias("all_keep"), F.col("w.e").alias("winner"))
     )
     joined = rows.drop("edge_text").join(F.broadcast(edges), "edge", "left")
     inner = F.col("edge").isNull()

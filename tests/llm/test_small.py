@@ -858,3 +858,47 @@ def test_needed_shared_shingles_never_exceeds_what_linked_sets_share():
             continue
         prefix = lambda x: set(sorted(x)[: len(x) - int(np.ceil(85 * len(x) / 100 - 1e-9)) + 1])
         assert len(prefix(a) & prefix(b)) >= jaccard.shared_needed(np.array(len(a)), np.array(len(b)), 85, 100)
+
+
+def test_entities_of_any_length():
+    """Long secrets and addresses are replaced in blocks; equal ones alike, different ones apart, format kept."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(100_000))
+    for text in (f"token={long}", f"{long.replace('+', 'p').replace('/', 's')}@example.org", f"secret: {'0a1b' * 2_000}"):
+        out, found = pii.replace(text, "key")
+        assert len(found) == 1 and out != text and len(out) == len(text) and out == pii.replace(text, "key")[0]
+        kind, old, new = found[0]
+        assert [c.isdigit() for c in old] == [c.isdigit() for c in new] or kind == "secret"
+    near = [long[:i] + ("b" if long[i] == "a" else "a") + long[i + 1 :] for i in (0, 300, 99_999)]
+    assert len({pii.surrogate("secret", t, "key") for t in [long, *near]}) == 4
+
+
+def test_check_digits_are_not_two_spellings(spark):
+    """Numbers of one body whose check digits are 97 apart: only the issued one is an entity."""
+    pair = ["GB02WEST12345698765417", "GB99WEST12345698765417"]
+    assert [pii._iban_rest(t) for t in pair] == [1, 1] and [pii._valid("iban", t) for t in pair] == [True, False]
+    out = pii.replace_entities(table(spark, [f"to {t} now" for t in pair]), "key").collect()
+    assert sorted(r.n_iban for r in out) == [0, 1]
+
+
+def test_addresses_in_any_case_are_one():
+    one, two = (pii.replace(f"write to {t} today", "key")[1][0][2] for t in ("Jan.Kowalski@Firma.pl", "jan.kowalski@firma.pl"))
+    assert one.lower() == two and one != two and pii.canonical("email", one) == pii.canonical("email", two)
+    assert [c.isupper() for c in one] == [c.isupper() for c in "Jan.Kowalski@Firma.pl"]
+
+
+def test_largest_id_is_an_id(spark):
+    rows = [(2**63 - 1, "same text here now", "en", "s", 1), (None, "same text here now", "en", "s", 1), (2**63 - 1, "other words stand here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DDL)
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {(2**63 - 1, 2**63 - 1, 2), (None, 2**63 - 1, 2), (2**63 - 1, 2**63 - 1, 1)}
+
+
+def test_equal_rows_without_ids_spread(spark, monkeypatch):
+    """A third of the rows are one text without id: they are dealt over the ranges."""
+    docs = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 0, 'hot', concat('text ', id)) text")
+    ranges = exact_dedup._splitters(docs, "doc_id", "text")
+    hot = [s for s in ranges if s[0] == "hot".encode().hex().upper()]
+    assert hot and len({s[2] for s in hot}) == len(hot)
+    found = exact_dedup.exact_dedup(docs)
+    assert found.where("doc_id is null and group_size = 2000 and keep_id is null").count() == 2000 and found.where("kept").count() == 4001
