@@ -42,7 +42,7 @@ from sedge.llm.ann import _blocks, _vectors
 
 K = 5
 #: Entries of a leaf page and children of an inner node at most.
-PAGE = 64
+PAGE = 512
 #: Entries of a cell, and queries of a block; a task holds one of each (twice as many entries at most).
 CELL = 8192
 BLOCK = 8192
