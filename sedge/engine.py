@@ -1,6 +1,7 @@
 """One object for callers: an index directory with records, blobs and jobs, and every operation on it.
 
 Writers state which version of a table they changed; where another one came first, they get ``Conflict``.
+Records are kept in buckets of their ids, so that a change rewrites the buckets that it touches.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import Future
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge import storage
 from sedge.errors import Duplicate, InvalidParameter, NotFound
-from sedge.functions.text import search_tokens
 from sedge.operators import filters, jobs, projection, search, store
+from sedge.operators.cells import Cells, scan
+from sedge.operators.fielded import Index, bm25f, places
 from sedge.schema import TYPEAHEAD_FIELDS, IndexSpec
 
 Embed = Callable[[str], Sequence[float]]
@@ -26,15 +28,15 @@ Embed = Callable[[str], Sequence[float]]
 class Engine:
     """Operations over ``root``: ``records/``, ``blobs/`` and ``jobs/`` Parquet tables of one silo.
 
-    Records have at least id, doc_type, doc_id; ``content`` is searched and ``embedding`` holds vectors.
-    Search methods return plans; nothing runs before an action.
+    Records have at least id, doc_type, doc_id; the fields that the spec calls searchable are searched, as far as there are any, and
+    ``embedding`` holds vectors.  Search methods return plans; only what prunes them (a few rows of an index) is read before.
     """
 
     CACHE_S, CACHE_KEYS = 2.0, 10_000
     TABLES = ("records", "jobs", "blobs")
 
-    def __init__(self, spark: SparkSession, root: str, spec: IndexSpec | None = None, embed: Embed | None = None, clock: Callable[[], float] = time.time):
-        self.spark, self.root, self.embed, self.clock = spark, root.rstrip("/"), embed, clock
+    def __init__(self, spark: SparkSession, root: str, spec: IndexSpec | None = None, embed: Embed | None = None, clock: Callable[[], float] = time.time, silo: str | None = None, buckets: int = 64):
+        self.spark, self.root, self.embed, self.clock, self.silo, self.buckets = spark, root.rstrip("/"), embed, clock, silo, buckets
         self.spec = spec or IndexSpec()
         self._cache: dict[tuple, tuple[float, list]] = {}
         self._flights: dict[tuple, Future] = {}
@@ -49,7 +51,8 @@ class Engine:
         return storage.read_table(self.spark, self.path(name))
 
     def _replace(self, name: str, df: DataFrame, expected: str | None = storage.ANY) -> None:
-        storage.replace_table(df, self.path(name), expected=expected)
+        key, buckets = ("id", self.buckets) if name == "records" else (None, 0)
+        storage.replace_table(df, self.path(name), expected, key, buckets)
 
     def _version(self, name: str) -> str | None:
         return storage.current(self.spark, self.path(name))
@@ -65,44 +68,63 @@ class Engine:
     # Search
 
     def index(self) -> None:
-        """Store the postings of the records' content, sorted by term, so that searches read their terms only.
+        """Store places, impacts and spellings of the searchable fields, and the vectors by cell, so that searches read a part.
 
-        They belong to one version of the records; after a change searches tokenise the records until the
-        next call.
+        They belong to one version of the records; after a change searches read the records until the next call.
         """
-        version = self._version("records")
-        docs = self.records()
-        made = search.postings(docs.withColumn("content", F.coalesce("content", F.lit(""))), "id", "content")
-        lengths = docs.select("id", F.size(search_tokens(F.coalesce("content", F.lit("")))).alias("length"))
-        at = f"{self.path('postings')}/{version}"
-        made.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{at}/terms")
-        lengths.write.mode("overwrite").parquet(f"{at}/lengths")
-
-    def _scores(self, df: DataFrame, q: str, filter: str | None, prefix_last: bool = False) -> DataFrame:
-        """BM25 scores of ``df``, the filtered records: from the stored postings where they are up to date."""
-        at = f"{self.path('postings')}/{self._version('records')}"
-        if not storage.exists(self.spark, f"{at}/lengths/_SUCCESS"):
-            return search.bm25(df, q, "id", "content", prefix_last)
-        terms, lengths = (self.spark.read.parquet(f"{at}/{t}") for t in ("terms", "lengths"))
-        if filter and filter.strip():
-            ids = df.select("id")
-            terms, lengths = terms.join(ids, "id", "left_semi"), lengths.join(ids, "id", "left_semi")
-        return search.bm25_postings(terms, search.length_stats(lengths), q, "id", prefix_last)
-
-    def keyword(self, q: str, *, filter: str | None = None, sort: Sequence[str] = (), fields: Sequence[str] = (), limit: int = 20, offset: int = 0) -> DataFrame:
+        version, docs = self._version("records"), self.records()
+        self._words(version).build(docs, self.spec.searchable, self.spec.weights)
+        if "embedding" in docs.columns:
+            self._cells(version).build(docs, "embedding", self.spec.dim)
+        for name in ("postings", "vectors"):
+            fs, at = storage.file_system(self.spark, self.path(name))
+            for old in fs.listStatus(at) if fs.exists(at) else ():
+                if old.getPath().getName() not in (version, str(int(version) - 1)):
+                    fs.delete(old.getPath(), True)
+
+    def _words(self, version: str | None) -> Index:
+        return Index(self.spark, f"{self.path('postings')}/{version}", "id")
+
+    def _cells(self, version: str | None) -> Cells:
+        return Cells(self.spark, f"{self.path('vectors')}/{version}", "id")
+
+    def _scores(self, df: DataFrame, q: str, filter: str | None, prefix_last: bool = False, k: int | None = None, typos: bool = False, close: bool = False) -> DataFrame:
+        """BM25F scores of ``df``, the filtered records: from the stored index where it is up to date."""
+        stored = self._words(self._version("records"))
+        if not stored.ready():
+            if typos or close:
+                raise InvalidParameter("typos" if typos else "close", "needs the stored index")
+            return bm25f(places(df, "id", self.spec.searchable), q, "id", self.spec.weights, prefix_last)
+        narrowed = bool(filter and filter.strip())
+        if typos or close or not (narrowed or prefix_last):
+            return stored.search(q, None if narrowed else k, typos, close)
+        placed = stored.table("places")
+        return bm25f(placed.join(df.select("id"), "id", "left_semi") if narrowed else placed, q, "id", self.spec.weights, prefix_last)
+
+    def keyword(self, q: str, *, filter: str | None = None, sort: Sequence[str] = (), fields: Sequence[str] = (), limit: int = 20, offset: int = 0, typos: bool = False, close: bool = False) -> DataFrame:
+        """Records by BM25F over the searchable fields.  ``typos`` lets words stand for terms a few edits away, ``close`` lifts records
+        whose words stand together; both need the stored index."""
         filters.ensure_range("limit", limit, 1, 100)
         q = filters.ensure_text("q", q, 1)
         fields, sort = filters.ensure_list("fields", fields, 64), filters.ensure_list("sort", sort, 8)
         df = filters.apply_filter(self.records(), filter, self.spec.filterable)
-        scored = df.join(self._scores(df, q, filter), "id")
+        scored = df.join(self._scores(df, q, filter, k=None if sort else limit + offset, typos=typos, close=close), "id")
         ordered = search.top(scored, "id", limit, offset, filters.parse_sort(sort, df, self.spec.sortable))
         return projection.rows(ordered, fields)
 
-    def vector(self, q: str | Sequence[float], *, filter: str | None = None, fields: Sequence[str] = (), k: int = 10) -> DataFrame:
+    def _near(self, df: DataFrame, query: Sequence[float], filter: str | None, k: int, probes: int, exact: bool) -> DataFrame:
+        """(id, score) of the nearest: from the stored cells where they are up to date and nothing is filtered."""
+        stored = self._cells(self._version("records"))
+        if filter and filter.strip() or not stored.ready():
+            return scan(df, query, "id", "embedding", k)
+        return stored.search(query, k, probes, exact)
+
+    def vector(self, q: str | Sequence[float], *, filter: str | None = None, fields: Sequence[str] = (), k: int = 10, probes: int = 8, exact: bool = False) -> DataFrame:
+        """The ``k`` nearest records; of a stored index the ``probes`` nearest cells are read, or with ``exact`` all that can matter."""
         filters.ensure_range("k", k, 1, 100)
         query = self._embed(q)
         df = filters.apply_filter(self.records(), filter, self.spec.filterable)
-        scored = df.join(search.vector_search(df, query, "id", "embedding"), "id")
+        scored = df.join(self._near(df, query, filter, k, probes, exact), "id")
         return projection.rows(search.top(scored, "id", k), fields)
 
     def _embed(self, q: str | Sequence[float]) -> list[float]:
@@ -124,8 +146,9 @@ class Engine:
         df = filters.apply_filter(self.records(), filter, self.spec.filterable)
         names = df.select("id", F.coalesce("doc_id", "id").alias("doc_id"))
         order = [F.desc("score"), F.asc("id")]
-        kw = search.ranked(self._scores(df, filters.ensure_text("q", q, 1), filter).join(names, "id"), order, most)
-        vec = search.ranked(search.vector_search(df, self._embed(q if vector is None else vector), "id", "embedding").join(names, "id"), order, most)
+        kw = search.ranked(self._scores(df, filters.ensure_text("q", q, 1), filter, k=most).join(names, "id"), order, most)
+        near = self._near(df, self._embed(q if vector is None else vector), filter, most, 8, False)
+        vec = search.ranked(near.join(names, "id"), order, most)
         if fusion == "rrf":
             return search.fuse_rrf(kw, vec, "doc_id", limit)
         if fusion != "weighted":
@@ -186,33 +209,55 @@ class Engine:
         return store.breakdown(self.records())
 
     def upsert(self, new: DataFrame, replace_by: str | None = None) -> None:
+        """Put rows in, each in place of the one with its id; only the buckets of these ids are rewritten.  ``replace_by`` also
+        removes other rows of the same document."""
         version, old = self._version("records"), self.records()
-        self._replace("records", store.upsert(old, new, "id", replace_by=replace_by).select(*old.columns), version)
+        new = storage.stage(store.last_of(new, "id"), "upsert")
+        touched = new.select("id")
+        if replace_by:
+            touched = touched.unionByName(old.join(new.select(replace_by).distinct(), replace_by, "left_semi").select("id"))
+        storage.change_buckets(self.spark, self.path("records"), touched, lambda part: store.upsert(part, new, "id", replace_by=replace_by), version)
 
     def delete(self, doc_id: str, dry_run: bool = False, blobs: bool = False) -> DataFrame | None:
         """The plan of deleting a document, carried out unless ``dry_run``; None where nothing is found.
 
-        The plan counts what is deleted, however much that is.  With ``blobs`` the document's blobs go too,
+        The plan counts what is deleted, however much that is.  With ``blobs`` the document's blobs go too, in its own silo and
         unless records that stay refer to them.
         """
-        version, old = self._version("records"), self.records()
-        plan = store.delete_plan(old.where(F.col("doc_id") == doc_id), "doc_id", limit=None)
+        version, held_version = self._version("records"), self._version("blobs")
+        old = self.records()
+        mine = old.where(F.col("doc_id") == doc_id)
+        plan = store.delete_plan(mine, "doc_id", limit=None)
         plan = self.spark.createDataFrame(plan.collect(), plan.schema)  # one row
         if plan.isEmpty():
             return None
-        if not dry_run:
-            left = old.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id)))
-            if blobs and storage.exists(self.spark, self.path("blobs")):
-                used = left.select(F.explode("blob_cids").alias("cid")).unionByName(left.select(F.col("doc_id").alias("cid"))).distinct()
-                gone = plan.select(F.explode("cids").alias("cid")).join(used, "cid", "left_anti")
-                held = self._table("blobs")
-                kept = storage.stage(held.join(gone, "cid", "left_anti").select(*held.columns), "blobs")
-                self._replace("records", left, version)
-                self._replace("blobs", kept, self._version("blobs"))
-            else:
-                self._replace("records", left, version)
+        if dry_run:
+            return plan
+        kept = None
+        if blobs and storage.exists(self.spark, self.path("blobs")):
+            held = storage.read_table(self.spark, self.path("blobs"))
+            silo = self._silo_of(old, held)
+            left = old.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))).withColumn("_silo", silo)
+            used = left.select("_silo", F.explode("blob_cids").alias("cid")).unionByName(left.select("_silo", F.col("doc_id").alias("cid")))
+            gone = mine.select(silo.alias("_silo")).distinct().crossJoin(plan.select(F.explode("cids").alias("cid"))).join(used.distinct(), ["_silo", "cid"], "left_anti")  # one document's
+            gone = gone.withColumnRenamed("_silo", "silo")
+            kept = storage.stage(held.join(gone, ["silo", "cid"], "left_anti").select(*held.columns), "blobs")
+        storage.change_buckets(self.spark, self.path("records"), mine.select("id"), lambda part: part.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))), version)
+        if kept is not None:
+            self._replace("blobs", kept, held_version)
         return plan
 
+    def _silo_of(self, records: DataFrame, blobs: DataFrame) -> Column:
+        """The silo whose blobs a record means: its own, else the engine's, else the only one that there is."""
+        if "silo" in records.columns:
+            return F.col("silo")
+        if self.silo is not None:
+            return F.lit(self.silo)
+        known = blobs.select("silo").distinct().limit(2).collect()
+        if len(known) > 1:
+            raise InvalidParameter("silo", "the blobs are of several silos")
+        return F.lit(known[0].silo if known else None).cast("string")
+
     def purge(self, token: str, expected: str) -> None:
         """Remove the index; ``token`` must repeat the confirmation token shown before."""
         if token != expected:

@@ -23,16 +23,21 @@ _DELETABLE = re.compile(DELETABLE_CID[:-1] + r"\Z")
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id", order: str | None = None, replace_by: str | None = None) -> DataFrame:
     """``existing`` with whole rows replaced by those of ``new`` with the same key.
 
-    Within ``new`` the row of largest ``order`` wins.  ``replace_by`` (say ``doc_id``) also drops old rows of
-    the same document that ``new`` does not repeat; without it they stay.
+    Where ``new`` repeats a key, the row of largest ``order`` wins, without ``order`` the later row of the batch.
+    ``replace_by`` (say ``doc_id``) also drops old rows of the same document that ``new`` does not repeat; without it they stay.
     """
-    if order is not None:
-        last = Window.partitionBy(key).orderBy(F.desc(order))
-        new = new.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last", order)
+    new = last_of(new, key, order)
     gone = replace_by or key
     return existing.join(new.select(gone).distinct(), gone, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def last_of(new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: that of largest ``order``, which goes, or the last one in the batch."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order or "_place")))
+    numbered = new if order else new.withColumn("_place", F.monotonically_increasing_id())
+    return numbered.withColumn("_last", rank).where("_last = 1").drop("_last", order or "_place")
+
+
 def put_blobs(store: DataFrame, files: DataFrame, silo: str) -> DataFrame:
     """One row per offered file: silo, cid, size_bytes, existed - true for content that the store or an
     earlier row of the batch holds."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sedge.functions import text as tx
 from sedge.functions.scalars import finite
-from sedge.operators import filters, payload, projection, search
+from sedge.operators import fielded, filters, payload, projection, search
+from sedge.plans import stored
 from sedge.plans.registry import query, table
 from sedge.plans.standins import QUERY, VECTOR
 
@@ -34,28 +35,88 @@ k AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1
 v AS (SELECT vec_id AS doc_id, score, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS vec_rank FROM vec QUALIFY vec_rank < 50)"""
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents"), QUERY)
+_TOP20 = f"WITH {_KW} SELECT doc_id, score FROM kw ORDER BY score DESC, doc_id LIMIT 20"
 
 
-def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.vector_search(table(spark, sf_dir, "embeddings"), VECTOR, "vec_id", "embedding")
+def _keyword(spark: SparkSession, sf_dir: str, k: int = search.BRANCH_LIMIT) -> DataFrame:
+    return stored.words(spark, sf_dir).search(QUERY, k)
 
 
-@query(f"WITH {_KW} SELECT doc_id, score FROM kw ORDER BY score DESC, doc_id LIMIT 20")
+def _vector(spark: SparkSession, sf_dir: str, k: int = search.BRANCH_LIMIT) -> DataFrame:
+    return stored.vectors(spark, sf_dir).search(VECTOR, k, exact=True)
+
+
+@query(_TOP20)
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_keyword(spark, sf_dir), "doc_id", 20)
+    """From the stored index, of which blocks are read that the best 20 can be in."""
+    return search.top(_keyword(spark, sf_dir, 20), "doc_id", 20)
 
 
-@query(f"WITH {_KW} SELECT doc_id, score FROM kw ORDER BY score DESC, doc_id LIMIT 20")
+@query(_TOP20)
 def keyword_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return search.top(search.bm25_postings(search.postings(docs, "doc_id", "text"), search.corpus_stats(docs, "text"), QUERY), "doc_id", 20)
+    """From the stored index, all rows of the terms."""
+    return search.top(stored.words(spark, sf_dir).scores(fielded.slots_of(QUERY)), "doc_id", 20)
+
+
+@query(_TOP20)
+def keyword_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the documents themselves."""
+    return search.top(search.bm25(table(spark, sf_dir, "documents"), QUERY), "doc_id", 20)
+
 
+_TWO_TERMS = ["hean", "thi"]
 
-@query(f"WITH {_bm25_sql(['hean', 'thi'], True)} SELECT doc_id, score FROM kw ORDER BY score DESC, doc_id LIMIT 10")
+
+@query(f"WITH {_bm25_sql(_TWO_TERMS, True)} SELECT doc_id, score FROM kw ORDER BY score DESC, doc_id LIMIT 10")
 def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(search.bm25(table(spark, sf_dir, "documents"), "Hean thi", prefix_last=True), "doc_id", 10)
+    return search.top(fielded.bm25f(stored.words(spark, sf_dir).table("places"), "Hean thi", "doc_id", prefix_last=True), "doc_id", 10)
+
+
+_FIELDS = {"content": 1.0, "origin.source": 2.5, "origin.tags": 0.5}
+_FIELD_QUERY = ["hean", "src3", "fr", "thion"]
+
+
+def _field_sql() -> str:
+    tokens = ", ".join(f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t{i}" for i, c in enumerate(("coalesce(text, '')", "coalesce(source, '')", "coalesce(lang, '') || ' ' || coalesce(source, '')")))
+    lengths = ", ".join(f"len(t{i}) AS l{i}, avg(len(t{i})) OVER () AS a{i}" for i in range(3))
+    worth = lambda q: " + ".join(f"{w} * len(list_filter(t{i}, lambda x: x = '{q}')) / (0.25 + 0.75 * l{i} / a{i})" for i, w in enumerate(_FIELDS.values()))
+    x = ", ".join(f"{worth(q)} AS x{j}" for j, q in enumerate(_FIELD_QUERY))
+    df = ", ".join(f"count(*) FILTER (x{j} > 0) AS d{j}" for j in range(len(_FIELD_QUERY)))
+    score = " + ".join(f"ln(1 + (n - d{j} + 0.5) / (d{j} + 0.5)) * 2.2 * x{j} / (1.2 + x{j})" for j in range(len(_FIELD_QUERY)))
+    some = " OR ".join(f"x{j} > 0" for j in range(len(_FIELD_QUERY)))
+    return f"""WITH t AS (SELECT doc_id, {tokens} FROM documents), l AS (SELECT *, {lengths} FROM t), s AS (SELECT doc_id, {x} FROM l),
+a AS (SELECT count(*) AS n, {df} FROM s) SELECT doc_id, round({score}, 6) AS score FROM s, a WHERE {some} ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query(_field_sql())
+def keyword_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested and repeated fields under one ranking: a term counts in whichever it stands."""
+    docs = table(spark, sf_dir, "documents")
+    records = docs.select("doc_id", F.col("text").alias("content"), F.struct("source", F.array("lang", "source").alias("tags")).alias("origin"))
+    return search.top(fielded.bm25f(fielded.places(records, "doc_id", list(_FIELDS)), " ".join(_FIELD_QUERY), "doc_id", _FIELDS), "doc_id", 20)
+
+
+_MISSPELT = ["disgustng", "attion", "worthles"]
+_VOCABULARY = f"v AS MATERIALIZED (SELECT DISTINCT unnest({_TOKENS}) AS term FROM documents)"
+_NEAR = f"""{_VOCABULARY}, q AS (SELECT unnest({_MISSPELT!r}) AS word),
+near AS (SELECT word, term, levenshtein(word, term) AS distance FROM v, q WHERE regexp_full_match(term, '[a-z0-9]*') AND abs(length(term) - length(word)) <= 2
+  AND levenshtein(word, term) <= CASE WHEN length(word) < 5 THEN 0 WHEN length(word) < 9 THEN 1 ELSE 2 END)"""
+
+
+@query(f"WITH {_NEAR} SELECT word, term, distance::INTEGER AS distance FROM near")
+def typo_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the documents that misspelt words may stand for (of plain letters, which both engines measure alike)."""
+    return fielded.alternatives(stored.words(spark, sf_dir).table("spellings"), _MISSPELT).where("term rlike '^[a-z0-9]*$'")
+
+
+@query(rf"""WITH t AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS tokens FROM documents),
+p AS (SELECT doc_id, len(tokens) AS l, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS at FROM t),
+h AS MATERIALIZED (SELECT * FROM p WHERE term IN ('with', 'from')),
+w AS (SELECT a.doc_id, min(abs(a.at - b.at) + 1)::INTEGER AS span FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.term = 'with' AND b.term = 'from' GROUP BY 1)
+SELECT doc_id, span FROM w""")
+def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest stretch of each document that holds both words."""
+    return fielded.windows(stored.words(spark, sf_dir).table("places"), "doc_id", fielded.slots_of("with from"))
 
 
 @query(r"SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark")
@@ -65,7 +126,14 @@ def normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_COS} SELECT vec_id, score FROM vec ORDER BY score DESC, vec_id LIMIT 20")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_vector(spark, sf_dir), "vec_id", 20)
+    """From the stored cells, all that can hold one of the best 20."""
+    return search.top(_vector(spark, sf_dir, 20), "vec_id", 20)
+
+
+@query(f"WITH {_COS} SELECT vec_id, score FROM vec ORDER BY score DESC, vec_id LIMIT 20")
+def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the vectors themselves."""
+    return search.top(search.vector_search(table(spark, sf_dir, "embeddings"), VECTOR, "vec_id", "embedding"), "vec_id", 20)
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(CASE WHEN turn % 5 = 0 THEN ' ' ELSE text END) = '' THEN 64 ELSE 0 END::BIGINT AS zeros FROM conversations")

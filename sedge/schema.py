@@ -86,6 +86,8 @@ class IndexSpec:
     embedder_key: str = "gemini-embedding-001"
     dim: int = 768
     primary_key: str = "id"
+    #: What fields count in the ranking; 1 where nothing is said.
+    weights: dict = field(default_factory=dict)
     extra: dict = field(default_factory=dict)
 
     def to_json(self) -> str:

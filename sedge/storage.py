@@ -1,23 +1,30 @@
-"""Tables on shared storage: staging, and versioned tables that are replaced in one step.
+"""Tables on shared storage: staging, and versioned tables that are changed in one step, bucket by bucket.
 
-A table is a directory of versions (``v-...``) and a pointer file that names the one in force.
+A table is a directory of data (``v-<id>/`` or ``v-<id>/bucket=<n>/``, written once and never changed) and of numbered commits.
+A commit lists the directories that make up the table.  It is made by creating the file of the next number,
+which one writer only can do, whatever process or machine it runs on: the others get ``Conflict``.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
-import threading
 import uuid
-from collections import defaultdict
+from collections.abc import Callable, Iterable, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sedge.errors import Conflict
 
-POINTER = "_current"
+COMMITS = "_commits"
 #: No expectation of a table's version.
 ANY = "*"
-_locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
+#: Tasks that write a bucket together, so that none holds a whole one.
+WRITERS = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,62 +60,153 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """The version in force and the one before it, as far as there are any."""
-    fs, at = file_system(spark, f"{path}/{POINTER}")
-    if not fs.exists(at):
-        return []
+class Version(NamedTuple):
+    """A state of a table: its number, its columns, how its rows are dealt, and the directory of each bucket (of ``""`` where there are none)."""
+
+    number: int
+    schema: StructType
+    key: str | None
+    buckets: int
+    parts: dict[str, str]
+
+    def text(self) -> str:
+        return json.dumps({"schema": self.schema.jsonValue(), "key": self.key, "buckets": self.buckets, "parts": self.parts}) + "\n"
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, at = file_system(spark, path)
     stream = fs.open(at)
     try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The version that a table's pointer names; None for a plain Parquet directory or none at all."""
-    return next(iter(_versions(spark, path)), None)
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that must not be there; False where another writer was first."""
+    fs, at = file_system(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as problem:
+        if "FileAlreadyExists" in problem.java_exception.getClass().getName() or fs.exists(at):
+            return False
+        raise
+    out.write(text.encode())
+    out.close()
+    return True
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    version = current(spark, path)
-    return spark.read.parquet(f"{path}/{version}" if version else path)
+def state(spark: SparkSession, path: str, number: int | None = None) -> Version | None:
+    """The table's state, or that of an earlier commit; None for a plain Parquet directory or none at all."""
+    fs, at = file_system(spark, f"{path}/{COMMITS}")
+    if not fs.exists(at):
+        return None
+    names = sorted((f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().isdigit()), reverse=True)
+    for name in names if number is None else [n for n in names if int(n) == number]:
+        text = _read_text(spark, f"{path}/{COMMITS}/{name}")
+        if text.endswith("\n"):  # else its writer has not finished it
+            got = json.loads(text)
+            return Version(int(name), StructType.fromJson(got["schema"]), got["key"], got["buckets"], got["parts"])
+    return None
 
 
-def _point(spark: SparkSession, path: str, versions: list[str]) -> None:
-    """Let the table's pointer name ``versions``: written beside it and renamed over it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fs, new = file_system(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
-    out = fs.create(new)
-    out.writeBytes(" ".join(versions))
-    out.close()
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    _, at = file_system(spark, f"{path}/{POINTER}")
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), conf).rename(new, at, how)
+def current(spark: SparkSession, path: str) -> str | None:
+    """Number of the table's last commit, as text."""
+    found = state(spark, path)
+    return None if found is None else str(found.number)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
-def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), expected: str | None = ANY) -> str:
-    """Write ``df`` as a new version of the table and point to it; returns the version.
+def read_table(spark: SparkSession, path: str, buckets: Iterable[int] | None = None, number: int | None = None) -> DataFrame:
+    """The table as it is now, or at commit ``number``; with ``buckets`` only these."""
+    found = state(spark, path, number)
+    if found is None:
+        return spark.read.parquet(path)
+    wanted = None if buckets is None else {str(b) for b in buckets}
+    parts = [f"{path}/{at}" for b, at in sorted(found.parts.items()) if wanted is None or b in wanted]
+    return spark.read.schema(found.schema).parquet(*parts) if parts else spark.createDataFrame([], found.schema)
 
-    Readers see the old version or the new one, never none: the pointer is one file that is renamed into
-    place, a failure before that leaves the old version in force, and the version before stays on disk for
-    whoever still reads it.  ``expected`` is the version that ``df`` was made from: if another
-    writer has replaced it meanwhile, ``Conflict`` is raised and nothing changes.
+
+def _write(df: DataFrame, path: str, key: str | None, buckets: int) -> dict[str, str]:
+    """Write rows as new directories; the directory of each bucket that has rows."""
+    version = f"v-{uuid.uuid4().hex}"
+    if not buckets:
+        df.write.parquet(f"{path}/{version}")
+        return {"": version}
+    spark = df.sparkSession
+    dealt = df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket", F.pmod(F.hash(key), F.lit(WRITERS)))
+    dealt.write.partitionBy("bucket").parquet(f"{path}/{version}")
+    fs, at = file_system(spark, f"{path}/{version}")
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return {n.split("=")[1]: f"{version}/{n}" for n in names if n.startswith("bucket=")}
+
+
+def _commit(spark: SparkSession, path: str, before: Version | None, after: Version, made: Iterable[str]) -> str:
+    if write_once(spark, f"{path}/{COMMITS}/{after.number:012d}", after.text()):
+        _drop_unused(spark, path, before, after)
+        return str(after.number)
+    for at in {m.split("/")[0] for m in made}:
+        _remove(spark, f"{path}/{at}")
+    raise Conflict(path)
+
+
+def _drop_unused(spark: SparkSession, path: str, before: Version | None, after: Version) -> None:
+    """Remove what the commit before last used and neither of the last two does; those who read the one before go on."""
+    old = state(spark, path, before.number - 1) if before is not None else None
+    if old is None:
+        return
+    used = set(after.parts.values()) | set(before.parts.values())
+    for at in set(old.parts.values()) - used:
+        _remove(spark, f"{path}/{at}")
+
+
+def replace_table(df: DataFrame, path: str, expected: str | None = ANY, key: str | None = None, buckets: int = 0) -> str:
+    """Write ``df`` as the whole table; returns the commit's number.
+
+    Readers see the old table or the new one, never none, and a failure leaves the old one in force.  ``expected`` is the commit
+    that ``df`` was made from: where another writer has committed meanwhile, ``Conflict`` is raised and nothing
+    changes.  With ``buckets`` rows are dealt by a hash of ``key``, so that ``change_buckets`` can rewrite some of them.
     """
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
-    with _locks[path]:
-        before = _versions(spark, path)
-        if expected is not ANY and next(iter(before), None) != expected:
-            _remove(spark, f"{path}/{version}")
-            raise Conflict(path)
-        _point(spark, path, [version, *before[:1]])
-        for old in before[1:]:
-            _remove(spark, f"{path}/{old}")
-    return version
+    before = state(spark, path)
+    if expected is not ANY and (None if before is None else str(before.number)) != expected:
+        raise Conflict(path)
+    parts = _write(df, path, key, buckets)
+    while True:
+        after = Version(0 if before is None else before.number + 1, df.schema, key, buckets, parts)
+        try:
+            return _commit(spark, path, before, after, parts.values() if expected is not ANY else ())
+        except Conflict:
+            if expected is not ANY:
+                raise
+            before = state(spark, path)
+
+
+def change_buckets(spark: SparkSession, path: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame], expected: str | None = ANY) -> str:
+    """Rewrite the buckets of the keys in ``touched`` (one column, the table's key): ``change`` gets their rows and returns what takes
+    their place.  All other buckets stay the files that they are.  A table without buckets is rewritten."""
+    before = state(spark, path)
+    if before is None or not before.buckets:
+        return replace_table(change(read_table(spark, path)), path, expected)
+    if expected is not ANY and str(before.number) != expected:
+        raise Conflict(path)
+    found = [r[0] for r in touched.select(bucket_of(touched.columns[0], before.buckets)).distinct().collect()]  # bucket numbers
+    if not found:
+        return str(before.number)
+    new = change(read_table(spark, path, found, before.number)).select(*before.schema.names)
+    made = _write(new, path, before.key, before.buckets)
+    gone = {str(b) for b in found}
+    parts = {b: at for b, at in before.parts.items() if b not in gone} | made
+    return _commit(spark, path, before, before._replace(number=before.number + 1, parts=parts), made.values())
+
+
+def directories(spark: SparkSession, path: str) -> Sequence[str]:
+    """The data directories that make up the table now."""
+    found = state(spark, path)
+    return [] if found is None else sorted(found.parts.values())
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -27,3 +27,29 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def scanned():
+    """A metric of the Parquet scans of a plan after it ran, the largest first."""
+
+    def of(df, metric):
+        df.collect()
+        found = []
+
+        def walk(plan):
+            name = plan.nodeName()
+            if name == "AdaptiveSparkPlan":
+                return walk(plan.executedPlan())
+            if name.endswith("QueryStage"):
+                return walk(plan.plan())
+            if name.startswith("Scan parquet"):
+                found.append(plan.metrics().apply(metric).value())
+            children = plan.children()
+            for i in range(children.length()):
+                walk(children.apply(i))
+
+        walk(df._jdf.queryExecution().executedPlan())
+        return sorted(found, reverse=True)
+
+    return of
