@@ -270,34 +270,47 @@ class Engine:
         return secrets.token_hex(4)
 
     def backup(self, target: str) -> str:
-        """Copies of all tables that there are, below a directory named by index and time."""
-        name = f"{target.rstrip('/')}/{self.root.rsplit('/', 1)[-1]}-{time.strftime('%Y%m%dT%H%M%S', time.gmtime(self.clock()))}"
-        for table in self.TABLES:
-            if storage.exists(self.spark, self.path(table)):
-                store.snapshot(self.spark, self.path(table), f"{name}/{table}")
+        """Add a backup of all tables that there are below ``target``; returns its name, made of index and time.
+
+        Only data that no earlier backup there holds are copied.
+        """
+        name = f"{self.root.rsplit('/', 1)[-1]}-{time.strftime('%Y%m%dT%H%M%S', time.gmtime(self.clock()))}"
+        tables = {t: self.path(t) for t in self.TABLES if storage.exists(self.spark, self.path(t))}
+        store.back_up(self.spark, tables, target.rstrip("/"), name)
         return name
 
     def backups(self, target: str) -> DataFrame:
         return store.snapshots(self.spark, target)
 
-    def verify(self, backup: str) -> dict[str, tuple[int, int]]:
-        """(missing, extra) rows of each table of a backup against the index."""
+    def retain(self, target: str, daily: int = 7, weekly: int = 4, monthly: int = 6) -> int:
+        """Forget the backups that the rule does not keep; returns their number."""
+        known = self.backups(target)
+        kept = {r.name for r in store.retention(known, "ts", "name", daily, weekly, monthly).collect()}
+        gone = [r.name for r in known.collect() if r.name not in kept]
+        store.forget(self.spark, target.rstrip("/"), gone)
+        return len(gone)
+
+    def verify(self, target: str, backup: str) -> dict[str, tuple[int, int]]:
+        """(missing, extra) rows of each table of a backup against the index; OSError where the backup itself is damaged."""
+        bad = store.check_backup(self.spark, target, backup).where("problem is not null").first()
+        if bad is not None:
+            raise OSError(f"{bad['at']} is {bad.problem}")
         checked = {}
-        for table in self.TABLES:
-            if storage.exists(self.spark, self.path(table)):
-                found = store.verify_snapshot(self.spark, self.path(table), f"{backup}/{table}").first()
-                checked[table] = (found.missing, found.extra)
+        for table in store.manifest(self.spark, target, backup)["tables"]:
+            found = store.verify_snapshot(self._table(table), store.backed_up(self.spark, target, backup, table)).first()
+            checked[table] = (found.missing, found.extra)
         return checked
 
-    def recover(self, backup: str, force: bool = False, dry_run: bool = False) -> DataFrame | None:
-        """Bring all tables of a backup back; ``dry_run`` tells what that would do to the records."""
+    def recover(self, target: str, backup: str, force: bool = False, dry_run: bool = False) -> DataFrame | None:
+        """Bring all tables of a backup back; ``dry_run`` tells what that would do to the records, and how many bytes it reads."""
+        tables = store.manifest(self.spark, target, backup)["tables"]
         if dry_run:
-            return store.restore_plan(self.spark, f"{backup}/records", self.path("records"))
+            plan = store.restore_plan(self.records(), store.backed_up(self.spark, target, backup, "records"))
+            return plan.withColumn("bytes", F.lit(sum(u["bytes"] for u in store.manifest(self.spark, target, backup)["units"])))
         if storage.exists(self.spark, self.path("records")) and not force:
             raise FileExistsError(self.path("records"))
-        for table in self.TABLES:
-            if storage.exists(self.spark, f"{backup}/{table}"):
-                store.recover(self.spark, f"{backup}/{table}", self.path(table), force)
+        for table in tables:
+            self._replace(table, store.backed_up(self.spark, target, backup, table))
         return None
 
     # Jobs

@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from sedge import storage
 from sedge.errors import NotFound
 from sedge.functions.ids import DELETABLE_CID, content_id
 
 DELETE_LIMIT = 50_000
+#: Folders of a backup: the manifests by name, and the data that they share.
+MANIFESTS, UNITS = "manifests", "units"
 _DELETABLE = re.compile(DELETABLE_CID[:-1] + r"\Z")
 
 
@@ -147,26 +149,121 @@ def describe_embedder(name: str, kind: str, dims: int | None = None, quantized:
 
 
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """(name, ts, files, bytes) of the backups below ``root``, newest first; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    name = F.regexp_extract("path", r"/([^/]+-[0-9]{8}T[0-9]{6})/", 1)
-    found = files.withColumn("name", name).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-    return found.withColumn("ts", F.to_timestamp(F.regexp_extract("name", "([0-9T]{15})$", 1), "yyyyMMdd'T'HHmmss")).select("name", "ts", "files", "bytes").orderBy(F.desc("ts"), F.desc("name"))
+    """(name, ts, files, bytes) of the backups below ``root``, newest first, from their manifests; no data are read."""
+    fs, at = storage.file_system(spark, f"{root}/{MANIFESTS}")
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    rows = []
+    for name in names:
+        units = manifest(spark, root, name)["units"]
+        rows.append((name, sum(u["files"] for u in units), sum(u["bytes"] for u in units)))
+    found = spark.createDataFrame(rows, "name string, files long, bytes long")
+    ts = F.to_timestamp(F.regexp_extract("name", "([0-9T]{15})$", 1), "yyyyMMdd'T'HHmmss")
+    return found.withColumn("ts", ts).select("name", "ts", "files", "bytes").orderBy(F.desc("ts"), F.desc("name"))
 
 
-def verify_snapshot(spark: SparkSession, source: str, copy: str) -> DataFrame:
+def manifest(spark: SparkSession, root: str, name: str) -> dict:
+    """What a backup holds: per table its columns and how it is dealt, and the units (data directories) with their digests."""
+    if not storage.exists(spark, f"{root}/{MANIFESTS}/{name}"):
+        raise NotFound(f"{name} in {root}")
+    return json.loads(storage.read_text(spark, f"{root}/{MANIFESTS}/{name}"))
+
+
+def _digest(df: DataFrame) -> dict:
+    """Rows of a unit and an order-free digest of them."""
+    row = F.xxhash64(*sorted(df.columns)) if df.columns else F.lit(0)
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("h")).first()
+    return {"rows": found.n, "digest": str(found.h or 0)}
+
+
+def _size(spark: SparkSession, path: str) -> dict:
+    fs, at = storage.file_system(spark, path)
+    found = [f.getLen() for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet")]
+    return {"files": len(found), "bytes": sum(found)}
+
+
+def back_up(spark: SparkSession, tables: dict[str, str], root: str, name: str) -> int:
+    """Add a backup of ``tables`` (name to path) below ``root``; returns how many units were written.
+
+    Data directories of a table never change, so one that an earlier backup holds is not copied again: a backup of an unchanged
+    table is a manifest alone.  Spark copies what is new, and every copy is held against its source.
+    """
+    made: dict = {"tables": {}, "units": []}
+    known = {u["at"]: u for old in _names(spark, root) for u in manifest(spark, root, old)["units"]}
+    written = 0
+    for table, path in tables.items():
+        found = storage.state(spark, path)
+        if found is None:
+            raise NotFound(path)
+        made["tables"][table] = {"schema": found.schema.jsonValue(), "key": found.key, "buckets": found.buckets, "parts": found.parts}
+        for at in sorted(found.parts.values()):
+            where = f"{table}/{at}"
+            if where not in known:
+                source, copy = f"{path}/{at}", f"{root}/{UNITS}/{where}"
+                spark.read.schema(found.schema).parquet(source).write.mode("overwrite").parquet(copy)
+                unit = {"at": where, **_digest(spark.read.schema(found.schema).parquet(source)), **_size(spark, copy)}
+                if unit | _digest(spark.read.schema(found.schema).parquet(copy)) != unit:
+                    raise OSError(f"{copy} differs from its source")
+                known[where] = unit
+                written += 1
+            made["units"].append(known[where])
+    if not storage.write_once(spark, f"{root}/{MANIFESTS}/{name}", json.dumps(made) + "\n"):
+        raise FileExistsError(name)
+    return written
+
+
+def _names(spark: SparkSession, root: str) -> list[str]:
+    fs, at = storage.file_system(spark, f"{root}/{MANIFESTS}")
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def backed_up(spark: SparkSession, root: str, name: str, table: str) -> DataFrame:
+    """A table as a backup holds it."""
+    kept = manifest(spark, root, name)["tables"][table]
+    schema = StructType.fromJson(kept["schema"])
+    paths = [f"{root}/{UNITS}/{table}/{at}" for at in sorted(kept["parts"].values())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def check_backup(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """at, rows, bytes, problem: each unit of a backup held against its manifest; problem is null, ``missing`` or ``changed``."""
+    kept = manifest(spark, root, name)
+    out = []
+    for unit in kept["units"]:
+        path, problem = f"{root}/{UNITS}/{unit['at']}", None
+        if not storage.exists(spark, f"{path}/_SUCCESS"):
+            problem = "missing"
+        else:
+            schema = StructType.fromJson(kept["tables"][unit["at"].split("/")[0]]["schema"])
+            problem = "changed" if unit | _digest(spark.read.schema(schema).parquet(path)) != unit else None
+        out.append((unit["at"], unit["rows"], unit["bytes"], problem))
+    return spark.createDataFrame(out, "at string, rows long, bytes long, problem string")
+
+
+def forget(spark: SparkSession, root: str, names: list[str]) -> int:
+    """Remove backups and the units that no other backup holds; returns the number of units removed."""
+    gone = {u["at"] for n in names for u in manifest(spark, root, n)["units"]}
+    for n in names:
+        fs, at = storage.file_system(spark, f"{root}/{MANIFESTS}/{n}")
+        fs.delete(at, False)
+    gone -= {u["at"] for n in _names(spark, root) for u in manifest(spark, root, n)["units"]}
+    for unit in gone:
+        fs, at = storage.file_system(spark, f"{root}/{UNITS}/{unit}")
+        fs.delete(at, True)
+    return len(gone)
+
+
+def verify_snapshot(now: DataFrame, copy: DataFrame) -> DataFrame:
     """(rows, copied, missing, extra): whether a copy holds the rows of its source, compared by row digests."""
     digest = lambda df: df.select(F.xxhash64(*sorted(df.columns)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    a, b = digest(storage.read_table(spark, source)), digest(storage.read_table(spark, copy))
+    a, b = digest(now), digest(copy)
     both = a.join(b.select("h", F.col("n").alias("m")), "h", "full_outer").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     zero = F.lit(0)
     return both.agg(F.coalesce(F.sum("n"), zero).alias("rows"), F.coalesce(F.sum("m"), zero).alias("copied"), F.coalesce(F.sum(F.greatest(F.col("n") - F.col("m"), zero)), zero).alias("missing"), F.coalesce(F.sum(F.greatest(F.col("m") - F.col("n"), zero)), zero).alias("extra"))
 
 
-def restore_plan(spark: SparkSession, backup: str, target: str) -> DataFrame:
-    """(action, records): what restoring a backup of records would add, replace and remove."""
-    now = storage.read_table(spark, target)
-    old = storage.read_table(spark, backup).select("id", F.xxhash64(*now.columns).alias("then"))
+def restore_plan(now: DataFrame, then: DataFrame) -> DataFrame:
+    """(action, records): what restoring ``then``, backed-up records, over ``now`` would add, replace, remove and keep."""
+    old = then.select("id", F.xxhash64(*now.columns).alias("then"))
     both = now.select("id", F.xxhash64(*now.columns).alias("now")).join(old, "id", "full_outer")
     action = F.when(F.col("now").isNull(), "add").when(F.col("then").isNull(), "remove").when(F.col("now") != F.col("then"), "replace").otherwise("keep")
     return both.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("records"))
@@ -192,19 +289,3 @@ def retention(snapshots: DataFrame, ts: str, key: str, daily: int = 7, weekly: i
         part = latest.orderBy(F.desc("bucket")).limit(n).select(key, ts)
         kept = part if kept is None else kept.unionByName(part)
     return kept.distinct()
-
-
-def snapshot(spark: SparkSession, source: str, target: str) -> int:
-    """Copy a table; returns its rows, checked against the copy."""
-    df = storage.read_table(spark, source)
-    df.write.parquet(target)
-    n = spark.read.parquet(target).count()
-    if n != df.count():
-        raise OSError(f"{target} has {n} rows")
-    return n
-
-
-def recover(spark: SparkSession, backup: str, target: str, force: bool = False) -> None:
-    if storage.exists(spark, target) and not force:
-        raise FileExistsError(target)
-    storage.replace_table(storage.read_table(spark, backup), target)

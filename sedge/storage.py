@@ -73,7 +73,7 @@ class Version(NamedTuple):
         return json.dumps({"schema": self.schema.jsonValue(), "key": self.key, "buckets": self.buckets, "parts": self.parts}) + "\n"
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     fs, at = file_system(spark, path)
     stream = fs.open(at)
     try:
@@ -103,7 +103,7 @@ def state(spark: SparkSession, path: str, number: int | None = None) -> Version
         return None
     names = sorted((f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().isdigit()), reverse=True)
     for name in names if number is None else [n for n in names if int(n) == number]:
-        text = _read_text(spark, f"{path}/{COMMITS}/{name}")
+        text = read_text(spark, f"{path}/{COMMITS}/{name}")
         if text.endswith("\n"):  # else its writer has not finished it
             got = json.loads(text)
             return Version(int(name), StructType.fromJson(got["schema"]), got["key"], got["buckets"], got["parts"])

@@ -55,10 +55,11 @@ def test_records(engine, spark):
     engine.upsert(new)
     assert engine.get("m-a-doc").first().content == "changed" and engine.records().count() == 3
     assert engine.delete("b", dry_run=True).first().records == 2 and engine.records().count() == 3
-    backup = engine.backup(engine.root + "-backups")
+    target = engine.root + "-backups"
+    backup = engine.backup(target)
     engine.delete("b")
     assert engine.records().count() == 1 and engine.delete("zzz") is None
-    engine.recover(backup, force=True)
+    engine.recover(target, backup, force=True)
     assert engine.records().count() == 3
     token = engine.confirmation_token()
     with pytest.raises(InvalidParameter):
@@ -127,14 +128,16 @@ def test_delete_with_blobs(engine, spark):
     cids = F.when(F.col("doc_id") == "a", F.array(F.lit(a))).when(F.col("doc_type") == "doc", F.array(F.lit(a), F.lit(b))).otherwise(F.col("blob_cids"))
     engine.upsert(engine.records().withColumn("blob_cids", cids))
     storage.replace_table(spark.createDataFrame([("s", a, 1), ("s", b, 2)], "silo string, cid string, size_bytes int"), engine.path("blobs"))
-    backup = engine.backup(engine.root + "-kept")
-    assert engine.verify(backup) == {"records": (0, 0), "blobs": (0, 0)}
+    target = engine.root + "-kept"
+    backup = engine.backup(target)
+    assert engine.verify(target, backup) == {"records": (0, 0), "blobs": (0, 0)}
     assert engine.delete("b", blobs=True).first().cids == [a, b]
     assert [r.cid for r in engine._table("blobs").collect()] == [a]  # the other document still needs it
-    assert engine.verify(backup) == {"records": (0, 2), "blobs": (0, 1)}
-    assert {r.action: r.records for r in engine.recover(backup, dry_run=True).collect()} == {"add": 2, "keep": 1}
-    assert [r.name for r in engine.backups(engine.root + "-kept").collect()] == [backup.rsplit("/", 1)[-1]]
-    engine.recover(backup, force=True)
+    assert engine.verify(target, backup) == {"records": (0, 2), "blobs": (0, 1)}
+    plan = engine.recover(target, backup, dry_run=True).collect()
+    assert {r.action: r.records for r in plan} == {"add": 2, "keep": 1} and plan[0].bytes == engine.backups(target).first().bytes > 0
+    assert [r.name for r in engine.backups(target).collect()] == [backup]
+    engine.recover(target, backup, force=True)
     assert engine.records().count() == 3 and engine._table("blobs").count() == 2
 
 
@@ -144,3 +147,75 @@ def test_two_writers(engine):
     with pytest.raises(Conflict):
         engine._replace("records", engine.records(), version)
     assert engine.get("m-a-doc").first().content == "first"
+
+
+def test_blobs_of_other_silos_stay(engine, spark):
+    a, b = "a1" * 32, "b2" * 32
+    engine.upsert(engine.records().where("doc_type = 'doc'").withColumn("blob_cids", F.array(F.when(F.col("doc_id") == "a", F.lit(a)).otherwise(F.lit(b)))))
+    storage.replace_table(spark.createDataFrame([("s", b, 1), ("t", b, 2), ("s", a, 3)], "silo string, cid string, size_bytes int"), engine.path("blobs"))
+    with pytest.raises(InvalidParameter):
+        engine.delete("b", blobs=True)  # whose blob is meant?
+    engine.silo = "s"
+    engine.delete("b", blobs=True)
+    assert {(r.silo, r.cid) for r in engine._table("blobs").collect()} == {("t", b), ("s", a)}
+
+
+def test_a_change_rewrites_its_buckets(engine, spark):
+    """One row in: one bucket's directory is new, all others are the files that they were; the same for a deletion."""
+    many = spark.range(500).selectExpr("concat('r', id) id", "'doc' doc_type", "concat('d', id div 2) doc_id", "'text' content", "cast(null as array<float>) embedding", "cast(array() as array<string>) blob_cids")
+    engine.create(many, force=True)
+    before = set(storage.directories(spark, engine.path("records")))
+    assert len(before) == 64
+    one = many.where("id = 'r7'").withColumn("content", F.lit("first")).unionByName(many.where("id = 'r7'").withColumn("content", F.lit("last")))
+    engine.upsert(one.coalesce(1))
+    after = set(storage.directories(spark, engine.path("records")))
+    assert len(after - before) == 1 and len(after) == 64
+    assert engine.records().count() == 500 and engine.get("r7").first().content == "last"  # of a repeated key the later row
+    engine.delete("d9")
+    gone = set(storage.directories(spark, engine.path("records")))
+    assert 1 <= len(gone - after) <= 2 and engine.records().count() == 498
+    engine.upsert(many.limit(0))
+    assert set(storage.directories(spark, engine.path("records"))) == gone
+    engine.upsert(many.where("id = 'r0'"), replace_by="doc_id")  # takes r1, in another bucket, away
+    assert {r.id for r in engine.records().where("doc_id = 'd0'").collect()} == {"r0"}
+
+
+def test_backups_share_their_data(engine, spark):
+    target = engine.root + "-many"
+    first = engine.backup(target)
+    files = lambda: set(spark.read.parquet(f"{target}/units/*/*/*").inputFiles())
+    held = files()
+    engine.now[0] += 60
+    second = engine.backup(target)
+    assert files() == held and second != first  # nothing changed: a manifest alone
+    engine.upsert(engine.records().where("id = 'm-a-doc'").withColumn("content", F.lit("changed")))
+    engine.now[0] += 86_400
+    third = engine.backup(target)
+    assert len({f.rsplit("/", 1)[0] for f in files() - held}) == 1  # one bucket
+    assert engine.verify(target, third) == {"records": (0, 0)} and engine.verify(target, first) == {"records": (1, 1)}
+    assert engine.retain(target, daily=2, weekly=0, monthly=0) == 1
+    assert [r.name for r in engine.backups(target).collect()] == [third, second] and files() >= held
+    engine.retain(target, daily=1, weekly=0, monthly=0)
+    engine.recover(target, third, force=True)
+    assert engine.get("m-a-doc").first().content == "changed"
+    fs, at = storage.file_system(spark, f"{target}/units")
+    fs.delete(at, True)
+    with pytest.raises(OSError):
+        engine.verify(target, third)
+
+
+def test_two_sessions_write(engine, spark):
+    """Two sessions change one version: the second to commit gets Conflict, and its data are gone."""
+    other = Engine(spark.newSession(), engine.root, engine.spec)
+    rows = [e.records().where("id = 'm-a-doc'").withColumn("content", F.lit(text)) for e, text in ((engine, "one"), (other, "two"))]
+    version = engine._version("records")
+    change = lambda e, new: storage.change_buckets(e.spark, e.path("records"), new.select("id"), lambda part: part.where("id <> 'm-a-doc'").unionByName(new), version)
+    change(engine, rows[0])
+    with pytest.raises(Conflict):
+        change(other, rows[1])
+    assert other.get("m-a-doc").first().content == "one"
+    assert storage.write_once(spark, f"{engine.root}/marker", "x") and not storage.write_once(other.spark, f"{engine.root}/marker", "y")
+    state = storage.state(spark, engine.path("records"))
+    lost = state._replace(number=state.number, parts={})
+    with pytest.raises(Conflict):  # the same number again
+        storage._commit(spark, engine.path("records"), state, lost, ["v-none"])

@@ -54,21 +54,23 @@ def test_retention(spark):
     assert {"2024-07-31", "2024-11-30", "2024-12-22", "2024-12-15"} <= set(kept) and len(kept) == 7 + 2 + 5
 
 
-def test_replace_and_snapshot(spark, tmp_path):
-    path, copy = f"file://{tmp_path}/t", f"file://{tmp_path}/copy"
+def test_replace_and_back_up(spark, tmp_path):
+    path, root = f"file://{tmp_path}/t", f"file://{tmp_path}/backups"
     storage.replace_table(spark.range(5), path)
-    assert store.snapshot(spark, path, copy) == 5
+    assert store.back_up(spark, {"t": path}, root, "t-20240101T000000") == 1
+    with pytest.raises(FileExistsError):
+        store.back_up(spark, {"t": path}, root, "t-20240101T000000")
     old = storage.read_table(spark, path)
     version = storage.current(spark, path)
     storage.replace_table(old.where("id > 2"), path, expected=version)
     assert storage.read_table(spark, path).count() == 2 and old.count() == 5  # readers keep their version
+    assert storage.read_table(spark, path, number=0).count() == 5
     with pytest.raises(Conflict):
         storage.replace_table(spark.range(1), path, expected=version)
     assert storage.read_table(spark, path).count() == 2
-    with pytest.raises(FileExistsError):
-        store.recover(spark, copy, path)
-    store.recover(spark, copy, path, force=True)
-    assert storage.read_table(spark, path).count() == 5
+    assert store.backed_up(spark, root, "t-20240101T000000", "t").count() == 5
+    with pytest.raises(NotFound):
+        store.manifest(spark, root, "none")
 
 
 DECISION = {
