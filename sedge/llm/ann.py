@@ -20,7 +20,8 @@ Bounds: the driver gets ``SAMPLE`` projected points and a box per cell (``MOST_C
 piece and one block of queries.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold a null or
-non-finite component take no part; equal scores rank by smaller id; a table without usable vectors gives
+non-finite component take no part; in a table with a norm whose square passes doubles every query is held against every vector, without
+projections; equal scores rank by smaller id; a table without usable vectors gives
 an empty result; repeated rows are separate candidates (a query's own id is never its neighbour).
 """
 
@@ -71,19 +72,27 @@ class Space(NamedTuple):
     matrix: np.ndarray
     quantile: float
     k: int
+    #: Norms whose squares pass doubles: no distances, every vector is verified.
+    plain: bool = False
 
     def points(self, x: np.ndarray) -> np.ndarray:
         """Projections of entries (rows) after the added coordinate."""
+        if self.plain:
+            return np.zeros((len(x), self.matrix.shape[1]))
         last = np.sqrt(np.maximum(self.most * self.most - (x * x).sum(axis=1), 0))
         return np.column_stack([x, last]) @ self.matrix
 
     def spots(self, q: np.ndarray) -> np.ndarray:
         """Projections of queries, scaled to the largest norm."""
+        if self.plain:
+            return np.zeros((len(q), self.matrix.shape[1]))
         return (q * (self.most / np.sqrt((q * q).sum(axis=1)))[:, None]) @ self.matrix[:-1]
 
     def limits(self, bars: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Squared projected distances from which on nothing need be verified: |x - q|^2 is
         2 M^2 - 2 M <x, q> / |q| in the space of the added coordinate."""
+        if self.plain:
+            return np.full(np.broadcast(bars, norms).shape, np.inf)[()]
         return self.quantile * np.maximum(0.0, 2 * self.most * self.most - 2 * self.most * bars / norms) * (1 + _NEAR) + _NEAR * self.most * self.most
 
 
@@ -91,7 +100,8 @@ def space(most: float, dims: int, k: int, sure: float) -> Space:
     full = dims + 1
     m = min(DIMS, max(1, full // 2))
     matrix = np.linalg.qr(np.random.default_rng(11).standard_normal((full, m)))[0]
-    return Space(most, matrix, stop_quantile(sure, m, full), k)
+    plain = not math.isfinite(8 * most * most)
+    return Space(1.0 if plain else most, matrix, stop_quantile(sure, m, full), k, plain)
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -136,14 +146,20 @@ def box_distance(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products summed the same way whatever the number of rows."""
-    return (x * q).sum(axis=1)
+    """Inner products summed the same way whatever the number of rows; where parts pass doubles, of scaled vectors, so that
+    the sum is what it would be without a bound, cut to doubles."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        got = (x * q).sum(axis=1)
+        wide = np.flatnonzero(~np.isfinite(got))
+        if len(wide):
+            got[wide] = np.ldexp((np.ldexp(x[wide], -600) * np.ldexp(q, -600)).sum(axis=1), 1200)
+    return got
 
 
 def _verify(x: np.ndarray, ids: np.ndarray, far: np.ndarray, vec: np.ndarray, norm: float, floor: float, at: Space) -> tuple[np.ndarray, np.ndarray, int]:
     """(positions, scores, how many were verified) of the k + 1 best entries of score ``floor`` at least: entries
     are taken by rising projected distance ``far``, in batches, until the stopping test holds."""
-    keep, slack = at.k + 1, _NEAR * at.most * norm
+    keep, slack = at.k + 1, 0.0 if at.plain else _NEAR * at.most * norm
     bar, limit = floor, np.inf if floor == -np.inf else at.limits(floor, norm)
     left = np.flatnonzero(far < limit)
     best, value, seen, step = np.zeros(0, np.int64), np.zeros(0), 0, 4 * keep
@@ -152,7 +168,7 @@ def _verify(x: np.ndarray, ids: np.ndarray, far: np.ndarray, vec: np.ndarray, no
         if len(now) > 2 * step:
             part = np.argpartition(far[now], step)
             now, left = now[part[:step]], now[part[step:]]
-        got = x[now] @ vec
+        got = scores(x[now], vec) if at.plain else x[now] @ vec
         seen += len(now)
         good = got >= bar - slack
         best, value = np.concatenate([best, now[good]]), np.concatenate([value, got[good]])
@@ -313,7 +329,9 @@ def _pack_vectors(dims: int):
         for b in batches:
             flat = np.asarray(b.column("vector").flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, dims)
             flat = flat + 0.0  # one zero
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in flat], pa.binary()), pa.array((flat * flat).sum(axis=1))], names=["id", "v", "square"])
+            with np.errstate(over="ignore"):
+                square = (flat * flat).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in flat], pa.binary()), pa.array(square)], names=["id", "v", "square"])
 
     return run
 
@@ -355,9 +373,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     entries = common.stage(entries.join(asking, "v", "left").withColumn("asking", F.coalesce("asking", F.lit(False))), "ann-entries")
     most = math.sqrt(rows.agg(F.max("square")).first()[0] or 0.0)
     count = entries.count()
-    if not count or not most or not math.isfinite(most):
+    if not count:
         return void
-    at = space(most, dims, k, sure)
+    at = space(most or 1.0, dims, k, sure)  # squares of tiny vectors can all be 0
     cells = min(MOST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, count / cell)))))
     sample = entries.where(F.pmod(F.xxhash64("entry"), F.lit(-(-2 * count // SAMPLE))) == 0).orderBy("entry").limit(SAMPLE).select("v")
     points = sample.mapInArrow(_project(at), "point binary").toArrow().column("point") if cells > 1 else []

@@ -54,7 +54,6 @@ SHORT_LIST = 16
 BROADCAST_CLASSES = 1 << 20
 
 _U = np.uint64
-_NO_ID = np.iinfo(np.int64).max
 
 
 def _sets(batch_text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -196,7 +195,7 @@ def _prefixes(k: int, num: int, den: int, table):
                     r, s = r[again], s[again]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, rows), pa.array(n.astype(np.int64)), pa.array(_digests(row, h, rows).view(np.int64)), lists], names=["doc_id", "n", "set_id", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, rows) for c in ("doc_id", "code")), pa.array(n.astype(np.int64)), pa.array(_digests(row, h, rows).view(np.int64)), lists], names=["doc_id", "code", "n", "set_id", "prefix"])
 
     return run
 
@@ -323,7 +322,10 @@ def _chained(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
+            first = np.array([not (x in seen or seen.add(x)) for x in b.column("set_id").to_pylist()], bool)  # of repeated rows one
+            b = b.filter(pa.array(first))
             want = b.column("set_id").to_numpy()
             for i, j, row, h in _sets(b.column("text"), k):
                 own = _digests(row, h, j - i).view(np.int64) == want[i:j]  # else a repeated id with another text
@@ -414,8 +416,9 @@ def _link_components(texts: DataFrame, reps: DataFrame, k: int, num: int, den: i
     member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps.select("set_id", "rep"), "set_id")
     member = common.stage(member.select("set_id", "block", "chunks", "rep"), "jaccard-members")
     small = member.count() <= BROADCAST_CLASSES
-    found = texts.join(F.broadcast(member) if small else member, F.col("doc_id") == F.col("rep"))
-    sets = common.stage(found.select("set_id", "block", "chunks", "text").mapInArrow(_full_sets(k), "set_id long, block long, chunks long, shingles binary"), "jaccard-sets")
+    at = [F.col("doc_id").eqNullSafe(F.col("rep.id")), F.col("code") == F.col("rep.code")]  # an id and its text, so that null or repeated ids meet nobody else's
+    found = texts.join(F.broadcast(member) if small else member, at)
+    sets = common.stage(found.select("set_id", "block", "chunks", "text").mapInArrow(_full_sets(k), "set_id long, block long, chunks long, shingles binary").dropDuplicates(["set_id"]), "jaccard-sets")
     dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "set_id", "shingles")
     links = common.stage(dealt.groupBy("block", "lo", "hi").applyInArrow(_search(num, den), "set_id long, root long, links long"), "jaccard-links")
@@ -428,10 +431,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when ``den`` * |intersection| >= ``num`` * |union| of their distinct shingles.
     """
     spark = df.sparkSession
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), common.text_or_empty(text_col).alias("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text")).withColumn("code", F.xxhash64("text"))
     table = spark.sparkContext.broadcast(frequency_table(texts, k))
-    sets = common.stage(texts.mapInArrow(_prefixes(k, num, den, table), "doc_id long, n long, set_id long, prefix array<long>"), "jaccard-prefixes")
-    reps = common.stage(sets.where("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "jaccard-classes")
+    sets = common.stage(texts.mapInArrow(_prefixes(k, num, den, table), "doc_id long, code long, n long, set_id long, prefix array<long>"), "jaccard-prefixes")
+    reps = common.stage(sets.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "code")).alias("rep"), F.first("prefix").alias("prefix")), "jaccard-classes")
     roots, links = _link_components(texts, reps, k, num, den)
     roots = common.stage(roots, "jaccard-roots")
     linked = roots.join(reps.select("set_id", "rep"), F.col("node") == F.col("set_id"))
@@ -439,11 +442,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = roots.join(smallest, "root").select(F.col("node").alias("set_id"), "component").join(links, "set_id", "left")
     classes = reps.select("set_id", "rep").join(placed, "set_id", "left").select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = sets.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
-    void = lambda c: F.when(c != _NO_ID, c)
     return out.select(
-        void(F.col("doc_id")).alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_shingles"),
-        void(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component.id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"),
     )
 

@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -902,3 +903,32 @@ def test_equal_rows_without_ids_spread(spark, monkeypatch):
     assert hot and len({s[2] for s in hot}) == len(hot)
     found = exact_dedup.exact_dedup(docs)
     assert found.where("doc_id is null and group_size = 2000 and keep_id is null").count() == 2000 and found.where("kept").count() == 4001
+
+
+def test_nearest_with_finite_vectors_of_any_size(spark):
+    """One vector whose square passes doubles: every query still gets all its neighbours, by the scores as doubles."""
+    rng = np.random.default_rng(5)
+    vectors = [*rng.standard_normal((60, 2)).tolist(), [1e200, 1e200], [1e200, -1e200], [-1e160, 3.0]]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 20, 40, 60):
+        exact = [(-sum(Fraction(a) * Fraction(b) for a, b in zip(vectors[q], v, strict=True)), i) for i, v in enumerate(vectors) if i != q]
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in sorted(exact)[:5]]
+    tiny = [(i, [1e-200 * (i + 1), 0.0]) for i in range(4)]
+    assert ann.nearest(spark.createDataFrame(tiny, "vec_id long, embedding array<double>"), every=4).count() == 3
+
+
+def test_jaccard_with_null_and_repeated_ids(spark):
+    """Near copies without ids, repeated rows and one id with two texts: links and sets by text, whatever the ids."""
+    base = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join([*base[:i], "x", *base[i + 1 :]])
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, " ".join(base)), (None, near(59)), (None, other), (5, near(59)), (5, other), (5, other), (7, near(0)), (2**63 - 1, other), (9, "short")]
+    rows += [(None, near(59))] * 50
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=4, num=85).collect()
+    assert len(out) == len(rows)
+    sizes = sorted((r.n_shingles, r.doc_id, r.component_id, r.n_links) for r in out if r.doc_id is not None)
+    assert sizes == sorted([(57, 5, 5, 2), (37, 5, 5, 0), (37, 5, 5, 0), (57, 7, 5, 2), (37, 2**63 - 1, 5, 0), (1, 9, 9, 0)])
+    assert Counter((r.n_shingles, r.component_id, r.n_links) for r in out if r.doc_id is None) == {(57, 5, 2): 52, (37, 5, 0): 1}
