@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 from pyspark.sql.functions import pandas_udf
 
 from sedge.functions.scalars import nth_int
@@ -20,7 +20,7 @@ DOCKET_LABEL, TYPE_LABEL = "Sygnatura", "Rodzaj dokumentu"
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "doc_id", "docket", "decision_type")])
 API_PAGE = "items array<struct<id: bigint, judgmentType: string, courtCases: array<struct<caseNumber: string>>>>, info struct<totalResults: bigint>"
 API_DETAIL = "data struct<judgmentDate: string, source: struct<judgmentId: string>>"
-PAGE_SIZE = 10
+PAGE_SIZE, API_PAGE_SIZE = 10, 100
 #: Judgments dated later are not asked for.
 LAST_DATE = "2020-12-31"
 
@@ -163,20 +163,23 @@ def discovery_target(limit: Column, total: Column) -> Column:
     return F.least(limit, total)
 
 
-def pages_of(html: str) -> int:
-    """How many result pages there are by the counter that only page 1 shows; 1 without a counter."""
+def page_counts(html: str) -> tuple[int, int | None]:
+    """(items of a result page, total by the counter that only page 1 shows)."""
     p = _Results()
     p.feed(html or "")
     numbers = re.findall(r"\d+", p.counts or "")
-    total = int(numbers[1]) if len(numbers) > 1 else 0
-    return max(1, -(-total // PAGE_SIZE))
+    return len(p.items), int(numbers[1]) if len(numbers) > 1 else None
 
 
 class PortalSource(DataSource):
-    """Pages of a portal as a table (page, html): one input partition per page, from page 1.
+    """Pages of a portal as a table or a stream (page, html, seen, target), from page 1.
 
-    ``fetch`` (set with ``PortalSource.use``) maps a page number to its HTML.  Option ``pages`` says how
-    many; without it page 1 tells, so that no page beyond the last is asked for.
+    ``fetch`` (set with ``PortalSource.use``) maps a page number to its HTML.  ``seen`` is the number of items on the pages before,
+    ``target`` how many are wanted: the smaller of option ``limit`` and the portal's counter, null where neither is known.
+
+    As a table: one input partition per page; option ``pages`` says how many, without it page 1's counter; without a counter one
+    partition walks on to the first empty page.  As a stream: ``maxPagesPerTrigger`` pages a batch (1) until the target is reached
+    or a page is empty.  The offset carries all that, so a restart goes on behind the last finished batch.
     """
 
     fetcher: Callable[[int], str] | None = None
@@ -190,23 +193,85 @@ class PortalSource(DataSource):
         return type("PortalSource", (cls,), {"fetcher": staticmethod(fetch)})
 
     def schema(self) -> str:
-        return "page int, html string"
+        return "page int, html string, seen long, target long"
+
+    def _limit(self) -> int | None:
+        return int(self.options["limit"]) if "limit" in self.options else None
 
     def reader(self, schema) -> DataSourceReader:
         pages = self.options.get("pages")
-        return _PortalReader(self.fetcher, int(pages) if pages else None)
+        return _PortalReader(self.fetcher, int(pages) if pages else None, self._limit())
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _PortalStream(self.fetcher, int(self.options.get("maxPagesPerTrigger", 1)), self._limit())
+
+
+def _smaller(limit: int | None, total: int | None) -> int | None:
+    known = [x for x in (limit, total) if x is not None]
+    return min(known) if known else None
 
 
 class _PortalReader(DataSourceReader):
-    def __init__(self, fetch, pages: int | None):
-        self.fetch, self.pages = fetch, pages
+    """Partitions are (first page, last page or None for the first empty one, HTML of the first page if it is at hand, target)."""
+
+    def __init__(self, fetch, pages: int | None, limit: int | None):
+        self.fetch, self.pages, self.limit = fetch, pages, limit
 
     def partitions(self) -> list[InputPartition]:
-        many = self.pages if self.pages is not None else pages_of(self.fetch(1))
-        return [InputPartition(i) for i in range(1, many + 1)]
+        if self.pages is not None:
+            return [InputPartition((i, i, None, self.limit)) for i in range(1, self.pages + 1)]
+        html = self.fetch(1)
+        items, total = page_counts(html)
+        target = _smaller(self.limit, total)
+        if target is None or not items:
+            return [InputPartition((1, None, html, target))]
+        many = max(1, -(-target // PAGE_SIZE))
+        return [InputPartition((i, i, html if i == 1 else None, target)) for i in range(1, many + 1)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
-        yield partition.value, self.fetch(partition.value)
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        page, last, html, target = partition.value
+        seen = (page - 1) * PAGE_SIZE
+        while last is None or page <= last:
+            html = html if html is not None else self.fetch(page)
+            items = page_counts(html)[0]
+            if last is None and not items:
+                return
+            yield page, html, seen, target
+            page, seen, html = page + 1, seen + items, None
+
+
+class _PortalStream(SimpleDataSourceStreamReader):
+    """Offsets: the next page, the items seen before it, the target (-1 unknown), and whether the end was reached."""
+
+    def __init__(self, fetch, most: int, limit: int | None):
+        self.fetch, self.most, self.limit = fetch, most, limit
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"page": 1, "seen": 0, "target": -1 if self.limit is None else self.limit, "done": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], dict(start)
+        while not at["done"] and len(rows) < self.most:
+            html = self.fetch(at["page"])
+            items, total = page_counts(html)
+            if total is not None:
+                at["target"] = _smaller(self.limit, total)
+            if not items:
+                at["done"] = 1
+                break
+            rows.append((at["page"], html, at["seen"], at["target"] if at["target"] >= 0 else None))
+            at["page"], at["seen"] = at["page"] + 1, at["seen"] + items
+            if 0 <= at["target"] <= at["seen"]:
+                at["done"] = 1
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        """A batch that was planned but not finished, again."""
+        seen = start["seen"]
+        for page in range(start["page"], end["page"]):
+            html = self.fetch(page)
+            yield page, html, seen, end["target"] if end["target"] >= 0 else None
+            seen += page_counts(html)[0]
 
 
 class JudgmentSource(DataSource):
@@ -214,29 +279,32 @@ class JudgmentSource(DataSource):
 
     ``fetch(page, until)`` (set with ``use``) gives a page's rows of judgments dated ``until`` at the latest; a
     condition ``judgment_date <= '...'`` on the table reaches it (with filter push-down of Python sources on), and
-    option ``until`` is its default.
+    option ``until`` is its default.  ``total(until)`` tells how many rows there are (``info.totalResults`` of a page), which makes a
+    partition of each page; without it, and without option ``pages``, one partition walks on to the first empty page.
     """
 
     fetcher: Callable[[int, str], list[tuple]] | None = None
+    counter: Callable[[str], int] | None = None
 
     @classmethod
     def name(cls) -> str:
         return "judgments"
 
     @classmethod
-    def use(cls, fetch: Callable[[int, str], list[tuple]]) -> type[JudgmentSource]:
-        return type("JudgmentSource", (cls,), {"fetcher": staticmethod(fetch)})
+    def use(cls, fetch: Callable[[int, str], list[tuple]], total: Callable[[str], int] | None = None) -> type[JudgmentSource]:
+        return type("JudgmentSource", (cls,), {"fetcher": staticmethod(fetch), "counter": staticmethod(total) if total else None})
 
     def schema(self) -> str:
         return "judgment_id string, judgment_date string, body string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _JudgmentReader(self.fetcher, int(self.options.get("pages", 1)), self.options.get("until", LAST_DATE))
+        pages = self.options.get("pages")
+        return _JudgmentReader(self.fetcher, self.counter, int(pages) if pages else None, self.options.get("until", LAST_DATE))
 
 
 class _JudgmentReader(DataSourceReader):
-    def __init__(self, fetch, pages: int, until: str):
-        self.fetch, self.pages, self.until = fetch, pages, until
+    def __init__(self, fetch, total, pages: int | None, until: str):
+        self.fetch, self.total, self.pages, self.until = fetch, total, pages, until
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
@@ -246,7 +314,16 @@ class _JudgmentReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.pages)]
+        many = self.pages
+        if many is None and self.total is not None:
+            many = -(-self.total(self.until) // API_PAGE_SIZE)
+        return [InputPartition(None)] if many is None else [InputPartition(i) for i in range(many)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self.fetch(partition.value, self.until)
+        if partition.value is not None:
+            yield from self.fetch(partition.value, self.until)
+            return
+        page = 0
+        while rows := list(self.fetch(page, self.until)):
+            yield from rows
+            page += 1

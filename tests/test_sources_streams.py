@@ -32,7 +32,7 @@ def test_discovery_target(spark, limit, total, want):
 def test_portal_source(spark):
     spark.dataSource.register(portal.PortalSource.use(lambda page: f"<p>{page}</p>"))
     df = spark.read.format("portal").option("pages", 3).load()
-    assert df.rdd.getNumPartitions() == 3 and sorted(r.html for r in df.collect()) == ["<p>1</p>", "<p>2</p>", "<p>3</p>"]
+    assert df.rdd.getNumPartitions() == 3 and sorted((r.page, r.html) for r in df.collect()) == [(1, "<p>1</p>"), (2, "<p>2</p>"), (3, "<p>3</p>")]
 
 
 def test_files(spark, tmp_path):

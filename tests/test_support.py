@@ -161,10 +161,10 @@ def test_sources_by_page(spark):
 
     def fetch(page):
         asked.append(page)
-        return '<input id="resultCounts" value="10,23">'
+        return '<input id="resultCounts" value="10,23"><div class="search-list-item"></div>'
 
-    assert [p.value for p in portal._PortalReader(fetch, None).partitions()] == [1, 2, 3] and asked == [1]
-    assert [p.value for p in portal._PortalReader(fetch, 2).partitions()] == [1, 2] and portal.pages_of("") == 1
+    assert [p.value[:2] for p in portal._PortalReader(fetch, None, None).partitions()] == [(1, 1), (2, 2), (3, 3)] and asked == [1]
+    assert [p.value[0] for p in portal._PortalReader(fetch, 2, None).partitions()] == [1, 2] and portal.page_counts("") == (0, None)
 
     class Fetch:
         @staticmethod
