@@ -20,7 +20,7 @@ Bounds: the driver gets ``SAMPLE`` projected points and a box per cell (``MOST_C
 piece and one block of queries.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold a null or
-non-finite component take no part; in a table with a norm whose square passes doubles every query is held against every vector, without
+non-finite component take no part; in a table whose largest norm has a square beyond doubles every query is held against every vector, without
 projections; equal scores rank by smaller id; a table without usable vectors gives
 an empty result; repeated rows are separate candidates (a query's own id is never its neighbour).
 """
@@ -65,6 +65,13 @@ def stop_quantile(p: float, dims: int, full: int) -> float:
     return float(np.sin(angle[np.searchsorted(mass, p * mass[-1])]) ** 2)
 
 
+def lengths(q: np.ndarray) -> np.ndarray:
+    """Norms of rows, whose squares may be too large or too small for doubles."""
+    power = np.frexp(np.abs(q).max(axis=1))[1]
+    q = np.ldexp(q, -power[:, None])
+    return np.ldexp(np.sqrt((q * q).sum(axis=1)), power)
+
+
 class Space(NamedTuple):
     """What all tasks share: the added coordinate's scale, the projection and the stopping test."""
 
@@ -72,7 +79,7 @@ class Space(NamedTuple):
     matrix: np.ndarray
     quantile: float
     k: int
-    #: Norms whose squares pass doubles: no distances, every vector is verified.
+    #: The largest norm's square is too large or too small for doubles: no distances, every vector is verified.
     plain: bool = False
 
     def points(self, x: np.ndarray) -> np.ndarray:
@@ -86,7 +93,7 @@ class Space(NamedTuple):
         """Projections of queries, scaled to the largest norm."""
         if self.plain:
             return np.zeros((len(q), self.matrix.shape[1]))
-        return (q * (self.most / np.sqrt((q * q).sum(axis=1)))[:, None]) @ self.matrix[:-1]
+        return (q / lengths(q)[:, None] * self.most) @ self.matrix[:-1]
 
     def limits(self, bars: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Squared projected distances from which on nothing need be verified: |x - q|^2 is
@@ -100,7 +107,7 @@ def space(most: float, dims: int, k: int, sure: float) -> Space:
     full = dims + 1
     m = min(DIMS, max(1, full // 2))
     matrix = np.linalg.qr(np.random.default_rng(11).standard_normal((full, m)))[0]
-    plain = not math.isfinite(8 * most * most)
+    plain = not 1e-280 < most * most < 1e300
     return Space(1.0 if plain else most, matrix, stop_quantile(sure, m, full), k, plain)
 
 
@@ -191,7 +198,7 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, at
     tree = Tree(points)
     x, ids, points = x[tree.order], ids[tree.order], points[tree.order].astype(np.float32)
     square = (points * points).sum(axis=1)
-    spots, norms = at.spots(q), np.sqrt((q * q).sum(axis=1))
+    spots, norms = at.spots(q), lengths(q)
     limits = np.where(np.isneginf(floors), np.inf, at.limits(np.where(np.isneginf(floors), 0, floors), norms))
     # Single precision loses this much of a squared distance between points of norm M.
     loose = 1e-5 * at.most * at.most
@@ -313,7 +320,7 @@ def _others(at: Space, boxes: Boxes):
                 q = _vectors(b.column("v"))
                 floors = b.column("floor").fill_null(-math.inf).to_numpy(zero_copy_only=False)
                 open_ = np.isneginf(floors)
-                limits = np.where(open_, np.inf, at.limits(np.where(open_, 0, floors), np.sqrt((q * q).sum(axis=1))))
+                limits = np.where(open_, np.inf, at.limits(np.where(open_, 0, floors), lengths(q)))
                 row, cell = boxes.reach(at.spots(q), limits)
                 away = cell != b.column("home").to_numpy()[row]
                 row, cell = row[away], cell[away]
@@ -375,7 +382,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     count = entries.count()
     if not count:
         return void
-    at = space(most or 1.0, dims, k, sure)  # squares of tiny vectors can all be 0
+    at = space(most, dims, k, sure)
     cells = min(MOST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, count / cell)))))
     sample = entries.where(F.pmod(F.xxhash64("entry"), F.lit(-(-2 * count // SAMPLE))) == 0).orderBy("entry").limit(SAMPLE).select("v")
     points = sample.mapInArrow(_project(at), "point binary").toArrow().column("point") if cells > 1 else []

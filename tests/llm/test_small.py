@@ -916,6 +916,8 @@ def test_nearest_with_finite_vectors_of_any_size(spark):
     for q in (0, 20, 40, 60):
         exact = [(-sum(Fraction(a) * Fraction(b) for a, b in zip(vectors[q], v, strict=True)), i) for i, v in enumerate(vectors) if i != q]
         assert [i for _, i, _ in sorted(got[q])] == [i for _, i in sorted(exact)[:5]]
+    some = [(0, [1e-200, 2e-200]), *((i, v) for i, v in rows[1:60])]  # a tiny query among ordinary vectors
+    assert ann.nearest(spark.createDataFrame(some, "vec_id long, embedding array<double>"), every=100, k=5).count() == 5
     tiny = [(i, [1e-200 * (i + 1), 0.0]) for i in range(4)]
     assert ann.nearest(spark.createDataFrame(tiny, "vec_id long, embedding array<double>"), every=4).count() == 3
 
