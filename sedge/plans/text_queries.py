@@ -11,7 +11,7 @@ from sedge.operators import payload, usage
 from sedge.plans.registry import query, table
 from sedge.plans.standins import chunks
 from sedge.sources import files, portal
-from sedge.streaming import ingest
+from sedge.streaming import ingest, timers
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\d+\s*(?:/\s*\d+)?\s*\n', chr(10), 'g'), '(\w+)-\s*\n\s*(\w+)', '\1\2', 'g'), '(\p{Ll})([A-ZŁŚĆŻŹÓĘĄŃ])([ąćęłńóśżź])', '\1 \2\3', 'g'), '\s+', ' ', 'g'))"""
 _COUNT = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))::BIGINT"
@@ -129,8 +129,13 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(spark, f"{sf_dir}/documents.parquet", "text").select("cid", "size_bytes")
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, at_us, n, true AS admitted, at_us + 8640000000.0::DOUBLE AS due FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.at_us, e.n, greatest(r.due, e.at_us) + 8640000000.0 - e.at_us <= 20 * 8640000000.0,
+    greatest(r.due, e.at_us) + CASE WHEN greatest(r.due, e.at_us) + 8640000000.0 - e.at_us <= 20 * 8640000000.0 THEN 8640000000.0 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, at_us, admitted FROM r""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, each user's allowance as state."""
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("at_us"))
-    return ingest.rate_limit(events, "user_id", "at_us", "event_id", per_window=10, window_us=86_400_000_000, burst=20)
+    prepare = lambda df: df.select("user_id", "event_id", at.alias("at_us"))
+    return timers.limited(spark, f"{sf_dir}/events.parquet", prepare, "user_id", "at_us", "event_id", per_window=10, window_us=86_400_000_000, burst=20)

@@ -1,11 +1,9 @@
-"""Streams: content-addressed ingest with replay detection, keyed rate limits, live job states."""
+"""Streams: content-addressed ingest with replay detection."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,30 +46,3 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def dedup_stream(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """First occurrences of a key in an unbounded stream; the watermark bounds what is remembered."""
     return stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
-
-
-def rate_limit(events: DataFrame, key: str, at_us: str, order: str, per_window: int, window_us: int, burst: int) -> DataFrame:
-    """Adds ``admitted``: a generic cell rate limiter per key (``per_window`` per window, ``burst`` at once).
-
-    Admission depends on all earlier admissions of the key, so each key's events are taken in order; they are
-    streamed in sorted batches, never held as one group.
-    """
-    step = window_us / per_window
-    slack = step * burst
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, due = None, 0.0
-        for b in batches:
-            out = []
-            for k, t in zip(b[key], b[at_us], strict=True):
-                if k != current:
-                    current, due = k, float(t)
-                begin = max(due, float(t))
-                ok = begin + step - float(t) <= slack
-                due = begin + step if ok else due
-                out.append(ok)
-            yield b.assign(admitted=out)
-
-    dealt = events.repartition(key).sortWithinPartitions(key, at_us, order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    return dealt.mapInPandas(run, f"{fields}, admitted boolean")

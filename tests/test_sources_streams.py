@@ -75,10 +75,3 @@ def test_dedup_stream_and_states(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("dd").count() == 2
     assert {r.job_id: (r.status, r.events) for r in spark.table("st").collect()} == {"j1": ("Generating", 2), "j2": ("Failed", 1)}
-
-
-def test_rate_limit(spark):
-    rows = [(1, t, i) for i, t in enumerate([0, 0, 0, 0, 100, 1000])] + [(2, 0, 9)]
-    df = spark.createDataFrame(rows, "k int, at long, id int")
-    got = {r.id: r.admitted for r in ingest.rate_limit(df, "k", "at", "id", per_window=10, window_us=1000, burst=3).collect()}
-    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 9: True}
