@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedge.functions import processors
 from sedge.functions import scalars as sc
 from sedge.functions import text as tx
 from sedge.operators import payload, usage
@@ -139,3 +140,12 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     prepare = lambda df: df.select("user_id", "event_id", at.alias("at_us"))
     return timers.limited(spark, f"{sf_dir}/events.parquet", prepare, "user_id", "at_us", "event_id", per_window=10, window_us=86_400_000_000, burst=20)
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+o AS (SELECT *, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 ELSE 1 + greatest(0, ceil((len(ws) - 100) / 80.0)::BIGINT) END)) AS ord FROM w)
+SELECT doc_id, ord::INTEGER AS ord, array_to_string(ws[ord * 80 + 1 : ord * 80 + 100], ' ') AS content FROM o""")
+def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 100 words, 20 of them shared, by a processor called laterally."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return processors.process(docs, "text", processors.Windows(100, 20)).drop("section")
