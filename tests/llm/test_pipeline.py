@@ -76,7 +76,8 @@ def test_run(spark, sf_dir):
 
 def test_sql(spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in oracles.ORACLES.items():
         df = queries.QUERIES[name](spark, sf_dir)
         result = con.execute(sql)
