@@ -19,7 +19,7 @@ from sedge import storage
 from sedge.errors import Duplicate, InvalidParameter, NotFound
 from sedge.operators import filters, jobs, projection, search, store
 from sedge.operators.cells import Cells, scan
-from sedge.operators.fielded import Index, bm25f, places
+from sedge.operators.fielded import Index, bm25f, field_tokens, places
 from sedge.schema import TYPEAHEAD_FIELDS, IndexSpec
 
 Embed = Callable[[str], Sequence[float]]
@@ -203,7 +203,13 @@ class Engine:
         return projection.rows(found, fields, score=None, base=())
 
     def stats(self) -> DataFrame:
-        return store.index_stats(self.records(), "doc_id", "embedding")
+        """One row: records, vectors, documents with vectors, bytes on disk, the embedder, the searchable fields that there are."""
+        records = self.records()
+        fs, at = storage.file_system(self.spark, self.path("records"))
+        there = [f for f in self.spec.searchable if field_tokens(records, f) is not None]
+        found = store.index_stats(records, "doc_id", "embedding").withColumn("size_bytes", F.lit(fs.getContentSummary(at).getLength()))
+        embedder = store.describe_embedder(self.spec.embedder_key, "userProvided", self.spec.dim)
+        return found.withColumn("embedder", F.lit(embedder)).withColumn("searchable", F.array(*map(F.lit, there)).cast("array<string>"))
 
     def breakdown(self) -> DataFrame:
         return store.breakdown(self.records())

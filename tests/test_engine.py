@@ -49,7 +49,9 @@ def test_records(engine, spark):
     with pytest.raises(Duplicate):
         engine.create(engine.records())
     assert engine.find(filter="doc_id = b", sort=["doc_id:asc"]).count() == 2
-    assert engine.stats().first().vectors == 2
+    stats = engine.stats().first()
+    assert (stats.vectors, stats.docs_with_vectors, stats.searchable) == (2, 2, ["content", "doc_id"])
+    assert stats.size_bytes > 0 and stats.embedder == "gemini-embedding-001 (kind: userProvided, dims: 2, float32)"
     assert {r.kind: r.records for r in engine.breakdown().collect()} == {"doc": 2, "chunk": 1}
     new = engine.records().where("id = 'm-a-doc'").withColumn("content", F.lit("changed"))
     engine.upsert(new)
