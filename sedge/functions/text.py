@@ -72,7 +72,7 @@ def is_numeric_noise(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def normalize_query(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,11 @@ def _at(spark: SparkSession, df: DataFrame, name: str) -> str:
     return made
 
 
-def words(spark: SparkSession, sf_dir: str) -> Index:
+def words(spark: SparkSession, sf_dir: str, names: Sequence[str] = Index.RANKED) -> Index:
+    """The index of the documents' texts with the tables that a query reads; those that are there already stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = Index(spark, _at(spark, docs, "words"), "doc_id")
-    return index if index.ready() else index.build(docs, ["text"], {})
+    return index.build(docs, ["text"], {}, [n for n in names if not index.ready([n])])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Cells:
