@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 # Patterns of the clean-up steps and counters.
 CONTROL = r"[\p{Cc}&&[^\t\n\r]]"
@@ -17,6 +19,8 @@ HYPHEN_BREAK = r"(?U)(\w+)-\s*\n\s*(\w+)"
 MISSING_SPACE = "(\\p{Ll})([A-ZŁŚĆŻŹÓĘĄŃ])([ąćęłńóśżź])"
 STATUTE_CUE = r"(?i)(art\.|ust\.|§|dz\.?\s*u\.)"
 NOISE = r"(?U)^[0-9\s.,\-_:;]+$"
+#: Texts that are Python objects together while they are split.
+SPLIT = 64
 
 
 @pandas_udf(T.StringType())
@@ -79,8 +83,18 @@ def normalize_query(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
-@pandas_udf(T.ArrayType(T.StructType().add("ord", T.IntegerType()).add("text", T.StringType())))
-def sentences(text: pd.Series) -> pd.Series:
+def _split(text: pa.Array) -> pa.Array:
     from sedge.functions.segmenter import split
 
-    return text.map(lambda t: None if t is None else [{"ord": i, "text": s} for i, s in enumerate(split(t))])
+    each = [None if t is None else split(t) for t in text.to_pylist()]
+    ends = np.cumsum([0, *(len(x or ()) for x in each)])
+    order = pa.array([i for x in each if x for i in range(len(x))], pa.int32())
+    flat = pa.StructArray.from_arrays([order, pa.array([s for x in each if x for s in x], pa.string())], ["ord", "text"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([x is None for x in each], pa.bool_()))
+
+
+@arrow_udf(T.ArrayType(T.StructType().add("ord", T.IntegerType()).add("text", T.StringType())))
+def sentences(text: pa.Array) -> pa.Array:
+    """Sentences with their order; Python objects of ``SPLIT`` texts at a time, all others are Arrow columns."""
+    parts = [_split(text.slice(i, SPLIT)) for i in range(0, len(text), SPLIT)]
+    return pa.concat_arrays(parts) if parts else _split(text)

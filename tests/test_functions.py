@@ -102,6 +102,25 @@ def test_sentences(t, expected):
     assert split(t) == expected
 
 
+def test_sentences_of_a_batch(spark):
+    """As many texts as Spark hands over at once: the same sentences, without all of them as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    some = ["Czy tak? Nie! Owszem.", None, "", "Jeden. Dwa ż. " * 20, "   "]
+    texts = [*some, None, *["To jest zdanie. Wyszedł." * 10] * 2000, *some]
+    tracemalloc.start()
+    got = text.sentences.func(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    want = [None if t is None else [{"ord": i, "text": s} for i, s in enumerate(split(t))] for t in texts]
+    assert got.to_pylist() == want
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t string").select("i", text.sentences(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [None if r.s is None else [x.asDict() for x in r.s] for r in rows] == want[:5]
+
+
 def test_sentences_extra_abbreviation():
     assert len(split("Patrz Zał. Nr jeden.")) == 2
     assert len(split("Patrz Zał. Nr jeden.", ("zał.",))) == 1
