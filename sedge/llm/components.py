@@ -18,6 +18,7 @@ MOST_ROUNDS = 60
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the smallest node it reaches."""
+    edges = common.stage(edges, "cc-edges")  # read twice, here and at the end
     nodes_alone = edges.where("a = b").select(F.col("a").alias("node"))
     e = common.stage(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc")
     seen = None
@@ -27,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
-        e = common.stage(small.select("x.hi", "x.lo").where("hi <> lo").distinct(), "cc")
+        last, e = e, common.stage(small.select("x.hi", "x.lo").where("hi <> lo").distinct(), "cc")
+        common.drop(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -122,9 +122,9 @@ def frequency_table(texts: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarr
     ``LISTED`` at most: all above some count, and a share by hash of those at it."""
     bits = common.hash_bits(texts, MOST_BITS)
     packed = texts.mapInArrow(_count_cells(k, bits), "part long, once binary, cells binary, counts binary")
-    counted = common.stage(packed.groupBy("part").applyInArrow(_merge_cells, "cell long, n long"), "jaccard-counts")
+    staged = common.stage(packed.groupBy("part").applyInArrow(_merge_cells, "cell long, n long"), "jaccard-counts")
     level = F.when(F.col("n") < BINNED, F.col("n")).otherwise(BINNED + F.floor(16 * F.log2(F.col("n") / BINNED))).cast("long")
-    counted = counted.withColumn("level", level)
+    counted = staged.withColumn("level", level)
     # A few thousand levels at most: every count below BINNED, and the bins above it.
     by_level = sorted((r["level"], r["many"]) for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("many")).collect())
     above, room, share = 1 << 62, LISTED, 0.0
@@ -135,6 +135,7 @@ def frequency_table(texts: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarr
         above, room = at, room - many
     some = (F.col("level") == (max((x for x, _ in by_level if x < above), default=-1))) & (F.pmod(F.xxhash64("cell"), F.lit(1 << 20)) < int(share * (1 << 20)))
     got = counted.where((F.col("level") >= above) | some).select("cell", "n").toArrow()
+    common.drop(staged)
     cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(cell)
     return bits, cell[order].astype(_U), n[order]
@@ -401,28 +402,35 @@ def _search(num: int, den: int):
     return run
 
 
-def _link_components(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(set_id, root) and (set_id, links) of the classes that have a link."""
-    entries = reps.select("set_id", "n", F.explode("prefix").alias("s"))
+def _shared_entries(classes: DataFrame) -> DataFrame:
+    """(s, set_id, n, length): the prefix shingles that a class shares with any other, and how many have them."""
+    entries = classes.select("set_id", "n", F.explode("prefix").alias("s"))
     # Lists are counted with partial sums and joined back, which adaptive execution splits where one is hot.
     lengths = entries.groupBy("s").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    shared = common.stage(entries.join(lengths, "s").select("s", "set_id", "n", "length"), "jaccard-lists")
+    return common.stage(entries.join(lengths, "s").select("s", "set_id", "n", "length"), "jaccard-lists")
+
+
+def _members(shared: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(set_id, block, chunks, rep) of the classes that may have a link."""
     counts = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
     short = shared.where(F.col("length") <= SHORT_LIST).join(counts, "set_id").select("s", "set_id", "n", "shared")
     edges = short.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_pairs(num, den), "a long, b long")
     edges = edges.unionByName(_chained(shared.where(F.col("length") > SHORT_LIST), num, den))
     blocks = components(edges)
     sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("many")).select(F.col("root").alias("block"), F.ceil(F.col("many") / F.least(F.lit(max(CHUNK, MOST_CHUNK)), F.greatest(F.lit(CHUNK), F.col("many") / 64))).alias("chunks"))
-    member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps.select("set_id", "rep"), "set_id")
-    member = common.stage(member.select("set_id", "block", "chunks", "rep"), "jaccard-members")
+    member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps, "set_id")
+    return common.stage(member.select("set_id", "block", "chunks", "rep"), "jaccard-members")
+
+
+def _links(texts: DataFrame, member: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(set_id, root, links): the links of each class within a pair of chunks, and the smallest class they reach there."""
     small = member.count() <= BROADCAST_CLASSES
     at = [F.col("doc_id").eqNullSafe(F.col("rep.id")), F.col("code") == F.col("rep.code")]  # an id and its text, so that null or repeated ids meet nobody else's
     found = texts.join(F.broadcast(member) if small else member, at)
     sets = common.stage(found.select("set_id", "block", "chunks", "text").mapInArrow(_full_sets(k), "set_id long, block long, chunks long, shingles binary").dropDuplicates(["set_id"]), "jaccard-sets")
     dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "set_id", "shingles")
-    links = common.stage(dealt.groupBy("block", "lo", "hi").applyInArrow(_search(num, den), "set_id long, root long, links long"), "jaccard-links")
-    return components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b"))), links.groupBy("set_id").agg(F.sum("links").alias("links"))
+    return common.stage(dealt.groupBy("block", "lo", "hi").applyInArrow(_search(num, den), "set_id long, root long, links long"), "jaccard-links")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -433,15 +441,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text")).withColumn("code", F.xxhash64("text"))
     table = spark.sparkContext.broadcast(frequency_table(texts, k))
-    sets = common.stage(texts.mapInArrow(_prefixes(k, num, den, table), "doc_id long, code long, n long, set_id long, prefix array<long>"), "jaccard-prefixes")
-    reps = common.stage(sets.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "code")).alias("rep"), F.first("prefix").alias("prefix")), "jaccard-classes")
-    roots, links = _link_components(texts, reps, k, num, den)
-    roots = common.stage(roots, "jaccard-roots")
-    linked = roots.join(reps.select("set_id", "rep"), F.col("node") == F.col("set_id"))
+    # Each large table goes as soon as the next is written; without prefixes the rows and classes are small.
+    prefixes = common.stage(texts.mapInArrow(_prefixes(k, num, den, table), "doc_id long, code long, n long, set_id long, prefix array<long>"), "jaccard-prefixes")
+    sets = common.stage(prefixes.select("doc_id", "n", "set_id"), "jaccard-rows")
+    classes = common.stage(prefixes.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "code")).alias("rep"), F.first("prefix").alias("prefix")), "jaccard-classes")
+    common.drop(prefixes)
+    shared = _shared_entries(classes)
+    reps = common.stage(classes.select("set_id", "rep"), "jaccard-reps")
+    common.drop(classes)
+    with common.scratch() as keep:
+        member = keep(_members(shared, reps, num, den))
+    common.drop(shared)
+    with common.scratch() as keep:
+        found = keep(_links(texts, member, k, num, den))
+    common.drop(member)
+    with common.scratch() as keep:
+        roots = keep(common.stage(components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b"))), "jaccard-roots"))
+    links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
+    linked = roots.join(reps, F.col("node") == F.col("set_id"))
     smallest = linked.groupBy("root").agg(F.min("rep").alias("component"))
     placed = roots.join(smallest, "root").select(F.col("node").alias("set_id"), "component").join(links, "set_id", "left")
-    classes = reps.select("set_id", "rep").join(placed, "set_id", "left").select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = sets.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    joined = reps.join(placed, "set_id", "left").select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = sets.join(joined, "set_id", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -456,9 +477,10 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     they have no shingle."""
     key, gone_key = common.fresh(df, "near_key", "near_gone")
     rows = common.keyed(df, key)
-    found = jaccard_components(rows, key, text_col, **options).select("doc_id", "component_id")
     ids = rows.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("id"))
-    found = common.stage(found.join(ids, F.col("doc_id") == F.col("row")).select("component_id", "row", "id"), "near-rows")
+    with common.scratch() as keep:
+        found = jaccard_components(rows, key, text_col, **options).select("doc_id", "component_id")
+        found = keep(common.stage(found.join(ids, F.col("doc_id") == F.col("row")).select("component_id", "row", "id"), "near-rows"))
     kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))["row"].alias("row"))
     gone = found.join(kept, "row", "left_anti").select(F.col("row").alias(gone_key))
     return common.without(rows, key, gone, gone_key).drop(key)

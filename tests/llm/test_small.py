@@ -14,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.llm import ann, exact_dedup, jaccard, lm, mixing, packing, pii, quality, sharding, tokencount
+from sedge import storage
+from sedge.llm import ann, common, exact_dedup, jaccard, lm, mixing, packing, pii, quality, sharding, tokencount
 from sedge.llm.components import components
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -934,3 +935,45 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     sizes = sorted((r.n_shingles, r.doc_id, r.component_id, r.n_links) for r in out if r.doc_id is not None)
     assert sizes == sorted([(57, 5, 5, 2), (37, 5, 5, 0), (37, 5, 5, 0), (57, 7, 5, 2), (37, 2**63 - 1, 5, 0), (1, 9, 9, 0)])
     assert Counter((r.n_shingles, r.component_id, r.n_links) for r in out if r.doc_id is None) == {(57, 5, 2): 52, (37, 5, 0): 1}
+
+
+@pytest.fixture
+def shared(monkeypatch, tmp_path):
+    """Names of the tables that stand in a shared folder of this test's own."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    return lambda: sorted(p.name.removeprefix("sedge-").rsplit("-", 1)[0] for p in tmp_path.iterdir())
+
+
+def test_staging_leaves_no_shuffle_files(spark, shared):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.length())) if n.startswith("shuffle_")}
+
+    df = spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count()
+    assert len(df.collect()) == 100
+    for _ in range(2):
+        before = files()
+        staged = common.stage(df, "sums")
+        assert files() <= before
+        assert staged.agg(F.sum("count")).first()[0] == 5000 and df.count() == 100
+
+
+def test_staged_tables_go(spark, shared):
+    with common.scratch() as keep:
+        a = common.stage(spark.range(3), "a")
+        with common.scratch() as inner:
+            b, c = common.stage(a, "b"), inner(common.stage(a, "c"))
+        assert shared() == ["a", "c"]
+        d = keep(common.stage(c, "d"))
+    assert shared() == ["d"] and d.count() == 3
+    common.drop(d, spark.range(1))
+    assert shared() == []
+
+
+def test_jaccard_leaves_small_tables(spark, corpus, shared):
+    """Prefixes, classes, inverted lists and sets go before the result is read; what stays gives it again and again."""
+    out = jaccard.jaccard_components(table(spark, corpus), k=4, num=85)
+    assert shared() == ["jaccard-links", "jaccard-reps", "jaccard-roots", "jaccard-rows"]
+    want = brute_components(corpus, 4, 85, 100)
+    for _ in range(2):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
