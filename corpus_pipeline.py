@@ -53,5 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with common.scratch() as keep:  # what a stage has staged goes when its result is written, and so does its input
+            docs = keep(common.stage(stage(spark, before, sf_dir), name.replace(" ", "-")))
+        common.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import numpy as np
 import zlib
 
 import corpus_pipeline
+from sedge import storage
 from sedge.llm import mixing, oracles, packing, quality, queries
 from test_small import brute_components, brute_dedup
 
@@ -66,6 +67,19 @@ def test_stages_on_awkward_tables(spark, sf_dir):
         assert {r.text for r in stage(spark, df, sf_dir).collect() if r.text} == {r[1] for r in rows if r[1]}
 
 
+def test_stages_leave_small_tables(spark, sf_dir, tmp_path, monkeypatch):
+    """What the Jaccard join stages goes, and so does what a stage of the pipeline stages, once its result is written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, run, left in (
+        ("near", lambda: corpus_pipeline.near_stage(spark, docs, sf_dir), {"gone", "keyed", "near-rows"}),
+        ("all", lambda: corpus_pipeline.run(spark, sf_dir), {"mixing-sources-to-target-weights", "pack-tokens"}),
+    ):
+        monkeypatch.setattr(storage, "shared_dir", lambda spark, name=name: f"file://{tmp_path}/{name}")
+        out = run()
+        assert {p.name.removeprefix("sedge-").rsplit("-", 1)[0] for p in (tmp_path / name).iterdir()} == left
+        assert 0 < out.count() == out.count()
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
