@@ -7,9 +7,10 @@
 2. Prefixes.  Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles in any fixed
    order.  Equal sets fold into one class with their smallest doc_id.
 3. Blocks.  Shingles in the prefixes of at least two classes form inverted lists, sorted by set size.
-   In a short list two classes are joined unless their sizes, or the numbers of prefix shingles they
-   share with anyone, rule a link out; in a long one, dealt over tasks by size, neighbours by size are
-   chained unless the sizes rule it out.  So every linked pair lies in one connected block, and no pairs are written out.
+   The pairs of short lists are counted, and joined if they share as many prefix shingles as their sizes and
+   places in the order ask for, which pairs that meet by chance don't; in a long list, dealt over tasks by size,
+   neighbours by size are chained unless the sizes rule it out.  A linked pair shares a shingle of a long list or
+   all it shares is counted, so it lies in one connected block, and long lists write no pairs out.
 4. Search.  A block is cut into chunks of ``CHUNK`` classes (up to ``MOST_CHUNK`` in large blocks, so that a
    set is copied less often); each pair of chunks is one group, so a block of any size is dealt over many
    tasks.  In a group every class looks up its whole set (DivideSkip): the short inverted lists are merged
@@ -39,8 +40,8 @@ from sedge.llm import common
 from sedge.llm.components import components
 from sedge.llm.textkit import buffers, mix, shingle_hashes, slices, word_hashes, words
 
-#: Entries of the frequency table at most (12 bytes each, sent to every executor).
-LISTED = 1 << 20
+#: Entries of the frequency table at most (16 bytes each, sent to every executor).
+LISTED = 1 << 22
 LEAST_COUNT = 3
 #: Bits of the hash ranges in which shingles are counted, at most; a shingle is known by these and 32 more.
 MOST_BITS = 18
@@ -48,8 +49,10 @@ FLUSH = 1 << 20
 CHUNK, MOST_CHUNK = 96, 1024
 #: Counts from which on the cut of the frequency table goes by bins, sixteen to an octave.
 BINNED = 1000
-#: In inverted lists up to this length every pair is weighed in place; in longer ones neighbours by size are chained.
-SHORT_LIST = 16
+#: In inverted lists up to this length every pair is counted; in longer ones neighbours by size are chained.
+SHORT_LIST = 64
+#: Places in the order from here on are those of listed shingles, by count; before it those of the others, by hash.
+LISTED_FROM = 1 << 62
 #: Classes in blocks up to which their table is broadcast to find their texts; beyond it, a shuffle join.
 BROADCAST_CLASSES = 1 << 20
 
@@ -185,18 +188,21 @@ def _prefixes(k: int, num: int, den: int, table):
                 got = np.bincount(row[take], minlength=rows)
                 short = got < p
                 r, s = row[take], h[take]
+                place_of = (s >> _U(2)).astype(np.int64)
                 extra = np.flatnonzero(short[row] & ~plain)
                 if len(extra):
                     extra = extra[np.lexsort((h[extra], often[extra], row[extra]))]
                     er = row[extra]
                     place = np.arange(len(er)) - np.searchsorted(er, er)
                     extra = extra[place < (p - got)[er]]
-                    r, s = np.concatenate([r, row[extra]]), np.concatenate([s, h[extra]])
+                    r, s, place_of = np.concatenate([r, row[extra]]), np.concatenate([s, h[extra]]), np.concatenate([place_of, LISTED_FROM + often[extra]])
                     again = np.argsort(r, kind="stable")
-                    r, s = r[again], s[again]
+                    r, s, place_of = r[again], s[again], place_of[again]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]).astype(np.int32)
+                last = np.zeros(rows, np.int64)
+                last[n > 0] = place_of[ends[1:][n > 0] - 1]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, rows) for c in ("doc_id", "code")), pa.array(n.astype(np.int64)), pa.array(_digests(row, h, rows).view(np.int64)), lists], names=["doc_id", "code", "n", "set_id", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, rows) for c in ("doc_id", "code")), pa.array(n.astype(np.int64)), pa.array(_digests(row, h, rows).view(np.int64)), pa.array(last), lists], names=["doc_id", "code", "n", "set_id", "last", "prefix"])
 
     return run
 
@@ -257,20 +263,37 @@ def shared_needed(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarra
     return np.maximum(1, _ceil(n + m, num, num + den) - _ceil(np.maximum(n, m), num, den) + 1)
 
 
+def pair_needs(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, last_n: np.ndarray, last_m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """As ``shared_needed``, seen from a shared shingle that is the i-th of the one prefix and the j-th of the other;
+    ``last`` are the places in the order where the prefixes end.
+
+    A set has n - overlap needed shingles at most that the other lacks.  Up to where the first prefix ends, and up
+    to a shared shingle, all common ones are in both prefixes: what these hold there beyond the shared ones is lacking.
+    """
+    overlap = _ceil(n + m, num, num + den)
+    ends = lambda x: x - _ceil(x, num, den) + 1 - (x - overlap)
+    first = np.where(last_n < last_m, ends(n), np.where(last_m < last_n, ends(m), np.minimum(ends(n), ends(m))))
+    return np.maximum.reduce([shared_needed(n, m, num, den), first, i - (n - overlap), j - (m - overlap)])
+
+
 def _pairs(num: int, den: int):
-    """Links that short lists allow: every pair of a list that sizes and shared shingles do not rule out."""
+    """(a, b, need): the pairs of short lists, but for those that can't share as many prefix shingles as they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for s, doc, n, c in _whole_lists(batches, ("s", "set_id", "n", "shared")):
+        for s, doc, n, i, last, c in _whole_lists(batches, ("s", "set_id", "n", "i", "last", "shared")):
+            at = np.arange(len(s))
             for d in range(1, min(SHORT_LIST, len(s))):
-                x, y = slice(None, -d), slice(d, None)
-                at = np.flatnonzero((s[x] == s[y]) & (n[x] * den >= n[y] * num))
-                at = at[np.minimum(c[at], c[at + d]) >= shared_needed(n[at], n[at + d], num, den)]
-                for a, b in zip(doc[at].tolist(), doc[at + d].tolist(), strict=True):
-                    forest.join(a, b)
-        a, b = forest.edges()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                at = at[at + d < len(s)]
+                at = at[s[at] == s[at + d]]
+                if not len(at):
+                    break
+                x = at[n[at] * den >= n[at + d] * num]
+                y = x + d
+                need = pair_needs(n[x], n[y], i[x], i[y], last[x], last[y], num, den)
+                fits = need <= np.minimum(c[x], c[y])
+                x, y = x[fits], y[fits]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(doc[y]), pa.array(need[fits])], names=["a", "b", "need"])
 
     return run
 
@@ -403,22 +426,25 @@ def _search(num: int, den: int):
 
 
 def _shared_entries(classes: DataFrame) -> DataFrame:
-    """(s, set_id, n, length): the prefix shingles that a class shares with any other, and how many have them."""
-    entries = classes.select("set_id", "n", F.explode("prefix").alias("s"))
+    """(s, set_id, n, i, length): the prefix shingles that a class shares with any other, their place in its prefix
+    (from 1), and how many have them."""
+    entries = classes.select("set_id", "n", F.posexplode("prefix").alias("i", "s"))
+    entries = entries.select("s", "set_id", (F.shiftleft("n", 32) + F.col("i") + 1).alias("n_i"))  # both in one, since all entries are shuffled
     # Lists are counted with partial sums and joined back, which adaptive execution splits where one is hot.
     lengths = entries.groupBy("s").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    return common.stage(entries.join(lengths, "s").select("s", "set_id", "n", "length"), "jaccard-lists")
+    return common.stage(entries.join(lengths, "s").select("s", "set_id", F.shiftright("n_i", 32).alias("n"), F.col("n_i").bitwiseAND(0xFFFFFFFF).alias("i"), "length"), "jaccard-lists")
 
 
 def _members(shared: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """(set_id, block, chunks, rep) of the classes that may have a link."""
     counts = shared.groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
-    short = shared.where(F.col("length") <= SHORT_LIST).join(counts, "set_id").select("s", "set_id", "n", "shared")
-    edges = short.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_pairs(num, den), "a long, b long")
+    short = shared.where(F.col("length") <= SHORT_LIST).join(counts.join(reps.select("set_id", "last"), "set_id"), "set_id").select("s", "set_id", "n", "i", "last", "shared")
+    pairs = short.repartition("s").sortWithinPartitions("s", "n", "set_id").mapInArrow(_pairs(num, den), "a long, b long, need long")
+    edges = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     edges = edges.unionByName(_chained(shared.where(F.col("length") > SHORT_LIST), num, den))
     blocks = components(edges)
     sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("many")).select(F.col("root").alias("block"), F.ceil(F.col("many") / F.least(F.lit(max(CHUNK, MOST_CHUNK)), F.greatest(F.lit(CHUNK), F.col("many") / 64))).alias("chunks"))
-    member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps, "set_id")
+    member = blocks.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "block").join(reps.select("set_id", "rep"), "set_id")
     return common.stage(member.select("set_id", "block", "chunks", "rep"), "jaccard-members")
 
 
@@ -442,12 +468,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text")).withColumn("code", F.xxhash64("text"))
     table = spark.sparkContext.broadcast(frequency_table(texts, k))
     # Each large table goes as soon as the next is written; without prefixes the rows and classes are small.
-    prefixes = common.stage(texts.mapInArrow(_prefixes(k, num, den, table), "doc_id long, code long, n long, set_id long, prefix array<long>"), "jaccard-prefixes")
+    prefixes = common.stage(texts.mapInArrow(_prefixes(k, num, den, table), "doc_id long, code long, n long, set_id long, last long, prefix array<long>"), "jaccard-prefixes")
     sets = common.stage(prefixes.select("doc_id", "n", "set_id"), "jaccard-rows")
-    classes = common.stage(prefixes.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "code")).alias("rep"), F.first("prefix").alias("prefix")), "jaccard-classes")
+    classes = common.stage(prefixes.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "code")).alias("rep"), F.first("last").alias("last"), F.first("prefix").alias("prefix")), "jaccard-classes")
     common.drop(prefixes)
     shared = _shared_entries(classes)
-    reps = common.stage(classes.select("set_id", "rep"), "jaccard-reps")
+    reps = common.stage(classes.select("set_id", "rep", "last"), "jaccard-reps")
     common.drop(classes)
     with common.scratch() as keep:
         member = keep(_members(shared, reps, num, den))
@@ -458,10 +484,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with common.scratch() as keep:
         roots = keep(common.stage(components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b"))), "jaccard-roots"))
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
-    linked = roots.join(reps, F.col("node") == F.col("set_id"))
+    linked = roots.join(reps.select("set_id", "rep"), F.col("node") == F.col("set_id"))
     smallest = linked.groupBy("root").agg(F.min("rep").alias("component"))
     placed = roots.join(smallest, "root").select(F.col("node").alias("set_id"), "component").join(links, "set_id", "left")
-    joined = reps.join(placed, "set_id", "left").select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    joined = reps.select("set_id", "rep").join(placed, "set_id", "left").select("set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = sets.join(joined, "set_id", "left")
     return out.select(
         "doc_id",

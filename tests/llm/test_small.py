@@ -977,3 +977,40 @@ def test_jaccard_leaves_small_tables(spark, corpus, shared):
     want = brute_components(corpus, 4, 85, 100)
     for _ in range(2):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
+
+
+def test_pair_needs_never_exceed_what_linked_sets_share():
+    rng = np.random.default_rng(5)
+    tight = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        base = rng.permutation(1000)[: n + 40]
+        a, b = set(base[:n].tolist()), set(base[int(rng.integers(0, max(1, n // 5))) : n + int(rng.integers(0, 40))].tolist())
+        if not b or 100 * len(a & b) < 85 * len(a | b):
+            continue
+        prefix = lambda x: sorted(x)[: len(x) - int(np.ceil(85 * len(x) / 100 - 1e-9)) + 1]
+        p, q = prefix(a), prefix(b)
+        both = set(p) & set(q)
+        of = lambda *x: [np.array([y]) for y in x]
+        needs = [int(jaccard.pair_needs(*of(len(a), len(b), p.index(s) + 1, q.index(s) + 1, p[-1], q[-1]), 85, 100)[0]) for s in both]
+        assert len(both) >= max(needs)
+        tight += len(both) == max(needs)
+    assert tight > 20
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 22])
+def test_texts_that_share_phrases_by_chance_meet_in_no_block(spark, monkeypatch, listed):
+    """Each text shares phrases with many others, most of its prefix with someone, and links with its own copies only."""
+    rng = random.Random(8)
+    phrases = [" ".join(f"p{i}q{j}" for j in range(4)) for i in range(2500)]
+    texts = []
+    for _ in range(300):
+        words = " ".join(rng.sample(phrases, rng.randint(30, 60))).split()
+        texts += [" ".join(words)] + ([" ".join([*words[:-1], "other"])] if rng.random() < 0.2 else [])
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    stage, members = common.stage, []
+    monkeypatch.setattr(common, "stage", lambda df, name: (out := stage(df, name), members.append(out.count()) if name == "jaccard-members" else None)[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts), k=4, num=85).collect()}
+    want = brute_components(texts, 4, 85, 100)
+    linked = Counter(c for _, c in want.values())
+    assert got == want and members == [sum(n for n in linked.values() if n > 1)]
